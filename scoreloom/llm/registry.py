@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, html_extract, toxicity
+from . import chat_format, decontamination, exact_dedup, html_extract, language_id, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup,
     "op4_toxicity": toxicity,
     "op6_decontamination": decontamination,
+    "op7_language_id": language_id,
     "op8_html_extract": html_extract,
     "op10_chat_format": chat_format,
 }
