@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, html_extract, language_id, toxicity
+from . import chat_format, decontamination, exact_dedup, html_extract, language_id, license_scan, mixing, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup,
+    "op3_license_scan": license_scan,
     "op4_toxicity": toxicity,
+    "op5_mixing": mixing,
     "op6_decontamination": decontamination,
     "op7_language_id": language_id,
     "op8_html_extract": html_extract,
