@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, html_extract, language_id, license_scan, mixing, toxicity
+from . import chat_format, decontamination, exact_dedup, html_extract, jaccard_join, language_id, license_scan, mixing, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_decontamination": decontamination,
     "op7_language_id": language_id,
     "op8_html_extract": html_extract,
+    "op9_jaccard_join": jaccard_join,
     "op10_chat_format": chat_format,
 }
 
