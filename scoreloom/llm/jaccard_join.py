@@ -196,8 +196,10 @@ def _compare_tiles(width: int, per_cent: int):
     return run
 
 
-def _tiles(members: DataFrame, per_cent: int) -> DataFrame:
-    """(task, side, node, doc_id) for each tile or pair of tiles in which a member (node, root, n, doc_id) is compared."""
+def tiles(members: DataFrame, per_cent: int) -> DataFrame:
+    """The members (node, root, n and more) once for each tile or pair of tiles in which they are compared, with task
+    and side: 0 in a tile of its own, 1 or 2 in a pair."""
+    carried = [c for c in members.columns if c not in ("root", "n")]
     bands = Bands(per_cent)
     bands.of(1 << 40)
     band = sum((F.when(F.col("n") >= start, 1).otherwise(0) for start in bands.starts[1:]), F.lit(0))
@@ -220,7 +222,7 @@ def _tiles(members: DataFrame, per_cent: int) -> DataFrame:
     up = each(F.coalesce("above", F.lit(0)), lambda u: pair(name(own, at(F.col("band") + 1, u)), 1))
     down = each(F.coalesce("below", F.lit(0)), lambda u: pair(name(at(F.col("band") - 1, u), own), 2))
     tasks = F.when(F.col("dealt").isNull(), F.array(pair(F.col("root").cast("string"), 0))).otherwise(F.concat(same, up, down))
-    return rows.select("node", "doc_id", F.explode(tasks).alias("at")).select("at.task", "at.side", "node", "doc_id")
+    return rows.select(*carried, F.explode(tasks).alias("at")).select("at.task", "at.side", *carried)
 
 
 def jaccard_classes(docs: DataFrame, width: int = 4, per_cent: int = 85, filter_buckets: int = 1 << 18) -> DataFrame:
@@ -240,7 +242,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, per_cent: int = 85, filter_
     nodes = base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"))
     nodes = materialize(nodes, "nodes")
     members = materialize(nodes.join(candidates, "node"), "members")
-    tasks = materialize(_tiles(members.select("node", "root", "n", "doc_id"), per_cent), "tasks")
+    tasks = materialize(tiles(members.select("node", "root", "n", "doc_id"), per_cent), "tasks")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(filter_buckets))
     wanted = tasks.select(bucket.alias("bucket")).distinct()  # filter_buckets rows at most
     texts = docs.withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi").select("doc_id", "text")

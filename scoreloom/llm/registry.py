@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, html_extract, jaccard_join, language_id, license_scan, mixing, toxicity
+from . import chat_format, decontamination, exact_dedup, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup,
     "op2_exact_dedup": exact_dedup,
     "op3_license_scan": license_scan,
     "op4_toxicity": toxicity,
