@@ -143,6 +143,7 @@ def _meet(per_cent: int):
 
     def settle(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, node, place, low, high = rows
+        low, high = low.view(np.uint64), high.view(np.uint64)  # bits are counted of the absolute value
         size, inside = place >> 24, place & ((1 << 24) - 1)
         number = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
         combined = number * (1 << 40) + size
@@ -182,7 +183,7 @@ def _meet(per_cent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
-            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rows = [np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns]
             if not len(rows[0]):
                 continue
             cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last word's rows may go on in the next batch
