@@ -48,8 +48,14 @@ def frame_pattern(shares: DataFrame) -> DataFrame:
     return slots.select("phase", F.element_at("members", F.col("i") + 1)["source"].alias("source"), j.alias("j"), "slot", "length")
 
 
+def copy_key():
+    """Tells rows of one doc_id and source apart by their text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = 100_000, frame: int = FRAME, bucket_rows: int = 500) -> DataFrame:
-    """doc_id, source, block, phase, slot, place of every row of docs; (slot, place) is the order of the mixture.
+    """doc_id, source, block, phase, slot, place, copy (a hash of the text) of every row of docs; (slot, place) is the
+    order of the mixture.
 
     weights: source, weight; sources without a positive weight get the smallest share, one block a frame. None weighs
     each by the square root of its characters. A null source is ''. A document belongs to the block in which it begins, so one longer than a block
@@ -58,24 +64,24 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = 10
     side by side. block_chars: size of a block; bucket_rows: about how many rows one task ranks at once.
     """
     rows = docs.select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("h2"),
+        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("doc_id").alias("h"), copy_key().alias("copy"),
         (F.char_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"),
     )
     rows = materialize(rows, "sizes")
     total = rows.count()
     if not total:
-        return rows.select("doc_id", "source", F.lit(0).cast("long").alias("block"), F.lit(0).alias("phase"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("place"))
+        return rows.select("doc_id", "source", F.lit(0).cast("long").alias("block"), F.lit(0).alias("phase"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("place"), "copy")
     bits = max(1, min(40, (total // bucket_rows).bit_length()))
     # The leading bits of the hash deal a source into ranges that are ranked side by side.
     rows = rows.withColumn("range", F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("chars"), F.count("*").alias("rows"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = materialize(ranges.select("source", "range", "chars", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("chars_before"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before")), "ranges")
-    inside = Window.partitionBy("source", "range").orderBy("h", "doc_id", "h2")
+    inside = Window.partitionBy("source", "range").orderBy("h", "doc_id", "copy")
     local = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = rows.withColumn("local", local).withColumn("nth", F.row_number().over(inside)).join(ranges.drop("chars"), ["source", "range"])
     ranked = ranked.select(
-        "doc_id", "source", F.floor((F.col("chars_before") + F.col("local")) / block_chars).alias("block"), (F.col("rows_before") + F.col("nth")).alias("place")
+        "doc_id", "source", "copy", F.floor((F.col("chars_before") + F.col("local")) / block_chars).alias("block"), (F.col("rows_before") + F.col("nth")).alias("place")
     )
 
     sizes = ranges.groupBy("source").agg(F.ceil(F.sum("chars") / block_chars).alias("n_blocks"), F.sum("chars").alias("chars"))
@@ -104,8 +110,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = 10
     blocks = blocks.select("source", "block", F.floor(F.col("block") / F.col("k")).alias("f"), (F.col("block") % F.col("k")).cast("int").alias("j"))
     slots = blocks.join(pattern, ["source", "j"]).where((F.col("f") >= F.col("first")) & (F.col("f") < F.col("last")))
     slots = slots.select("source", "block", "phase", (F.col("start") + (F.col("f") - F.col("first")) * F.col("length") + F.col("slot")).alias("slot"))
-    return ranked.join(materialize(slots, "slots"), ["source", "block"]).select("doc_id", "source", "block", "phase", "slot", "place")
+    return ranked.join(materialize(slots, "slots"), ["source", "block"]).select("doc_id", "source", "block", "phase", "slot", "place", "copy")
 
 
 def query(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("copy")
