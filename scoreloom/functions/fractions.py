@@ -10,8 +10,13 @@ KIND = "struct<num:bigint,den:bigint>"
 
 def gcd(a: Column, b: Column) -> Column:
     """Greatest common divisor by Euclid's steps; 64 suffice for any two longs. gcd(0, 0) is 1."""
-    state = F.struct(F.abs(a).cast("long").alias("a"), F.abs(b).cast("long").alias("b"))
-    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, 1).otherwise(s["b"])).alias("b")))
+    whole = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    state = F.struct(whole(F.abs(a)).alias("a"), whole(F.abs(b)).alias("b"))
+
+    def step(s, _):
+        more = s["b"] != 0
+        return F.struct(F.when(more, s["b"]).otherwise(s["a"]).alias("a"), whole(F.when(more, F.try_mod(s["a"], s["b"]))).alias("b"))
+
     found = F.aggregate(F.sequence(F.lit(1), F.lit(96)), state, step)["a"]
     return F.when(found == 0, F.lit(1).cast("long")).otherwise(found)
 
@@ -20,7 +25,7 @@ def frac(num: Column, den: Column) -> Column:
     """Reduced, with a positive denominator; null if the denominator is 0."""
     g = gcd(num, den)
     sign = F.when(den < 0, -1).otherwise(1)
-    return F.when(den != 0, F.struct((sign * num / g).cast("long").alias("num"), (sign * den / g).cast("long").alias("den")))
+    return F.when(den != 0, F.named_struct(F.lit("num"), (sign * num / g).cast("long"), F.lit("den"), (sign * den / g).cast("long")))
 
 
 def frac_parse(text: Column) -> Column:

@@ -115,39 +115,47 @@ def max_assignment(candidates: DataFrame, group: Sequence[str], left: str, right
     return candidates.select(*group, left, right, cost).groupBy(*group).applyInPandas(solve, schema)
 
 
-def tiered_match(expected: DataFrame, actual: DataFrame, by: Sequence[str], kind: str, at: str, content: str, least: float = 0.72) -> DataFrame:
+def tiered_match(
+    expected: DataFrame, actual: DataFrame, by: Sequence[str], kind: str, at: str, content: str, place: str | None = None,
+    agree: dict[str, float] | None = None, base: float = 0.0, least: float = 0.72,
+) -> DataFrame:
     """by, expected_id, actual_id, tier: each expected row in order of (at, id) takes an unused actual row.
 
-    Both sides: by, id, kind, at (number), content (array of strings). Tier 1: same kind and at, then the most similar
-    content; 2: same content at another time of the same kind; 3: same kind and a Jaccard similarity of least or more,
-    the most similar, then closest. What is left is tier 0 with one id null. Groups of `by` are small (a measure).
+    Both sides: by, id, kind, at (number), content (array of strings) and the columns of place and agree. Similarity:
+    base, the weight of each column of agree that is equal, and the Jaccard coefficient of content for the rest up
+    to 1. Tier 1: same kind, at and place, the most similar; 2: same kind and at, equal content; 3: same kind and a
+    similarity of least or more, the closest, then most similar. What is left is tier 0 with one id null. Groups of
+    `by` are small (a measure).
     """
-    names = [*by, "id", kind, at, content]
+    agree = agree or {}
+    names = list(dict.fromkeys([*by, "id", kind, at, content, *([place] if place else []), *agree]))
+    rest_weight = 1.0 - base - sum(agree.values())
+    same_value = lambda x, y: x == y or (pd.isna(x) and pd.isna(y))
 
     def solve(e: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         e, a = e.sort_values([at, "id"]), a.sort_values([at, "id"])
         head = tuple((e if len(e) else a)[b].iloc[0] for b in by)
-        rest = list(a.itertuples(index=False))
-        value = lambda row, name: getattr(row, name)
+        free = a.to_dict("records")
 
-        def alike(x, y) -> float:
-            x, y = set(value(x, content)), set(value(y, content))
-            return len(x & y) / len(x | y) if x or y else 1.0
+        def alike(x: dict, y: dict) -> float:
+            p, q = set(x[content]), set(y[content])
+            shared = len(p & q) / len(p | q) if p or q else 1.0
+            return base + sum(w for c, w in agree.items() if same_value(x[c], y[c])) + rest_weight * shared
 
         out = []
-        for row in e.itertuples(index=False):
-            same = [y for y in rest if value(y, kind) == value(row, kind)]
+        for x in e.to_dict("records"):
+            peers = [y for y in free if y[kind] == x[kind]]
+            now = [y for y in peers if y[at] == x[at]]
             tiers = (
-                (1, [(-alike(row, y), value(y, "id"), y) for y in same if value(y, at) == value(row, at)]),
-                (2, [(abs(value(y, at) - value(row, at)), value(y, "id"), y) for y in same if sorted(value(y, content)) == sorted(value(row, content))]),
-                (3, [(-alike(row, y), abs(value(y, at) - value(row, at)), value(y, "id"), y) for y in same if alike(row, y) >= least]),
+                (1, [(-alike(x, y), y["id"]) for y in now if place is None or same_value(x[place], y[place])]),
+                (2, [(0.0, y["id"]) for y in now if sorted(y[content]) == sorted(x[content])]),
+                (3, [(abs(y[at] - x[at]), -alike(x, y), y["id"]) for y in peers if alike(x, y) >= least]),
             )
             tier, options = next(((t, o) for t, o in tiers if o), (0, []))
-            pick = min(options, key=lambda o: o[:-1])[-1] if options else None
-            if pick is not None:
-                rest = [y for y in rest if value(y, "id") != value(pick, "id")]
-            out.append((*head, value(row, "id"), None if pick is None else value(pick, "id"), tier))
-        out += [(*head, None, value(y, "id"), 0) for y in rest]
+            pick = min(options)[-1] if options else None
+            free = [y for y in free if y["id"] != pick]
+            out.append((*head, x["id"], pick, tier))
+        out += [(*head, None, y["id"], 0) for y in free]
         found = pd.DataFrame(out, columns=[*by, "expected_id", "actual_id", "tier"])
         return found.astype({c: "Int64" for c in ("expected_id", "actual_id") if np.issubdtype(e["id"].dtype, np.integer)})
 
