@@ -87,7 +87,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     df = np.zeros(BUCKETS + 1, np.int64)  # BUCKETS + 1 rows at most
     df[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return df[:-1], int(df[-1])

@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, features: int
         kept = scored.withColumn("z", F.abs(F.col("delta") / F.col("sd"))).where((F.col("z") >= least_z) & (F.col("delta") > 0))
         top = kept.orderBy(F.desc("z"), "term").limit(features).collect()
         tables[kind] = {r["term"]: r["delta"] for r in top}
-        share[kind] = (sum(r["a"] for r in top) / na, sum(r["b"] for r in top) / nb)
+        share[kind] = (sum(r["a"] for r in top) / max(na, 1), sum(r["b"] for r in top) / max(nb, 1))
     other = min(-1e-3, math.log((1 - min(share["word"][0], 0.99)) / (1 - min(share["word"][1], 0.99))))
     model = Model(tables["word"], tables["stem"], other)
     return _calibrate(model, examples)
@@ -163,7 +163,7 @@ def _calibrate(model: Model, examples: DataFrame) -> Model:
 
     clean = examples.where("toxic = 0").select("text").mapInArrow(exceedances, "over long, size long").agg(F.sum("over").alias("n"), F.sum("size").alias("size")).first()
     model = Model(model.words, model.stems, model.other, k=((clean["n"] or 0) + 1) * math.exp(level) / max(clean["size"] or 1, 1))
-    scored = examples.select("text", "toxic").mapInArrow(_evidence(model, 1), "toxic int, evidence double").toPandas()  # `sample` rows at most
+    scored = examples.select("text", "toxic").mapInArrow(_evidence(model, 1), "toxic int, evidence double").toArrow().to_pandas()  # `sample` rows at most
     x, y = np.minimum(scored["evidence"].to_numpy(), 60.0), scored["toxic"].to_numpy()
     slope, offset = 1.0, -3.0
     for _ in range(50):
