@@ -9,7 +9,7 @@ KIND = "struct<num:bigint,den:bigint>"
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor by Euclid's steps; 64 suffice for any two longs. gcd(0, 0) is 1."""
+    """Greatest common divisor by Euclid's steps, as many as the smaller number can need. gcd(0, 0) is 1."""
     whole = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
     state = F.struct(whole(F.abs(a)).alias("a"), whole(F.abs(b)).alias("b"))
 
@@ -17,7 +17,8 @@ def gcd(a: Column, b: Column) -> Column:
         more = s["b"] != 0
         return F.struct(F.when(more, s["b"]).otherwise(s["a"]).alias("a"), whole(F.when(more, F.try_mod(s["a"], s["b"]))).alias("b"))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(96)), state, step)["a"]
+    steps = F.ceil(F.log2(F.least(whole(F.abs(a)), whole(F.abs(b))).cast("double") + 1) * 1.4405) + 2
+    found = F.aggregate(F.sequence(F.lit(1).cast("long"), steps), state, step)["a"]
     return F.when(found == 0, F.lit(1).cast("long")).otherwise(found)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,12 @@ from .components import materialize
 
 
 def align(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Full outer join: keys, expected and actual (structs of the other columns), side ('both', 'missing', 'extra')."""
-    pack = lambda df, name: df.select(*keys, F.struct(*(c for c in df.columns if c not in keys)).alias(name))
-    joined = pack(expected, "expected").join(pack(actual, "actual"), list(keys), "full_outer")
+    """Full outer join: keys, expected and actual (structs of the other columns), side ('both', 'missing', 'extra'). Null
+    keys are equal."""
+    pack = lambda df, name: df.select(*(F.col(k).alias(f"{name}_{k}") for k in keys), F.struct(*(c for c in df.columns if c not in keys), F.lit(True).alias("present")).alias(name))
+    same = reduce(lambda x, y: x & y, (F.col(f"expected_{k}").eqNullSafe(F.col(f"actual_{k}")) for k in keys))
+    joined = pack(expected, "expected").join(pack(actual, "actual"), same, "full_outer")
+    joined = joined.select(*(F.coalesce(f"expected_{k}", f"actual_{k}").alias(k) for k in keys), "expected", "actual")
     side = F.when(F.col("actual").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("both")
     return joined.withColumn("side", side)
 

@@ -78,9 +78,20 @@ def prepare_events(events: DataFrame) -> DataFrame:
 
 
 def match_events(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Events of both sides, measure by measure: case_id, part_idx, measure_no, expected_id, actual_id, tier."""
-    pick = lambda df: df.select(*_PLACE, F.col("event_id").alias("id"), "type", "when", "content", "event_staff", "voice", "duration")
-    return matching.tiered_match(pick(expected), pick(actual), _PLACE, "type", "when", "content", "event_staff", {"duration": 0.15, "voice": 0.10, "event_staff": 0.10}, 0.25)
+    """Events of both sides, measure by measure: case_id, part_idx, measure_no, expected_id, actual_id, tier.
+
+    Measures whose events are equal on both sides meet in a join; only those that differ are matched tier by tier.
+    """
+    same = ["type", "when", "event_staff", "content", "voice", "duration"]
+    pick = lambda df: df.select(*_PLACE, F.col("event_id").alias("id"), *same)
+    e, a = pick(expected), pick(actual)
+    bag = lambda df, name: df.groupBy(*_PLACE).agg(F.sort_array(F.collect_list(F.xxhash64(*same))).alias(name))
+    equal = materialize(bag(e, "e").join(bag(a, "a"), _PLACE).where("e = a").select(*_PLACE), "equal_measures")
+    both = matching.match_occurrences(e.join(equal, _PLACE, "left_semi"), a.join(equal, _PLACE, "left_semi"), [*_PLACE, *same], ["id"], ["id"])
+    plain = both.select(*_PLACE, F.col("expected.id").alias("expected_id"), F.col("actual.id").alias("actual_id"), F.lit(1).alias("tier"))
+    agree = {"duration": 0.15, "voice": 0.10, "event_staff": 0.10}
+    tiers = matching.tiered_match(e.join(equal, _PLACE, "left_anti"), a.join(equal, _PLACE, "left_anti"), _PLACE, "type", "when", "content", "event_staff", agree, 0.25)
+    return plain.unionByName(tiers)
 
 
 def _issue(df: DataFrame, code: Column | str, category: Column | str, expected: Column, actual: Column) -> DataFrame:
