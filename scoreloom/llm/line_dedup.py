@@ -3,14 +3,15 @@
 1. A line is the set of its words. Lines with the same set become one node, kept where it first occurs.
 2. A table of hashed word counts over all lines gives every word a rarity; each node's words are ordered by rarity, and
    of similar sets the prefixes (the rarest words) share one at least. Nodes meet by the words of their prefixes.
-3. Where nodes meet, the length filter, the positional filter and a bound from the words' 128-bit signatures drop most
-   pairs; the rest are connected to candidate groups.
+3. Where nodes meet, the length filter, the positional filter and a bound from hashed signatures of the words, longer
+   for longer lines, drop most pairs; the rest are connected to candidate groups.
 4. Groups form tiles of bounded size, in which the Jaccard coefficient of the sets is computed exactly. A line goes if
    an earlier line, by doc_id and line number, is similar.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from .hashing import mix, texts_in_chunks, word_hashes
 from .jaccard_join import tiles
 
 PER_CENT = 80
-SKETCH = 1 << 20
-_SIGNED = ("key", "node", "place", "low", "high")
+SKETCH, _PIECES = 1 << 20, 64
+_SIGNED = ("key", "node", "place", "signature")
 
 
 def _line_words(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,14 +48,21 @@ def word_counts(docs: DataFrame) -> np.ndarray:
             for _, held in texts_in_chunks(batch.column(0).to_pylist()):
                 hashes, _, _ = _line_words(held)
                 found += np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], ["bucket", "n"])
+        pieces = [zlib.compress(piece.tobytes(), 1) for piece in found.reshape(_PIECES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_PIECES), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "counts"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = rows.select("bucket", F.least("n", F.lit(1 << 40)).alias("n")).toPandas()  # SKETCH rows at most
-    found = np.zeros(SKETCH, np.int64)
-    found[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return found
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH // _PIECES, np.int64)
+        for batch in batches:
+            for counts in batch.column("counts"):
+                total += np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "counts"])
+
+    rows = docs.select("text").mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect()
+    found = np.zeros((_PIECES, SKETCH // _PIECES), np.int64)
+    for r in rows:
+        found[r["piece"]] = np.frombuffer(r["counts"], np.int64)
+    return found.ravel()
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
@@ -82,6 +90,48 @@ def line_sets(held: list[bytes], levels: np.ndarray | None = None):
     return h, level, first, lines[first], texts
 
 
+def signature_words(sizes: np.ndarray) -> np.ndarray:
+    """64-bit words in the signature of a line of so many words: bits for each at least, but for the longest lines."""
+    return np.where(sizes <= 64, 2, np.where(sizes <= 128, 4, np.where(sizes <= 256, 8, 16)))
+
+
+def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """(n, 16): the bits of the 1024 that each line's words hash to."""
+    found = np.zeros(n * 16, np.uint64)
+    np.bitwise_or.at(found, line * 16 + ((h >> np.uint64(6)) & np.uint64(15)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    return found.reshape(n, 16)
+
+
+def folded(signature: np.ndarray, words: int) -> np.ndarray:
+    """The same for `words` 64-bit words: bit i stands for all bits that are i modulo the shorter length."""
+    while signature.shape[1] > words:
+        half = signature.shape[1] // 2
+        signature = signature[:, :half] | signature[:, half:]
+    return signature
+
+
+def _packed(signature: np.ndarray, words: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """A binary column of the signatures of these rows, each folded to its words."""
+    flat = np.concatenate([folded(signature, w) for w in (2, 4, 8, 16)], axis=1)
+    start = np.select([words == 2, words == 4, words == 8], [0, 2, 6], 14)[rows]
+    count = words[rows]
+    ends = np.cumsum(count)
+    inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
+    data = flat[np.repeat(rows, count), np.repeat(start, count) + inside]
+    offsets = np.concatenate(([0], ends * 8)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """(n, 16) of such a column, zeros where a signature is shorter."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
+    data = np.frombuffer(column.buffers()[2], np.uint8, int(bounds[-1]) * 8).view(np.uint64)[bounds[0] :] if len(column) else np.zeros(0, np.uint64)
+    count = np.diff(bounds)
+    found = np.zeros((len(column), 16), np.uint64)
+    found[np.repeat(np.arange(len(column)), count), np.arange(len(data)) - np.repeat(bounds[:-1] - bounds[0], count)] = data
+    return found
+
+
 def _nodes(h: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """64 bits of each line's set."""
     return mix(np.add.reduceat(mix(h + np.uint64(0x2545F4914F6CDD1D)), first) ^ (np.add.reduceat(mix(h), first) + sizes.astype(np.uint64))).view(np.int64)
@@ -106,7 +156,7 @@ def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(levels, per_cent: int):
     """Of texts: a row for each prefix word of each distinct line: the word, the node, its size and the word's place in
-    it, and the 128-bit signature. Words that occur once are left out: no other line has them."""
+    it, and the signature. Words that occur once are left out: no other line has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
@@ -122,18 +172,15 @@ def _prefixes(levels, per_cent: int):
                 fresh &= ~np.isin(nodes, seen)
                 if len(seen) < 500_000:
                     seen = np.union1d(seen, nodes[fresh])
-                bit = np.uint64(1) << (h & np.uint64(63))
-                upper = (h & np.uint64(64)) > 0
-                low = np.bitwise_or.reduceat(np.where(upper, np.uint64(0), bit), first)
-                high = np.bitwise_or.reduceat(np.where(upper, bit, np.uint64(0)), first)
                 inside = np.arange(len(h)) - np.repeat(first, sizes)
                 prefix = sizes - (per_cent * sizes + 99) // 100 + 1
                 line = np.repeat(np.arange(len(first)), sizes)
+                signature = signatures(h, line, len(first))
                 at = np.flatnonzero((inside < prefix[line]) & (level > 0) & fresh[line])
                 line = line[at]
                 place = (sizes[line] << 24) + np.minimum(inside[at], (1 << 24) - 1)
-                columns = [h[at].view(np.int64), nodes[line], place, low[line].view(np.int64), high[line].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(_SIGNED))
+                packed = _packed(signature, signature_words(sizes), line)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(nodes[line]), pa.array(place), packed], list(_SIGNED))
 
     return run
 
@@ -142,8 +189,8 @@ def _meet(per_cent: int):
     """Of rows sorted by word and size: edges that connect the nodes whose pairs pass the filters."""
 
     def settle(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, node, place, low, high = rows
-        low, high = low.view(np.uint64), high.view(np.uint64)  # bits are counted of the absolute value
+        key, node, place, signature = rows
+        by_words = {w: folded(signature, w) for w in (2, 4, 8, 16)}
         size, inside = place >> 24, place & ((1 << 24) - 1)
         number = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
         combined = number * (1 << 40) + size
@@ -157,10 +204,15 @@ def _meet(per_cent: int):
             v = np.repeat(np.arange(at, stop), count)
             u = np.arange(len(v)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start[at:stop], count)
             both = size[u] + size[v]
-            differ = np.bitwise_count(low[u] ^ low[v]).astype(np.int64) + np.bitwise_count(high[u] ^ high[v])
-            ahead = np.minimum(inside[u], inside[v]) + 1 + np.minimum(size[u] - inside[u], size[v] - inside[v]) - 1
-            most = np.minimum((both - differ) // 2, ahead)
-            good = ((100 + per_cent) * most >= per_cent * both) & (node[u] != node[v])
+            ahead = np.minimum(inside[u], inside[v]) + np.minimum(size[u] - inside[u], size[v] - inside[v])
+            good = ((100 + per_cent) * ahead >= per_cent * both) & (node[u] != node[v])
+            u, v, both = u[good], v[good], both[good]
+            words = signature_words(size[u])  # u is the shorter
+            differ = np.zeros(len(u), np.int64)
+            for w, bits in by_words.items():
+                own = words == w
+                differ[own] = np.bitwise_count(bits[u[own]] ^ bits[v[own]]).sum(axis=1)
+            good = (100 + per_cent) * ((both - differ) // 2) >= per_cent * both
             u, v = u[good], v[good]
             at = stop
             if len(u):
@@ -183,7 +235,7 @@ def _meet(per_cent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
-            rows = [np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns]
+            rows = [*(np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns[:3]), _unpacked(batch.column(3))]
             if not len(rows[0]):
                 continue
             cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last word's rows may go on in the next batch
@@ -270,7 +322,7 @@ def removed_lines(docs: DataFrame, per_cent: int = PER_CENT, filter_buckets: int
     nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("n").alias("n"), F.count("*").alias("copies"))
     nodes = materialize(nodes.select("node", "n", "copies", "first.doc_id", "first.line_no"), "nodes")
 
-    prefixes = docs.select("text").mapInArrow(_prefixes(levels, per_cent), "key long, node long, place long, low long, high long")
+    prefixes = docs.select("text").mapInArrow(_prefixes(levels, per_cent), "key long, node long, place long, signature binary")
     edges = prefixes.repartition("key").sortWithinPartitions("key", "place").mapInArrow(_meet(per_cent), "a long, b long")
     members = materialize(nodes.join(components(edges), "node").select("node", "root", "n", "doc_id", "line_no"), "members")
     tasks = materialize(tiles(members, per_cent), "tasks")
