@@ -39,17 +39,10 @@ def _line_words(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, lines, first
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """How many words of all texts fall into each of SKETCH hash buckets."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for _, held in texts_in_chunks(batch.column(0).to_pylist()):
-                hashes, _, _ = _line_words(held)
-                found += np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        pieces = [zlib.compress(piece.tobytes(), 1) for piece in found.reshape(_PIECES, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_PIECES), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "counts"])
+def scan_lines(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """In one pass over docs (doc_id, text): a row for each line with words (doc_id, line_no, node, n), and how many
+    words of all texts fall into each of SKETCH hash buckets."""
+    scanned = materialize(docs.mapInArrow(_scan_lines, "doc_id long, line_no int, node long, n int, piece int, counts binary"), "lines")
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH // _PIECES, np.int64)
@@ -58,11 +51,11 @@ def word_counts(docs: DataFrame) -> np.ndarray:
                 total += np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "counts"])
 
-    rows = docs.select("text").mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect()
+    rows = scanned.where("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(add, "piece int, counts binary").collect()
     found = np.zeros((_PIECES, SKETCH // _PIECES), np.int64)
     for r in rows:
         found[r["piece"]] = np.frombuffer(r["counts"], np.int64)
-    return found.ravel()
+    return scanned.where("piece IS NULL").select("doc_id", "line_no", "node", "n"), found.ravel()
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
@@ -72,7 +65,7 @@ def rarity(counts: np.ndarray) -> np.ndarray:
 
 def line_sets(held: list[bytes], levels: np.ndarray | None = None):
     """Distinct words of each line that has words, rarest first: (word hashes, level of each, first word of each line,
-    number of each line, first line of each text)."""
+    number of each line, first line of each text, all words as they come)."""
     hashes, lines, texts = _line_words(held)
     level = levels[(hashes % np.uint64(SKETCH)).astype(np.int64)] if levels is not None else np.zeros(len(hashes), np.uint8)
     # One sort by line, level and leading bits of the hash; if these bits are equal for other words, an exact one.
@@ -87,7 +80,7 @@ def line_sets(held: list[bytes], levels: np.ndarray | None = None):
     new[1:] = (h[1:] != h[:-1]) | (lines[1:] != lines[:-1])
     h, lines, level = h[new], lines[new], level[new]
     first = np.flatnonzero(np.diff(lines, prepend=-1))
-    return h, level, first, lines[first], texts
+    return h, level, first, lines[first], texts, hashes
 
 
 def signature_words(sizes: np.ndarray) -> np.ndarray:
@@ -138,20 +131,26 @@ def _nodes(h: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of texts: a row for each line with words: doc_id, line_no, node, n."""
+    """Of texts: the rows of scan_lines, and at the end _PIECES rows with the counts of this task's words."""
+    words = np.zeros(SKETCH, np.int64)
+    names = ["doc_id", "line_no", "node", "n", "piece", "counts"]
     for batch in batches:
         ids = batch.column(0).to_pylist()
         for at, held in texts_in_chunks(batch.column(1).to_pylist()):
-            h, _, first, lines, texts = line_sets(held)
+            h, _, first, lines, texts, all_words = line_sets(held)
             if not len(first):
                 continue
+            words += np.bincount((all_words % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
             sizes = np.diff(np.append(first, len(h)))
             text = np.searchsorted(texts, lines, "right") - 1
             columns = [
                 pa.array([ids[at + t] for t in text.tolist()], pa.int64()), pa.array((lines - texts[text]).astype(np.int32)),
-                pa.array(_nodes(h, first, sizes)), pa.array(sizes.astype(np.int32)),
+                pa.array(_nodes(h, first, sizes)), pa.array(sizes.astype(np.int32)), pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "node", "n"])
+            yield pa.RecordBatch.from_arrays(columns, names)
+    pieces = [zlib.compress(piece.tobytes(), 1) for piece in words.reshape(_PIECES, -1)]
+    nulls = [pa.nulls(_PIECES, kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.int32())]
+    yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(_PIECES), pa.int32()), pa.array(pieces, pa.binary())], names)
 
 
 def _prefixes(levels, per_cent: int):
@@ -162,7 +161,7 @@ def _prefixes(levels, per_cent: int):
         seen = np.zeros(0, np.int64)
         for batch in batches:
             for _, held in texts_in_chunks(batch.column(0).to_pylist()):
-                h, level, first, _, _ = line_sets(held, levels.value)
+                h, level, first, _, _, _ = line_sets(held, levels.value)
                 if not len(first):
                     continue
                 sizes = np.diff(np.append(first, len(h)))
@@ -205,7 +204,9 @@ def _meet(per_cent: int):
             u = np.arange(len(v)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start[at:stop], count)
             both = size[u] + size[v]
             ahead = np.minimum(inside[u], inside[v]) + np.minimum(size[u] - inside[u], size[v] - inside[v])
-            good = ((100 + per_cent) * ahead >= per_cent * both) & (node[u] != node[v])
+            # The shorter line's part of the pair's prefixes: as few words as the longer one's size leaves to differ.
+            least = -(-per_cent * both // (100 + per_cent))
+            good = (least <= ahead) & (inside[u] <= size[u] - least) & (inside[v] <= size[v] - least) & (node[u] != node[v])
             u, v, both = u[good], v[good], both[good]
             words = signature_words(size[u])  # u is the shorter
             differ = np.zeros(len(u), np.int64)
@@ -285,7 +286,7 @@ def _compare(per_cent: int):
     """Of rows sorted by task (task, side, node, doc_id, line_no, line): the nodes with a similar earlier one."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        h, _, first, _, _ = line_sets([line.replace("\n", " ").encode("utf-8", "surrogatepass") for *_, line in rows])
+        h, _, first, *_ = line_sets([line.replace("\n", " ").encode("utf-8", "surrogatepass") for *_, line in rows])
         order = np.empty(len(rows), np.int64)
         order[sorted(range(len(rows)), key=lambda i: (rows[i][2], rows[i][3]))] = np.arange(len(rows))
         gone = later_matches(np.split(h, first[1:]), order, np.array([row[0] for row in rows]), per_cent)
@@ -317,8 +318,8 @@ def removed_lines(docs: DataFrame, per_cent: int = PER_CENT, filter_buckets: int
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(rarity(word_counts(docs)))
-    lines = materialize(docs.mapInArrow(_scan_lines, "doc_id long, line_no int, node long, n int"), "lines")
+    lines, counts = scan_lines(docs)
+    levels = spark.sparkContext.broadcast(rarity(counts))
     nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("n").alias("n"), F.count("*").alias("copies"))
     nodes = materialize(nodes.select("node", "n", "copies", "first.doc_id", "first.line_no"), "nodes")
 
