@@ -28,6 +28,12 @@ from .hashing import mix, shingle_sets
 TILE_ROWS, TILE_SHINGLES = 1024, 1_000_000
 
 
+def _least_filled(n: int, m: int) -> float:
+    """Three standard deviations less than the mean number of parts, of m, that n hashes fall into."""
+    empty = math.exp(-n / m)
+    return m * (1 - empty) - 3 * math.sqrt(m * empty * max(1 - (1 + n / m) * empty, 0.0))
+
+
 class Bands:
     """Size bands in which similar sets are at most one apart, with the parts of each. Similar: J >= per_cent / 100."""
 
@@ -46,12 +52,10 @@ class Bands:
                 self.starts.append(self.starts[-1] * 100 // self.per_cent + 1)
             top, low = self.starts[band + 1] - 1, self.starts[max(band - 1, 0)]
             d = (100 - self.per_cent) * 2 * top // (100 + self.per_cent)
-            slack = 0
-            for _ in range(4):
-                m = d + 1 + slack
-                empty = m * math.exp(-low / m)
-                slack = math.ceil(empty + 3 * math.sqrt(empty))
-            self._parts[band] = (d + 1 + slack, slack) if d else (0, 0)
+            m = d + 1
+            while m < 16 * top and _least_filled(low, m) < d + 1:
+                m += max(1, m // 64)
+            self._parts[band] = (m, m - d - 1) if d else (0, 0)
         return self._parts[band]
 
 
