@@ -1,7 +1,7 @@
 """Main-text extraction by consensus host paths.
 
-Every page scores its containers by the running text they hold and names the generalised tag-class path of the best
-one. Spark counts these votes per host; each page is then read again and the containers at its host's winning path
+Every page scores its containers by the running text they hold, climbs from the best one to the article around it and
+names its generalised tag-class path. Spark counts these votes per host; each page is then read again and the containers at its host's winning path
 give the text. A page without such a container uses its own best one.
 """
 
@@ -40,16 +40,18 @@ _OUT_LABELS = frozenset(
     " header comment comments respond disqus discussion replies pagination pager widget toolbar contentinfo complementary".split()
 )
 _CONTAINERS = frozenset("article main section div td body".split())
+#: A container without an article or main around it gives way to one that holds this many times its running text.
+_EXCEEDS = 1.5
 #: What an open element of the key closes, up to the first element of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _P_SCOPE = frozenset("table td th button body article section div main aside html".split())
 
 
 class _Node:
-    __slots__ = ("link", "out", "path", "score", "tag")
+    __slots__ = ("link", "out", "parent", "path", "running", "score", "tag")
 
-    def __init__(self, tag: str, path: str, out: bool, link: bool):
-        self.tag, self.path, self.out, self.link, self.score = tag, path, out, link, 0.0
+    def __init__(self, tag: str, path: str, out: bool, link: bool, parent: _Node | None = None):
+        self.tag, self.path, self.out, self.link, self.parent, self.score, self.running = tag, path, out, link, parent, 0.0, 0.0
 
 
 def _open(tag: str, attributes: str, parent: _Node) -> _Node:
@@ -64,7 +66,7 @@ def _open(tag: str, attributes: str, parent: _Node) -> _Node:
     if out and tag in _HEADINGS and parent.tag == "header" and "article" in parent.path:
         out = False  # an article's own title
     name = ".".join([tag, *sorted({re.sub(r"\d+", "#", x) for x in labels})])
-    return _Node(tag, f"{parent.path}>{name}", out, parent.link or tag == "a")
+    return _Node(tag, f"{parent.path}>{name}", out, parent.link or tag == "a", parent)
 
 
 def blocks(page: str | None) -> Iterator[tuple[list[_Node], str, int]]:
@@ -121,19 +123,39 @@ def blocks(page: str | None) -> Iterator[tuple[list[_Node], str, int]]:
         yield block
 
 
+def _around(node: _Node) -> _Node:
+    """The nearest article, else main, that node is in or is; without one, the outermost container reached by steps
+    to ones of clearly more running text."""
+    above = [node]
+    while above[-1].parent:
+        above.append(above[-1].parent)
+    for tag in ("article", "main"):
+        for x in above:
+            if x.tag == tag:
+                return x
+    for x in above:
+        if x.tag in _CONTAINERS and x.running > _EXCEEDS * node.running:
+            node = x
+    return node
+
+
 def best_path(page: str | None) -> tuple[str, float]:
-    """The path of the container with the most running text: a block counts for the closest container, half for the next."""
+    """The path of the container around the one with the most running text, and that one's score: a block counts for
+    the closest container, in part for the next."""
     scores: dict[int, _Node] = {}
     for stack, text, linked in blocks(page):
+        running = len(text) * max(0.0, 1 - linked / len(text))
         weight = math.sqrt(len(text)) * max(0.0, 1 - linked / len(text)) * (2 if text[-1] in ".!?…" else 1)
-        around = [node for node in reversed(stack) if node.tag in _CONTAINERS][:2]
+        around = [node for node in reversed(stack) if node.tag in _CONTAINERS]
+        for node in around:
+            node.running += running
         for share, node in zip((1.0, 0.4), around, strict=False):
             node.score += share * weight
             scores[id(node)] = node
     if not scores:
         return "", 0.0
     node = max(scores.values(), key=lambda x: (x.score, x.path))
-    return node.path, node.score
+    return _around(node).path, node.score
 
 
 def extract(page: str | None, path: str | None) -> str:

@@ -31,3 +31,16 @@ def test_hosts_agree_and_other_pages_fall_back(spark):
     paths = {r.host: r.path for r in m.winning_paths(pages).collect()}
     assert paths["a.org"].endswith("div.main") and paths["b.org"].endswith("div.teaser#")
     assert m.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_title_and_sections_around_the_best_container(spark):
+    text = lambda word, n: "<p>" + f"{word} text here. " * n + "</p>"
+    wrapped = f"<html><body><div class=top>Elsewhere.</div><article><h1>T</h1><p>Lead.</p><div class=body>{text('Long', 40)}{text('More', 30)}</div></article></body>"
+    split = f"<html><body><main><article><h1>T</h1><section class=one>{text('First', 40)}</section><section class=two>{text('Second', 32)}</section><section class=three>{text('Third', 30)}</section></article></main></body>"
+    divs = f"<html><body><div class=post><div class=one>{text('First', 40)}</div><div class=two>{text('Second', 32)}</div></div><div class=side>Other.</div></body>"
+    assert m.best_path(wrapped)[0] == ">html>body>article" and m.best_path(split)[0] == ">html>body>main>article" and m.best_path(divs)[0] == ">html>body>div.post"
+    rows = [(1, "https://a.org/1", wrapped), (2, "https://b.org/1", split), (3, "https://b.org/2", split), (4, "https://c.org/1", divs)]
+    found = {r.page_id: r.text.split("\n") for r in m.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[1][:2] == ["T", "Lead."] and [x.split()[0] for x in found[1][2:]] == ["Long", "More"]
+    assert [x.split()[0] for x in found[2]] == [x.split()[0] for x in found[3]] == ["T", "First", "Second", "Third"]
+    assert [x.split()[0] for x in found[4]] == ["First", "Second"]
