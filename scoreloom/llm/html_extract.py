@@ -39,6 +39,10 @@ _OUT_LABELS = frozenset(
     " related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead"
     " header comment comments respond disqus discussion replies pagination pager widget toolbar contentinfo complementary".split()
 )
+#: Elements that hold the whole page or article: their labels tell about it, not what they are.
+_WHOLE = frozenset("html body main article".split())
+#: A label that tells the state of something else or of the page, as in has-sidebar or comments-open.
+_STATE = re.compile(r"(?:has|no|with|without)[-_].*|.*[-_](?:open|opened|closed|fixed|enabled|disabled)", re.S)
 _CONTAINERS = frozenset("article main section div td body".split())
 #: A container without an article or main around it gives way to one that holds this many times its running text.
 _EXCEEDS = 1.5
@@ -54,24 +58,31 @@ class _Node:
         self.tag, self.path, self.out, self.link, self.parent, self.score, self.running = tag, path, out, link, parent, 0.0, 0.0
 
 
-def _open(tag: str, attributes: str, parent: _Node) -> _Node:
+def _open(tag: str, attributes: str, parent: _Node, by_label: bool) -> _Node:
     labels = []
     if "=" in attributes:
         for name, *values in _LABEL.findall(attributes):
             value = html.unescape("".join(values)).lower()
             if name.lower() == "class" or name.lower() == "role" or tag in _CONTAINERS:
                 labels += value.split()
-    pieces = {x for label in labels for x in re.split(r"[-_]+", label)}
-    out = parent.out or tag in _OUT or tag == "header" or not _OUT_LABELS.isdisjoint(pieces)
+    out = parent.out or tag in _OUT or tag == "header"
+    if by_label and not out and tag not in _WHOLE:
+        pieces = {x for label in labels if not _STATE.fullmatch(label) for x in re.split(r"[-_]+", label)}
+        out = not _OUT_LABELS.isdisjoint(pieces)
     if out and tag in _HEADINGS and parent.tag == "header" and "article" in parent.path:
         out = False  # an article's own title
     name = ".".join([tag, *sorted({re.sub(r"\d+", "#", x) for x in labels})])
     return _Node(tag, f"{parent.path}>{name}", out, parent.link or tag == "a", parent)
 
 
-def blocks(page: str | None) -> Iterator[tuple[list[_Node], str, int]]:
-    """The page's blocks of text outside boilerplate, in order: open elements, text, characters of it inside links."""
+def blocks(page: str | None) -> list[tuple[list[_Node], str, int]]:
+    """The page's blocks of text outside boilerplate, in order: open elements, text, characters of it inside links.
+    Where labels mark out all of the text, they are not heeded."""
     page = page or ""
+    return list(_scan(page, True)) or list(_scan(page, False))
+
+
+def _scan(page: str, by_label: bool) -> Iterator[tuple[list[_Node], str, int]]:
     stack = [_Node("", "", False, False)]
     pieces: list[str] = []
     linked = at = 0
@@ -116,7 +127,7 @@ def blocks(page: str | None) -> Iterator[tuple[list[_Node], str, int]]:
                     if stack[depth].tag in scope:
                         break
             if not m[4].endswith("/"):
-                stack.append(_open(tag, m[4], stack[-1]))
+                stack.append(_open(tag, m[4], stack[-1], by_label))
     if at < len(page) and not stack[-1].out:
         pieces.append(page[at:])
     if block := flush():
@@ -160,7 +171,7 @@ def best_path(page: str | None) -> tuple[str, float]:
 
 def extract(page: str | None, path: str | None) -> str:
     """The blocks inside the containers at path; if the page has none there, inside its own best container."""
-    found = list(blocks(page))
+    found = blocks(page)
     for wanted in (path, None):
         wanted = best_path(page)[0] if wanted is None else wanted
         kept = [text for stack, text, _ in found if wanted and any(node.path == wanted for node in stack)]

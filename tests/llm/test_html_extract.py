@@ -44,3 +44,15 @@ def test_title_and_sections_around_the_best_container(spark):
     assert found[1][:2] == ["T", "Lead."] and [x.split()[0] for x in found[1][2:]] == ["Long", "More"]
     assert [x.split()[0] for x in found[2]] == [x.split()[0] for x in found[3]] == ["T", "First", "Second", "Third"]
     assert [x.split()[0] for x in found[4]] == ["First", "Second"]
+
+
+def test_labels_of_the_whole_page_and_of_states_mark_nothing_out():
+    text = "<p>Words of the article.</p>"
+    for open_tags in (
+        "<html class='header-fixed'><body>", "<body class='has-sidebar'>", "<body class='sidebar no-comments'>", "<body><main class=widget>",
+        "<body><article class='post comments-open'>", "<body><div class='with-sidebar'>", "<body><div class='comments-closed navbar-fixed'>",
+    ):
+        page = f"{open_tags}{text}<div class='sidebar no-print'><p>Side.</p></div><div class=comments><p>Reader.</p></div>"
+        assert m.extract(page, m.best_path(page)[0]) == "Words of the article.", open_tags
+    only = f"<html><body><nav>Menu</nav><div class='page-header'>{text}</div></body></html>"
+    assert m.extract(only, m.best_path(only)[0]) == "Words of the article."
