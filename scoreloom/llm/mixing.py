@@ -1,24 +1,76 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
+"""Mixing sources to target weights by Pfair scheduling.
 
-A source's documents, in a hash order, fill blocks of equal size. Weights are whole shares k of a frame, so a source
-gets k blocks in every frame: its i-th is released at floor(i / w) and due at ceil((i + 1) / w) for w = k / frame, and
-each slot of the frame goes to the released block with the earliest deadline. So no source is ever a block away from
-its share. The schedule of one frame repeats while the same sources last; when a source runs out, the frame of the
-rest is scheduled anew with their shares. Every document comes out once.
+A source's documents, in a hash order, fill blocks of equal size. With w its weight as a share of all sources left, its
+i-th block is released at floor(i / w) and due at ceil((i + 1) / w), and each slot goes to the released block with the
+earliest deadline. So after t slots of a phase a source has had floor(w t) or ceil(w t) blocks, however long the phase
+is and however small w. A phase lasts until a source runs out; the rest go on from there with their shares. The
+schedule is one pass over the blocks (not the documents) in the driver, in whole numbers without rounding. Every document comes out once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+import itertools
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
+from functools import reduce
+from math import lcm
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
 FRAME = 240
+#: Rows of the schedule that the driver holds at once.
+PIECE = 500_000
+
+
+def schedule(sources: Iterable[tuple[str, int, float]]) -> Iterator[tuple[str, int, int, int]]:
+    """(source, block, phase, slot) of every block, in order of the slots from 0.
+
+    sources: name, number of blocks, weight over 0. Of equal deadlines the first name goes first.
+    """
+    left = sorted((name, n, Fraction(weight)) for name, n, weight in sources if n > 0)
+    whole = lcm(*(w.denominator for *_, w in left))
+    names, ends, parts = [x[0] for x in left], [x[1] for x in left], [int(x[2] * whole) for x in left]
+    done, alive = [0] * len(left), list(range(len(left)))
+    phase = slot = 0
+    while alive:
+        total = sum(parts[i] for i in alive)
+        # Windows count from the phase's first slot: (deadline, source) of released blocks, (release, deadline, source) of others.
+        ready, later = [(-(-total // parts[i]), i) for i in alive], []
+        heapq.heapify(ready)
+        first, before = slot, [*done]
+        while True:
+            while later and later[0][0] <= slot - first:
+                _, due, i = heapq.heappop(later)
+                heapq.heappush(ready, (due, i))
+            _, i = heapq.heappop(ready)
+            yield names[i], done[i], phase, slot
+            done[i] += 1
+            slot += 1
+            if done[i] == ends[i]:
+                break
+            n = done[i] - before[i]
+            heapq.heappush(later, (n * total // parts[i], -(-(n + 1) * total // parts[i]), i))
+        alive.remove(i)
+        phase += 1
+
+
+def _written(spark: SparkSession, rows: Iterable[tuple[str, int, int, int]], piece: int) -> DataFrame:
+    """The schedule as a table, written piece by piece."""
+    names, kinds = ["source", "block", "phase", "slot"], [pa.string(), pa.int64(), pa.int32(), pa.int64()]
+    tables = []
+    for part in itertools.batched(rows, piece):
+        columns = [pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)]
+        tables.append(materialize(spark.createDataFrame(pa.table(columns, names)), "slots"))
+    return reduce(DataFrame.unionAll, tables)
 
 
 def frame_pattern(shares: DataFrame) -> DataFrame:
-    """(phase, source, j, slot, length): the slot, from 0, of each source's j-th block in the frame of each phase.
+    """(phase, source, j, slot, length): the slot, from 0, of each source's j-th block in a frame of whole shares.
 
     shares: phase, source, k (blocks in a frame, at least 1). A phase's frame has sum(k) slots and is one row here, so
     its size is bounded by FRAME and the number of sources, not by the documents.
@@ -57,8 +109,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = 10
     """doc_id, source, block, phase, slot, place, copy (a hash of the text) of every row of docs; (slot, place) is the
     order of the mixture.
 
-    weights: source, weight; sources without a positive weight get the smallest share, one block a frame. None weighs
-    each by the square root of its characters. A null source is ''. A document belongs to the block in which it begins, so one longer than a block
+    weights: source, weight; sources without a positive, finite weight weigh a frame-th part of the others' sum each.
+    None weighs each by the square root of its characters. A null source is ''. A document belongs to the block in which it begins, so one longer than a block
     takes the slots of several. Lengths count a null text as empty and one character more than the text, so that
     empty documents advance too. Order inside a source: a hash of doc_id, then doc_id, then text, so repeated rows sit
     side by side. block_chars: size of a block; bucket_rows: about how many rows one task ranks at once.
@@ -88,29 +140,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = 10
     if weights is None:
         weights = sizes.select("source", F.pow(F.col("chars").cast("double"), F.lit(0.5)).alias("weight"))
     weights = weights.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum("weight").alias("weight"))
-    valid = F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.lit(0.0))
-    share = sizes.join(weights, "source", "left").withColumn("weight", valid)
-    whole = share.agg(F.sum("weight").alias("whole")).first()["whole"] or 1.0
-    share = share.select("source", "n_blocks", F.greatest(F.lit(1), F.round(F.col("weight") / whole * frame).cast("int")).alias("k"))
-    share = materialize(share.withColumn("frames", F.ceil(F.col("n_blocks") / F.col("k"))), "shares")
-
-    # A phase lasts from one source's last frame to the next one's.
-    span = Window.orderBy("frames")  # a row for each source at most
-    phases = share.select("frames").distinct()
-    phases = phases.select(F.col("frames").alias("last"), F.coalesce(F.lag("frames").over(span), F.lit(0)).alias("first"), (F.row_number().over(span) - 1).alias("phase"))
-    final = share.withColumn("final", F.dense_rank().over(span) - 1)
-    alive = final.select("source", "k", F.explode(F.sequence(F.lit(0), "final")).alias("phase")).join(phases, "phase")
-    pattern = frame_pattern(alive.select("phase", "source", "k"))
-    lengths = alive.groupBy("phase", "first", "last").agg(F.sum("k").alias("length"))
-    start = F.sum((F.col("last") - F.col("first")) * F.col("length")).over(Window.orderBy("phase").rowsBetween(Window.unboundedPreceding, -1))
-    lengths = lengths.select("phase", "first", "last", F.coalesce(start, F.lit(0)).alias("start"))
-    pattern = materialize(pattern.join(lengths, "phase").join(share.select("source", "k"), "source"), "pattern")
-
-    blocks = sizes.select("source", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block")).join(share.select("source", "k"), "source")
-    blocks = blocks.select("source", "block", F.floor(F.col("block") / F.col("k")).alias("f"), (F.col("block") % F.col("k")).cast("int").alias("j"))
-    slots = blocks.join(pattern, ["source", "j"]).where((F.col("f") >= F.col("first")) & (F.col("f") < F.col("last")))
-    slots = slots.select("source", "block", "phase", (F.col("start") + (F.col("f") - F.col("first")) * F.col("length") + F.col("slot")).alias("slot"))
-    return ranked.join(materialize(slots, "slots"), ["source", "block"]).select("doc_id", "source", "block", "phase", "slot", "place", "copy")
+    usable = (F.col("weight") > 0) & (F.col("weight") < float("inf"))
+    share = sizes.join(weights, "source", "left").select("source", "n_blocks", F.when(usable, F.col("weight").cast("double")).alias("weight")).collect()
+    least = sum(Fraction(r.weight) for r in share if r.weight) / frame or 1
+    slots = _written(docs.sparkSession, schedule((r.source, r.n_blocks, r.weight or least) for r in share), PIECE)
+    return ranked.join(slots, ["source", "block"]).select("doc_id", "source", "block", "phase", "slot", "place", "copy")
 
 
 def query(spark, sf_dir):

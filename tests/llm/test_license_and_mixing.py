@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -61,3 +62,32 @@ def test_empty_and_weightless(spark):
     assert mixing.mix(none).count() == 0
     one = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
     assert mixing.mix(one, none.selectExpr("source", "CAST(doc_id AS DOUBLE) AS weight")).first().slot == 0
+
+
+def test_targets_are_the_weights_over_many_frames():
+    rng = random.Random(5)
+    many = [(f"s{i:03}", 400, rng.random() + 0.001) for i in range(300)]
+    for sources in ([("big", 60_000, 0.7071), ("mid", 60_000, 0.29279), ("tiny", 60_000, 0.0001)], [("a", 9000, 1 / 3), ("b", 20_000, 0.4137), ("c", 20_000, 1e-9)], many):
+        weight, had, phase, start = {s: Fraction(w) for s, _, w in sources}, {}, -1, 0
+        ends, total, seen = {s: n for s, n, _ in sources}, Fraction(0), dict.fromkeys(weight, 0)
+        for source, block, p, slot in mixing.schedule(sources):
+            if p != phase:
+                phase, start, had = p, slot, {s: 0 for s in weight if seen[s] < ends[s]}
+                total = sum(weight[s] for s in had)
+                shares = {s: float(weight[s] / total) for s in had}
+            assert block == seen[source] and slot == sum(seen.values()) if slot % 997 == 0 else block == seen[source]
+            seen[source] += 1
+            had[source] += 1
+            if slot % 89 == 0 or seen[source] == ends[source]:
+                assert all(abs(n - shares[s] * (slot + 1 - start)) < 1 + 1e-6 for s, n in had.items())
+        assert seen == ends
+
+
+def test_mixture_meets_an_uneven_weight(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 700)
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', 99) AS text", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS source")
+    weights = spark.createDataFrame([("a", 0.9937), ("b", 0.0063)], "source string, weight double")
+    slots = mixing.mix(docs, weights, block_chars=100).select("source", "slot", "phase").collect()
+    assert sorted(r.slot for r in slots) == list(range(4000))
+    run = sorted((r.slot, r.source) for r in slots if r.phase == 0)
+    assert abs(sum(s == "b" for _, s in run) - 0.0063 * len(run)) < 1 and sum(s == "a" for _, s in run) == 2000
