@@ -32,6 +32,18 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None,
     return spark.read.schema(df.schema).parquet(path)
 
 
+def copy_key(text: Column | str = "text") -> Column:
+    """Tells rows of one doc_id apart by their text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def broadcast_if_small(df: DataFrame, size: Column, limit: int = 32 << 20) -> DataFrame:
+    """df with a broadcast hint if the sizes of its rows, in bytes, sum to limit at most; else df, for a shuffled join.
+    df is read once more, so it should be a written table."""
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if total <= limit else df
+
+
 def delete_white_space(text: Column) -> Column:
     return F.translate(text, WHITE_SPACE, "")
 

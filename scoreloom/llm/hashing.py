@@ -9,11 +9,9 @@ import numpy as np
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))  # A-Z only
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BYTE = np.random.default_rng(20240607).integers(1, (1 << 64) - 1, 256, dtype=np.uint64)
 _CHUNK = 1 << 20  # bytes that are hashed at once
-_powers = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(63, _BASE, np.uint64))))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,15 +20,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(longest: int) -> np.ndarray:
-    global _powers
-    while len(_powers) < longest:
-        _powers = np.concatenate((_powers, _powers * (_powers[-1:] * _BASE)))
-    return _powers
+_factors = np.zeros(0, np.uint64)
+
+
+def _factor_table(longest: int) -> np.ndarray:
+    """An odd number for each place in a word, without a relation from one to the next."""
+    global _factors
+    if len(_factors) < longest:
+        n = 1 << max(longest - 1, 63).bit_length()
+        _factors = mix(np.arange(1, n + 1, dtype=np.uint64) * _STEP + np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    return _factors
 
 
 def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word (run of other characters than white space, A-Z lower-cased) of a text: its hash and first byte."""
+    """Of each word (run of other characters than white space, A-Z lower-cased) of a text: its hash and first byte.
+
+    The hash sums, over the bytes, a random number of the byte times one of its place in the word, and mixes the sum.
+    """
     data = np.frombuffer(buffer.translate(_FOLD), np.uint8)
     solid = ~_WHITE[data]
     before = np.empty_like(solid)
@@ -43,11 +49,20 @@ def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     first = np.searchsorted(at, starts)
     sizes = np.diff(np.append(first, len(at)))
     inside = np.arange(len(at)) - np.repeat(first, sizes)
-    powers = _power_table(int(sizes.max()) + 1)
-    terms = _BYTE[data[at]] * powers[inside]
+    terms = _BYTE[data[at]] * _factor_table(int(sizes.max()))[inside]
     return mix(np.add.reduceat(terms, first) + sizes.astype(np.uint64)), starts
 
 
+def digests(hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each of many sets of hashes, as two 64-bit numbers; the order in a set does not matter."""
+    mixed = mix(hashes)
+    other = mix(hashes ^ np.uint64(0x2545F4914F6CDD1D))
+    n = sizes.astype(np.uint64)
+    node = mix(np.add.reduceat(other, first) ^ (np.add.reduceat(mixed, first) + n))
+    check = mix(np.add.reduceat(mix(mixed + np.uint64(0xA0761D6478BD642F)), first) ^ (np.add.reduceat(mix(other + _STEP), first) + n))
+    return node.view(np.int64), check.view(np.int64)
+
+
 def texts_in_chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     """The texts as UTF-8 in runs of about _CHUNK bytes, with the position of each run's first text."""
     first, held, size = 0, [], 0
@@ -61,6 +76,10 @@ def texts_in_chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]
         yield first, held
 
 
+def folded_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+
+
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
     """Of each text the sorted distinct hashes of its runs of `width` words; a shorter text is one run, if not empty."""
     for _, held in texts_in_chunks(texts):
@@ -75,5 +94,5 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
                 continue
             total = np.full(len(own) - n + 1, n, np.uint64)
             for k in range(n):
-                total += own[k : k + len(total)] * _PLACE[k]
+                total += own[k : k + len(total)] * _factor_table(n)[k]
             yield np.unique(mix(total))

@@ -5,27 +5,34 @@
    that differ in d shingles agree in m - d parts at least, whatever they share with others. Each set emits a key for
    each part of its own band and of the next larger one; sets with an equal key meet. No similar pair is missed: m
    exceeds d by more than the empty parts a set usually has, and a set with more empty parts emits keys for them too.
-3. Connected candidates form a tile if they are few, otherwise tiles by size band; tiles are compared two by two. In a
-   tile, the bits in which two hashed bitmaps differ bound the overlap from above; what passes is settled by
-   intersecting the sorted hash arrays. Pairs already connected are not compared again.
-4. The verified links' components are the result.
+3. The nodes that meet at a key form a tile if they are few, otherwise tiles by size band; tiles are compared two by
+   two. The bits in which two hashed bitmaps differ bound the overlap from above, so no text is moved for most pairs.
+4. What passes is connected, and its texts form such tiles in turn. Sorted hash arrays are intersected and the words
+   of what is similar compared. Pairs already connected are not compared again.
+5. The verified links' components are the result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import broadcast_if_small, copy_key, materialize, table
 from .components import components
-from .hashing import mix, shingle_sets
+from .hashing import digests, folded_words, mix, shingle_sets
+from .membership import Membership, membership, numbers
+from .screening import close_pairs, signatures, spanning, unpacked, whole_groups
 
 TILE_ROWS, TILE_SHINGLES = 1024, 1_000_000
+#: A key with more rows than OFTEN in a run of 100,000 is dealt into SALTS parts. Keys of at most FEW nodes are one
+#: group if the nodes are the same. So many rows of one key are held at once.
+OFTEN, SALTS, FEW, HELD = 16, 1024, 64, 100_000
 
 
 def _least_filled(n: int, m: int) -> float:
@@ -59,19 +66,34 @@ class Bands:
         return self._parts[band]
 
 
-def _digest(found: np.ndarray) -> int:
-    """64 bits of a set: sums of two mixes, so order does not matter."""
-    return int(mix(np.array([found.sum(dtype=np.uint64) ^ mix(mix(found) + np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)]))[0].astype(np.int64))
+def _digest(found: np.ndarray) -> tuple[int, int]:
+    node, check = digests(found, np.zeros(1, np.int64), np.array([len(found)]))
+    return int(node[0]), int(check[0])
 
 
-def _sizes(width: int):
+def signature_words(sizes: np.ndarray) -> np.ndarray:
+    """64-bit words in the signature of a set of so many shingles: a bit for each at least, but for the largest."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / 64)), 0, 9).astype(np.int64)
+
+
+_SETS = "doc_id long, copy long, n_shingles long, node long, check long, signature binary"
+
+
+def _describe(width: int):
+    """Of rows (doc_id, copy, text): the size, the 128 bits and the signature of each text's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes = [], []
-            for found in shingle_sets(batch.column(1).to_pylist(), width):
+            sizes, nodes, checks, bits = [], [], [], []
+            for found in shingle_sets(batch.column(2).to_pylist(), width):
                 sizes.append(len(found))
-                nodes.append(_digest(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"])
+                node, check = _digest(found) if len(found) else (None, None)
+                nodes.append(node)
+                checks.append(check)
+                words = int(signature_words(np.array([len(found)]))[0])
+                bits.append(signatures(found, np.zeros(len(found), np.int64), 1, words).tobytes() if len(found) else None)
+            columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "copy", "n_shingles", "node", "check", "signature"])
 
     return run
 
@@ -94,21 +116,27 @@ def _part_keys(found: np.ndarray, bands: Bands) -> Iterator[np.ndarray]:
 
 
 def _keys(width: int, per_cent: int):
+    """Of texts: (key, salt, node) for each key of each set. The rows of a key that is frequent in a run of sets are
+    dealt out by a salt; a row of salt -1 tells the key's other rows so."""
+
+    def flush(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+        key, node = (np.concatenate(x).view(np.int64) for x in (keys, nodes))
+        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        often = count[back] > OFTEN
+        salt = np.where(often, 1 + (node & (SALTS - 1)), 0).astype(np.int32)
+        marked = np.unique(key[often])
+        key, node = np.concatenate((key, marked)), np.concatenate((node, np.zeros(len(marked), np.int64)))
+        salt = np.concatenate((salt, np.full(len(marked), -1, np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(node)], ["key", "salt", "node"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(per_cent), set()
         keys: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
         held = 0
-
-        def flush():
-            columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (keys, nodes)]
-            keys.clear()
-            nodes.clear()
-            return pa.RecordBatch.from_arrays(columns, ["key", "node"])
-
         for batch in batches:
             for found in shingle_sets(batch.column(0).to_pylist(), width):
-                node = _digest(found) if len(found) else 0
+                node = _digest(found)[0] if len(found) else 0
                 if not len(found) or node in seen:
                     continue
                 if len(seen) < 1_000_000:
@@ -118,30 +146,89 @@ def _keys(width: int, per_cent: int):
                     nodes.append(np.full(len(x), node, np.int64))
                     held += len(x)
                 if held > 100_000:
-                    yield flush()
-                    held = 0
+                    yield flush(keys, nodes)
+                    keys, nodes, held = [], [], 0
         if keys:
-            yield flush()
+            yield flush(keys, nodes)
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and node: each other node of a key with the key's first."""
-    last_key = last_pivot = None
-    for batch in batches:
-        key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, salt, node) sorted by all: (group, node) where a key has several nodes. Keys with the same few
+    nodes are one group; a key of many rows is a group of its own, and is passed on without being held whole."""
+    names = ["group", "node"]
+    seen = np.zeros(0, np.int64)
+    carried: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+    large = None  # the key whose rows before this batch were passed on
+
+    def batch_of(group: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(group), pa.array(node)], names)
+
+    def settle(key: np.ndarray, salt: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        nonlocal seen
         if not len(key):
+            return
+        number = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+        own = (salt > 0) | ((key == large) if large is not None else False)
+        own |= np.bincount(number, weights=salt < 0)[number] > 0
+        own |= np.bincount(number)[number] > FEW
+        whole = own & (salt >= 0)
+        if whole.any():
+            yield batch_of(key[whole], node[whole])
+        number, node = number[~own], node[~own]
+        fresh = np.ones(len(node), bool)
+        fresh[1:] = (node[1:] != node[:-1]) | (number[1:] != number[:-1])
+        number, node = number[fresh], node[fresh]
+        several = np.bincount(number)[number] > 1 if len(number) else np.zeros(0, bool)
+        number, node = number[several], node[several]
+        if not len(node):
+            return
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        sizes = np.diff(np.append(first, len(node)))
+        name = digests(node.view(np.uint64), first, sizes)[0]
+        new = np.zeros(len(name), bool)
+        new[np.unique(name, return_index=True)[1]] = True
+        new &= ~np.isin(name, seen)
+        if len(seen) < 500_000:
+            seen = np.union1d(seen, name[new])
+        row = np.repeat(new, sizes)
+        if row.any():
+            yield batch_of(np.repeat(name, sizes)[row], node[row])
+
+    for batch in batches:
+        if not len(batch):
             continue
-        new = np.empty(len(key), bool)
-        new[0] = key[0] != last_key
-        new[1:] = key[1:] != key[:-1]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        pivot = np.where(at >= 0, node[at], last_pivot if last_pivot is not None else 0)
-        last_key, last_pivot = key[-1], pivot[-1]
-        kept = pivot != node
-        pairs = np.unique(np.stack((pivot[kept], node[kept])), axis=1) if kept.any() else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        rows = [np.concatenate((c, x.to_numpy(zero_copy_only=False).astype(np.int64))) for c, x in zip(carried, batch.columns, strict=True)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if cut:
+            yield from settle(*(r[:cut] for r in rows))
+            large = None if rows[0][-1] != large else large
+        carried = [r[cut:] for r in rows]
+        if len(carried[0]) > HELD:
+            large = carried[0][-1]
+            yield from settle(*carried)
+            carried = [r[:0] for r in carried]
+    yield from settle(*carried)
+
+
+def _screen(per_cent: int):
+    """Of rows (task, side, node, n, signature) sorted by task and n: pairs that connect all that may be similar."""
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        side, node, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
+        return [batch.column(0).to_numpy(zero_copy_only=False), n, side, node, *unpacked(batch.column(4))[:1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task, n, side, node, signature in whole_groups(batches, columns):
+            wanted = lambda u, v: ((side[u] != side[v]) | (side[u] == 0)) & (node[u] != node[v])  # noqa: B023, E731
+            for u, v in close_pairs(task, n, signature, signature_words(n), per_cent, wanted):
+                if len(u):
+                    a, b = spanning(u, v)
+                    edges = np.unique(np.stack((node[a], node[b])), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["a", "b"])
+
+    return run
 
 
 def similar(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
@@ -149,7 +236,7 @@ def similar(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
     return 100 * both >= per_cent * (len(a) + len(b) - both)
 
 
-def compare(sets: list[np.ndarray], sides: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
+def compare(sets: list[np.ndarray], sides: np.ndarray, per_cent: int, verify: Callable[[int, int], bool] = lambda i, j: True) -> list[tuple[int, int]]:
     """Links that connect all similar pairs of a tile (all sides 0) or of two tiles (sides 1 and 2: only across)."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order])
@@ -170,25 +257,36 @@ def compare(sets: list[np.ndarray], sides: np.ndarray, per_cent: int) -> list[tu
         differ = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
         most = (sizes[j] + sizes[i] - differ) // 2
         for k in j[(100 + per_cent) * most >= per_cent * (sizes[j] + sizes[i])].tolist():
-            if root[k] != root[i] and similar(sets[order[i]], sets[order[k]], per_cent):
+            if root[k] != root[i] and similar(sets[order[i]], sets[order[k]], per_cent) and verify(order[i], order[k]):
                 root[root == root[k]] = root[i]
                 links.append((order[i], order[k]))
     return links
 
 
+def word_shingles(text: str, width: int) -> set[tuple[bytes, ...]]:
+    seq = folded_words(text)
+    return {tuple(seq[i : i + width]) for i in range(max(len(seq) - width + 1, 1))} if seq else set()
+
+
 def _compare_tiles(width: int, per_cent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by task: task, side, node, text."""
+    """Of rows (task, side, node, check, text) sorted by task: links between sets whose words are similar."""
+
+    def settle(rows: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
+        texts = [row[3] for row in rows]
+        own = lru_cache(1024)(lambda i: word_shingles(texts[i], width))
 
-        def settle(rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
-            sets = list(shingle_sets([text for _, _, text in rows], width))
-            links = compare(sets, np.array([side for side, _, _ in rows]), per_cent)
-            ends = [pa.array([rows[link[k]][1] for link in links], pa.int64()) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays(ends, ["a", "b"])
+        def verify(i: int, j: int) -> bool:
+            both = len(own(i) & own(j))
+            return 100 * both >= per_cent * (len(own(i)) + len(own(j)) - both)
 
+        links = compare(list(shingle_sets(texts, width)), np.array([row[0] for row in rows]), per_cent, verify)
+        ends = [pa.array([rows[link[k]][at] for link in links], pa.int64()) for k in (0, 1) for at in (1, 2)]
+        return pa.RecordBatch.from_arrays(ends, ["a_node", "a_check", "b_node", "b_check"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, rows = None, []
         for batch in batches:
-            for name, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for name, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if name != task and rows:
                     yield settle(rows)
                     rows = []
@@ -200,6 +298,22 @@ def _compare_tiles(width: int, per_cent: int):
     return run
 
 
+def _fetch(width: int, members: Membership):
+    """Of rows (doc_id, text) those that `members` passes, with the 128 bits of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(members.passes(numbers(batch.column(0)))))
+            texts, nodes, checks = batch.column(1).to_pylist(), [], []
+            for found in shingle_sets(texts, width):
+                node, check = _digest(found) if len(found) else (None, None)
+                nodes.append(node)
+                checks.append(check)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), batch.column(1)], ["node", "check", "text"])
+
+    return run
+
+
 def tiles(members: DataFrame, per_cent: int) -> DataFrame:
     """The members (node, root, n and more) once for each tile or pair of tiles in which they are compared, with task
     and side: 0 in a tile of its own, 1 or 2 in a pair."""
@@ -229,35 +343,48 @@ def tiles(members: DataFrame, per_cent: int) -> DataFrame:
     return rows.select(*carried, F.explode(tasks).alias("at")).select("at.task", "at.side", *carried)
 
 
-def jaccard_classes(docs: DataFrame, width: int = 4, per_cent: int = 85, filter_buckets: int = 1 << 18) -> DataFrame:
+def jaccard_classes(docs: DataFrame, width: int = 4, per_cent: int = 85) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, the smallest doc_id reachable by links.
 
     Two documents link when their shingle sets have a Jaccard coefficient of per_cent / 100 or more. A text of fewer
     than width words is one shingle; null and empty texts have none and link with nothing, not even each other.
-    Repeated rows and equal texts are linked. Rows of a null doc_id link others, but are no component's name unless
-    alone. Other columns are not read.
+    Repeated rows and equal texts are linked; rows of one doc_id with different texts have a component each. Rows of a
+    null doc_id link others, but are no component's name: alone, or among themselves, their component is null. Other
+    columns are not read. Equal sets are told by 128 bits of keyed hashes, similar ones by their words.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = materialize(docs.mapInArrow(_sizes(width), "doc_id long, n_shingles long, node long"), "sets")
-    keys = docs.select("text").mapInArrow(_keys(width, per_cent), "key long, node long")
-    stars = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
-    candidates = components(stars)
+    return _classes(docs, width, per_cent).drop("copy")
 
-    nodes = base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"))
+
+def _classes(docs: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """jaccard_classes with copy, a hash of the row's text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = materialize(docs.select("doc_id", copy_key().alias("copy"), "text").mapInArrow(_describe(width), _SETS), "sets")
+    nodes = base.where("node IS NOT NULL").groupBy("node", "check").agg(
+        F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count("*").alias("copies"), F.count("doc_id").alias("named"), F.any_value("signature").alias("signature")
+    )
     nodes = materialize(nodes, "nodes")
-    members = materialize(nodes.join(candidates, "node"), "members")
-    tasks = materialize(tiles(members.select("node", "root", "n", "doc_id"), per_cent), "tasks")
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(filter_buckets))
-    wanted = tasks.select(bucket.alias("bucket")).distinct()  # filter_buckets rows at most
-    texts = docs.withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi").select("doc_id", "text")
-    rows = tasks.join(texts.dropDuplicates(["doc_id"]), "doc_id").select("task", "side", "node", "text")
-    links = rows.repartition("task").sortWithinPartitions("task").mapInArrow(_compare_tiles(width, per_cent), "a long, b long")
-    linked = components(links)
-
-    named = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keys = docs.select("text").mapInArrow(_keys(width, per_cent), "key long, salt int, node long")
+    shared = keys.repartition("key", F.greatest("salt", F.lit(0))).sortWithinPartitions("key", "salt", "node").mapInArrow(_shared, "group long, node long")
+    groups = materialize(shared.distinct(), "groups")
+    tasks = tiles(groups.join(nodes, "node").select("node", F.col("group").alias("root"), "n", F.col("n").alias("size"), "signature"), per_cent)
+    rows = tasks.select(F.xxhash64("task").alias("task"), "side", "node", "size", "signature").repartition("task").sortWithinPartitions("task", "size")
+    candidates = components(rows.mapInArrow(_screen(per_cent), "a long, b long"))
+
+    members = materialize(nodes.join(candidates, "node").select("node", "check", "root", "n", "doc_id", "named", "copies"), "members")
+    tasks = materialize(tiles(members.select("node", "check", "root", "n"), per_cent), "tasks")
+    # Where a set has rows without doc_id only, those are fetched.
+    wanted = membership(members.select("doc_id"))
+    texts = docs.mapInArrow(_fetch(width, wanted), "node long, check long, text string")
+    rows = tasks.join(texts.dropDuplicates(["node", "check"]), ["node", "check"]).select("task", "side", "node", "check", "text")
+    links = rows.repartition("task").sortWithinPartitions("task").mapInArrow(_compare_tiles(width, per_cent), "a_node long, a_check long, b_node long, b_check long")
+    end = lambda x: F.struct(F.col(f"{x}_node").alias("node"), F.col(f"{x}_check").alias("check")).alias(x)
+    linked = components(links.select(end("a"), end("b"))).select("node.node", "node.check", "root")
+
+    named = nodes.join(linked, ["node", "check"], "left").withColumn("root", F.coalesce("root", F.struct("node", "check")))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("rows"))
-    groups = named.join(names.where("rows > 1"), "root").select("node", "component_id")
-    return base.join(materialize(groups, "groups"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = named.join(names.where("rows > 1"), "root").select("node", "check", "component_id", F.lit(True).alias("grouped"))
+    component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return base.join(materialize(found, "found"), ["node", "check"], "left").select("doc_id", "n_shingles", component, "copy")
 
 
 def query(spark, sf_dir):
@@ -265,10 +392,16 @@ def query(spark, sf_dir):
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 4, per_cent: int = 85) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id names its component: one document of each group stays."""
-    classes = jaccard_classes(docs, width, per_cent)
-    gone = materialize(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows of docs, all columns, whose doc_id names their component: one document of each group stays.
+
+    Each row is judged by its own text, so of two texts under one doc_id one can go. Rows that repeat both stay or go
+    together. A row without doc_id goes if it is linked with one that has an id; else it stays.
+    """
+    classes = _classes(docs, width, per_cent)
+    gone = classes.where("component_id IS NOT NULL AND NOT (doc_id <=> component_id)").select("doc_id", "copy").distinct()
+    gone = broadcast_if_small(materialize(gone, "gone"), F.lit(64))
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (copy_key(docs["text"]) == gone["copy"])
+    return docs.join(gone, same, "left_anti")
 
 
 SQL = r"""

@@ -4,29 +4,37 @@
 2. A table of hashed word counts over all lines gives every word a rarity; each node's words are ordered by rarity, and
    of similar sets the prefixes (the rarest words) share one at least. Nodes meet by the words of their prefixes.
 3. Where nodes meet, the length filter, the positional filter and a bound from hashed signatures of the words, longer
-   for longer lines, drop most pairs; the rest are connected to candidate groups.
-4. Groups form tiles of bounded size, in which the Jaccard coefficient of the sets is computed exactly. A line goes if
-   an earlier line, by doc_id and line number, is similar.
+   for longer lines, drop most pairs; the rest are connected to candidate groups. A word of many rows is dealt into
+   blocks that are compared two by two.
+4. Groups form tiles of bounded size, in which the Jaccard coefficient of the lines is computed exactly. A line goes if
+   an earlier line, by doc_id and line number, is similar. Only the lines in groups are fetched from the texts again,
+   by a filter of stated size.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import broadcast_if_small, materialize, table
 from .components import components
-from .hashing import mix, texts_in_chunks, word_hashes
+from .hashing import digests, folded_words, texts_in_chunks, word_hashes
 from .jaccard_join import tiles
+from .membership import Membership, membership, numbers
+from .screening import close_pairs, packed, signatures, spanning, unpacked, whole_groups
 
 PER_CENT = 80
 SKETCH, _PIECES = 1 << 20, 64
-_SIGNED = ("key", "node", "place", "signature")
+#: Rows of a word that are compared in one task.
+BLOCK = 1 << 17
+_LINES = 1 << 22
+_SIGNED = "key long, salt int, node long, place long, signature binary"
 
 
 def _line_words(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,9 +48,9 @@ def _line_words(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def scan_lines(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """In one pass over docs (doc_id, text): a row for each line with words (doc_id, line_no, node, n), and how many
-    words of all texts fall into each of SKETCH hash buckets."""
-    scanned = materialize(docs.mapInArrow(_scan_lines, "doc_id long, line_no int, node long, n int, piece int, counts binary"), "lines")
+    """In one pass over docs (doc_id, text): a row for each line with words (doc_id, line_no, node, check, n), one for
+    each row of docs (doc_id, n: how many lines), and how many words of all texts fall into each of SKETCH buckets."""
+    scanned = materialize(docs.mapInArrow(_scan_lines, "doc_id long, line_no int, node long, check long, n int, piece int, counts binary"), "lines")
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH // _PIECES, np.int64)
@@ -55,7 +63,7 @@ def scan_lines(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     found = np.zeros((_PIECES, SKETCH // _PIECES), np.int64)
     for r in rows:
         found[r["piece"]] = np.frombuffer(r["counts"], np.int64)
-    return scanned.where("piece IS NULL").select("doc_id", "line_no", "node", "n"), found.ravel()
+    return scanned.where("piece IS NULL").drop("piece", "counts"), found.ravel()
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
@@ -68,11 +76,12 @@ def line_sets(held: list[bytes], levels: np.ndarray | None = None):
     number of each line, first line of each text, all words as they come)."""
     hashes, lines, texts = _line_words(held)
     level = levels[(hashes % np.uint64(SKETCH)).astype(np.int64)] if levels is not None else np.zeros(len(hashes), np.uint8)
-    # One sort by line, level and leading bits of the hash; if these bits are equal for other words, an exact one.
+    # One sort by line, level and leading bits of the hash; if these bits are equal for other words, or there are more
+    # lines than 22 bits tell apart, an exact one.
     place = (lines.astype(np.uint64) << np.uint64(42)) | (level.astype(np.uint64) << np.uint64(34)) | (hashes >> np.uint64(30))
     order = np.argsort(place)
     place, h = place[order], hashes[order]
-    if (same := place[1:] == place[:-1]).any() and (h[1:][same] != h[:-1][same]).any():
+    if texts[-1] > _LINES or ((same := place[1:] == place[:-1]).any() and (h[1:][same] != h[:-1][same]).any()):
         order = np.lexsort((hashes, level, lines))
         h = hashes[order]
     lines, level = lines[order], level[order]
@@ -88,74 +97,41 @@ def signature_words(sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes <= 64, 2, np.where(sizes <= 128, 4, np.where(sizes <= 256, 8, 16)))
 
 
-def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """(n, 16): the bits of the 1024 that each line's words hash to."""
-    found = np.zeros(n * 16, np.uint64)
-    np.bitwise_or.at(found, line * 16 + ((h >> np.uint64(6)) & np.uint64(15)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return found.reshape(n, 16)
-
-
-def folded(signature: np.ndarray, words: int) -> np.ndarray:
-    """The same for `words` 64-bit words: bit i stands for all bits that are i modulo the shorter length."""
-    while signature.shape[1] > words:
-        half = signature.shape[1] // 2
-        signature = signature[:, :half] | signature[:, half:]
-    return signature
-
-
-def _packed(signature: np.ndarray, words: np.ndarray, rows: np.ndarray) -> pa.Array:
-    """A binary column of the signatures of these rows, each folded to its words."""
-    flat = np.concatenate([folded(signature, w) for w in (2, 4, 8, 16)], axis=1)
-    start = np.select([words == 2, words == 4, words == 8], [0, 2, 6], 14)[rows]
-    count = words[rows]
-    ends = np.cumsum(count)
-    inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
-    data = flat[np.repeat(rows, count), np.repeat(start, count) + inside]
-    offsets = np.concatenate(([0], ends * 8)).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-
-
-def _unpacked(column: pa.Array) -> np.ndarray:
-    """(n, 16) of such a column, zeros where a signature is shorter."""
-    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
-    data = np.frombuffer(column.buffers()[2], np.uint8, int(bounds[-1]) * 8).view(np.uint64)[bounds[0] :] if len(column) else np.zeros(0, np.uint64)
-    count = np.diff(bounds)
-    found = np.zeros((len(column), 16), np.uint64)
-    found[np.repeat(np.arange(len(column)), count), np.arange(len(data)) - np.repeat(bounds[:-1] - bounds[0], count)] = data
-    return found
-
-
-def _nodes(h: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64 bits of each line's set."""
-    return mix(np.add.reduceat(mix(h + np.uint64(0x2545F4914F6CDD1D)), first) ^ (np.add.reduceat(mix(h), first) + sizes.astype(np.uint64))).view(np.int64)
+def signature_words(sizes: np.ndarray) -> np.ndarray:
+    """64-bit words in the signature of a line of so many words: bits for each at least, but for the longest lines."""
+    return np.where(sizes <= 64, 2, np.where(sizes <= 128, 4, np.where(sizes <= 256, 8, 16)))
 
 
 def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of texts: the rows of scan_lines, and at the end _PIECES rows with the counts of this task's words."""
     words = np.zeros(SKETCH, np.int64)
-    names = ["doc_id", "line_no", "node", "n", "piece", "counts"]
+    names = ["doc_id", "line_no", "node", "check", "n", "piece", "counts"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     for batch in batches:
-        ids = batch.column(0).to_pylist()
+        ids = batch.column(0)
         for at, held in texts_in_chunks(batch.column(1).to_pylist()):
             h, _, first, lines, texts, all_words = line_sets(held)
+            counted = [ids.slice(at, len(held)), *(pa.nulls(len(held), k) for k in kinds[1:4]), pa.array(np.diff(texts).astype(np.int32)), *(pa.nulls(len(held), k) for k in kinds[5:])]
+            yield pa.RecordBatch.from_arrays(counted, names)
             if not len(first):
                 continue
             words += np.bincount((all_words % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
             sizes = np.diff(np.append(first, len(h)))
             text = np.searchsorted(texts, lines, "right") - 1
+            node, check = digests(h, first, sizes)
             columns = [
-                pa.array([ids[at + t] for t in text.tolist()], pa.int64()), pa.array((lines - texts[text]).astype(np.int32)),
-                pa.array(_nodes(h, first, sizes)), pa.array(sizes.astype(np.int32)), pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.binary()),
+                ids.take(pa.array(at + text)), pa.array((lines - texts[text]).astype(np.int32)), pa.array(node), pa.array(check),
+                pa.array(sizes.astype(np.int32)), pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
     pieces = [zlib.compress(piece.tobytes(), 1) for piece in words.reshape(_PIECES, -1)]
-    nulls = [pa.nulls(_PIECES, kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.int32())]
-    yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(_PIECES), pa.int32()), pa.array(pieces, pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(_PIECES, k) for k in kinds[:5]), pa.array(range(_PIECES), pa.int32()), pa.array(pieces, pa.binary())], names)
 
 
-def _prefixes(levels, per_cent: int):
+def _prefixes(levels, spread, per_cent: int):
     """Of texts: a row for each prefix word of each distinct line: the word, the node, its size and the word's place in
-    it, and the signature. Words that occur once are left out: no other line has them."""
+    it, and the signature. Words that occur once are left out: no other line has them. The rows of a word that may have
+    more than BLOCK are dealt out by a salt from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
@@ -165,7 +141,7 @@ def _prefixes(levels, per_cent: int):
                 if not len(first):
                     continue
                 sizes = np.diff(np.append(first, len(h)))
-                nodes = _nodes(h, first, sizes)
+                nodes = digests(h, first, sizes)[0]
                 fresh = np.zeros(len(nodes), bool)
                 fresh[np.unique(nodes, return_index=True)[1]] = True
                 fresh &= ~np.isin(nodes, seen)
@@ -174,86 +150,82 @@ def _prefixes(levels, per_cent: int):
                 inside = np.arange(len(h)) - np.repeat(first, sizes)
                 prefix = sizes - (per_cent * sizes + 99) // 100 + 1
                 line = np.repeat(np.arange(len(first)), sizes)
-                signature = signatures(h, line, len(first))
+                signature = signatures(h, line, len(first), 16)
                 at = np.flatnonzero((inside < prefix[line]) & (level > 0) & fresh[line])
                 line = line[at]
                 place = (sizes[line] << 24) + np.minimum(inside[at], (1 << 24) - 1)
-                packed = _packed(signature, signature_words(sizes), line)
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(nodes[line]), pa.array(place), packed], list(_SIGNED))
+                dealt = spread.value[(h[at] % np.uint64(SKETCH)).astype(np.int64)].astype(np.int64)
+                salt = np.where(dealt > 1, 1 + (nodes[line] & ((1 << 62) - 1)) % dealt, 0).astype(np.int32)
+                bits = packed(signature, signature_words(sizes), line)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(salt), pa.array(nodes[line]), pa.array(place), bits], ["key", "salt", "node", "place", "signature"])
 
     return run
 
 
 def _meet(per_cent: int):
-    """Of rows sorted by word and size: edges that connect the nodes whose pairs pass the filters."""
+    """Of rows sorted by word, salt and size: edges (a, b) that connect the nodes whose pairs pass the filters. Rows
+    with a salt are passed on as they are."""
+    names = ["a", "b", "key", "node", "place", "signature"]
 
-    def settle(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, node, place, signature = rows
-        by_words = {w: folded(signature, w) for w in (2, 4, 8, 16)}
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        key, _, node, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        return [key, node, place, unpacked(batch.column(4))[0]]
+
+    def edges_of(key: np.ndarray, node: np.ndarray, place: np.ndarray, signature: np.ndarray) -> Iterator[pa.RecordBatch]:
         size, inside = place >> 24, place & ((1 << 24) - 1)
-        number = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
-        combined = number * (1 << 40) + size
-        start = np.searchsorted(combined, number * (1 << 40) + (per_cent * size + 99) // 100)
-        pairs = np.arange(len(key)) - start
-        ends = np.cumsum(pairs)
-        at = 0
-        while at < len(key):
-            stop = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")), at + 1)
-            count = pairs[at:stop]
-            v = np.repeat(np.arange(at, stop), count)
-            u = np.arange(len(v)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start[at:stop], count)
-            both = size[u] + size[v]
+
+        def wanted(u: np.ndarray, v: np.ndarray) -> np.ndarray:
             ahead = np.minimum(inside[u], inside[v]) + np.minimum(size[u] - inside[u], size[v] - inside[v])
             # The shorter line's part of the pair's prefixes: as few words as the longer one's size leaves to differ.
-            least = -(-per_cent * both // (100 + per_cent))
-            good = (least <= ahead) & (inside[u] <= size[u] - least) & (inside[v] <= size[v] - least) & (node[u] != node[v])
-            u, v, both = u[good], v[good], both[good]
-            words = signature_words(size[u])  # u is the shorter
-            differ = np.zeros(len(u), np.int64)
-            for w, bits in by_words.items():
-                own = words == w
-                differ[own] = np.bitwise_count(bits[u[own]] ^ bits[v[own]]).sum(axis=1)
-            good = (100 + per_cent) * ((both - differ) // 2) >= per_cent * both
-            u, v = u[good], v[good]
-            at = stop
+            least = -(-per_cent * (size[u] + size[v]) // (100 + per_cent))
+            return (least <= ahead) & (inside[u] <= size[u] - least) & (inside[v] <= size[v] - least) & (node[u] != node[v])
+
+        for u, v in close_pairs(key, size, signature, signature_words(size), per_cent, wanted):
             if len(u):
-                ids, ends_at = np.unique(np.concatenate((u, v)), return_inverse=True)
-                a, b = ends_at[: len(u)], ends_at[len(u) :]
-                root = np.arange(len(ids))
-                while True:
-                    least = np.minimum(root[a], root[b])
-                    new = root.copy()
-                    np.minimum.at(new, a, least)
-                    np.minimum.at(new, b, least)
-                    new = new[new]
-                    if (new == root).all():
-                        break
-                    root = new
-                kept = root != np.arange(len(ids))
-                edges = np.unique(np.stack((node[ids[root[kept]]], node[ids[kept]])), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["a", "b"])
+                a, b = spanning(u, v)
+                found = np.unique(np.stack((node[a], node[b])), axis=1)
+                nulls = [pa.nulls(found.shape[1], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), *nulls], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            rows = [*(np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns[:3]), _unpacked(batch.column(3))]
-            if not len(rows[0]):
-                continue
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last word's rows may go on in the next batch
-            if cut or (held and held[-1][0][-1] != rows[0][0]):
-                held.append([r[:cut] for r in rows])
-                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-                if len(whole[0]):
-                    yield from settle(whole)
-                held = []
-            held.append([r[cut:] for r in rows])
-        if held:
-            yield from settle([np.concatenate(x) for x in zip(*held, strict=True)])
+        passed: list[pa.RecordBatch] = []
+
+        def light(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in given:
+                dealt = batch.column(1).to_numpy(zero_copy_only=False) > 0
+                if dealt.any():
+                    own = batch.filter(pa.array(dealt))
+                    nulls = [pa.nulls(len(own), pa.int64())] * 2
+                    passed.append(pa.RecordBatch.from_arrays([*nulls, own.column(0), *own.columns[2:]], names))
+                    batch = batch.filter(pa.array(~dealt))
+                if len(batch):
+                    yield batch
+
+        for rows in whole_groups(light(batches), columns):
+            yield from passed
+            passed.clear()
+            yield from edges_of(*rows)
+        yield from passed
 
     return run
 
 
-def later_matches(sets: list[np.ndarray], order: np.ndarray, sides: np.ndarray, per_cent: int) -> np.ndarray:
+def _heavy_edges(met: DataFrame, per_cent: int) -> DataFrame:
+    """Edges among the rows that _meet passed on: a word's rows are dealt into as many blocks of BLOCK rows as there
+    are, and a task has one pair of blocks."""
+    rows = met.where("key IS NOT NULL").select("key", "node", "place", "signature")
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = rows.join(materialize(blocks, "blocks"), "key").withColumn("own", own).withColumn("other", other)
+    key = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")
+    rows = rows.select(key, F.lit(0).alias("salt"), "node", "place", "signature")
+    return rows.repartition("key").sortWithinPartitions("key", "place").mapInArrow(_meet(per_cent), met.schema).select("a", "b")
+
+
+def later_matches(
+    sets: list[np.ndarray], order: np.ndarray, sides: np.ndarray, per_cent: int, verify: Callable[[int, int], bool] = lambda i, j: True
+) -> np.ndarray:
     """Which lines of a tile (sides 0) or two tiles (1 and 2: only across) have a similar line of lower order."""
     by_size = np.argsort([len(s) for s in sets], kind="stable")
     sizes = np.array([len(sets[i]) for i in by_size])
@@ -276,21 +248,28 @@ def later_matches(sets: list[np.ndarray], order: np.ndarray, sides: np.ndarray,
             later = k if order[k] > order[i] else i
             if not gone[later]:
                 both = len(np.intersect1d(sets[by_size[i]], sets[by_size[k]], assume_unique=True))
-                gone[later] = 100 * both >= per_cent * (int(sizes[i]) + int(sizes[k]) - both)
+                gone[later] = 100 * both >= per_cent * (int(sizes[i]) + int(sizes[k]) - both) and verify(int(by_size[i]), int(by_size[k]))
     found = np.zeros(len(sets), bool)
     found[by_size] = gone
     return found
 
 
 def _compare(per_cent: int):
-    """Of rows sorted by task (task, side, node, doc_id, line_no, line): the nodes with a similar earlier one."""
+    """Of rows sorted by task (task, side, node, check, doc_id, line_no, line): the sets with a similar earlier one."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        h, _, first, *_ = line_sets([line.replace("\n", " ").encode("utf-8", "surrogatepass") for *_, line in rows])
+        encoded = [row[-1].replace("\n", " ").encode("utf-8", "surrogatepass") for row in rows]
+        own = lru_cache(4096)(lambda i: frozenset(folded_words(rows[i][-1])))
+
+        def verify(i: int, j: int) -> bool:
+            both = len(own(i) & own(j))
+            return 100 * both >= per_cent * (len(own(i)) + len(own(j)) - both)
+
+        h, _, first, *_ = line_sets(encoded)
         order = np.empty(len(rows), np.int64)
-        order[sorted(range(len(rows)), key=lambda i: (rows[i][2], rows[i][3]))] = np.arange(len(rows))
-        gone = later_matches(np.split(h, first[1:]), order, np.array([row[0] for row in rows]), per_cent)
-        return pa.RecordBatch.from_arrays([pa.array([row[1] for row, x in zip(rows, gone, strict=True) if x], pa.int64())], ["node"])
+        order[sorted(range(len(rows)), key=lambda i: (rows[i][3] is not None, rows[i][3] or 0, rows[i][4]))] = np.arange(len(rows))
+        gone = later_matches(np.split(h, first[1:]), order, np.array([row[0] for row in rows]), per_cent, verify)
+        return pa.RecordBatch.from_arrays([pa.array([row[at] for row, x in zip(rows, gone, strict=True) if x], pa.int64()) for at in (1, 2)], ["node", "check"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, rows = None, []
@@ -307,55 +286,84 @@ def _compare(per_cent: int):
     return run
 
 
-def removed_lines(docs: DataFrame, per_cent: int = PER_CENT, filter_buckets: int = 1 << 20) -> DataFrame:
+def _fetch(wanted: Membership):
+    """Of rows (doc_id, text) the lines that `wanted` passes by doc_id and line number, with the 128 bits of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            sizes = np.array([t.count("\n") + 1 for t in texts])
+            text = np.repeat(np.arange(len(texts)), sizes)
+            number = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            good = wanted.passes(numbers(batch.column(0).take(pa.array(text)), pa.array(number)))
+            lines, last, parts = [], -1, []
+            for at, i in zip(text[good].tolist(), number[good].tolist(), strict=True):
+                if at != last:
+                    last, parts = at, texts[at].split("\n")
+                lines.append(parts[i])
+            encoded = [line.encode("utf-8", "surrogatepass") for line in lines]
+            h, _, first, filled, *_ = line_sets(encoded) if encoded else (None, None, (), ())
+            if len(first):
+                node, check = digests(h, first, np.diff(np.append(first, len(h))))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(check), pa.array([lines[i] for i in filled.tolist()], pa.string())], ["node", "check", "line"])
+
+    return run
+
+
+def removed_lines(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """One row per doc_id: doc_id, n_lines, removed (sorted line numbers, from 0) for docs (doc_id, text).
 
     Lines are parted by \\n; a line's words are runs of other characters than `[\\x20\\x09-\\x0D]`, A-Z lower-cased. A
     line is removed if an earlier line, of the same document or one with a smaller doc_id, has a Jaccard coefficient
     of per_cent / 100 or more with it. Lines without words stay. Null texts count as one empty line, null ids as
     smaller than all others. Rows that repeat a doc_id are one document whose line numbers each row has: the same
-    number is one line, so a repeated row loses no more than one copy does. Other columns are not read.
+    number is one line, so a repeated row loses no more than one copy does. Other columns are not read. Equal sets are
+    told by 128 bits of keyed hashes of their words, similar ones by the words themselves.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spark = docs.sparkSession
-    lines, counts = scan_lines(docs)
+    scanned, counts = scan_lines(docs)
+    lines = scanned.where("node IS NOT NULL")
     levels = spark.sparkContext.broadcast(rarity(counts))
-    nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("n").alias("n"), F.count("*").alias("copies"))
-    nodes = materialize(nodes.select("node", "n", "copies", "first.doc_id", "first.line_no"), "nodes")
-
-    prefixes = docs.select("text").mapInArrow(_prefixes(levels, per_cent), "key long, node long, place long, signature binary")
-    edges = prefixes.repartition("key").sortWithinPartitions("key", "place").mapInArrow(_meet(per_cent), "a long, b long")
-    members = materialize(nodes.join(components(edges), "node").select("node", "root", "n", "doc_id", "line_no"), "members")
+    spread = spark.sparkContext.broadcast(np.minimum(-(-counts // BLOCK), (1 << 31) - 2).astype(np.int32))
+    nodes = lines.groupBy("node", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("n").alias("n"), F.count("*").alias("copies"))
+    nodes = materialize(nodes, "nodes")
+
+    prefixes = docs.select("text").mapInArrow(_prefixes(levels, spread, per_cent), _SIGNED).repartition("key", "salt").sortWithinPartitions("key", "salt", "place")
+    met = materialize(prefixes.mapInArrow(_meet(per_cent), "a long, b long, key long, node long, place long, signature binary"), "met")
+    edges = met.where("a IS NOT NULL").select("a", "b").union(_heavy_edges(met, per_cent))
+    members = nodes.join(components(edges), "node").select("node", "check", "root", "n", "first.doc_id", "first.line_no")
+    members = materialize(members, "members")
     tasks = materialize(tiles(members, per_cent), "tasks")
-    bucket = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(filter_buckets))
-    wanted = tasks.select(bucket.alias("bucket")).distinct()  # filter_buckets rows at most
-    texts = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("bucket", bucket)
-    texts = texts.join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
-    rows = tasks.join(texts, ["doc_id", "line_no"])
-    rows = rows.select("task", "side", "node", "doc_id", "line_no", "line").repartition("task").sortWithinPartitions("task")
-    gone = rows.mapInArrow(_compare(per_cent), "node long").distinct().withColumn("gone", F.lit(True))
-    status = nodes.join(materialize(gone, "gone"), "node", "left").where("copies > 1 OR gone")
-    status = materialize(status.select("node", F.coalesce("gone", F.lit(False)).alias("gone"), F.struct("doc_id", "line_no").alias("first")), "status")
-
-    marked = lines.join(status, "node", "left")
-    removed = F.col("gone") | ~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")))
-    per_doc = marked.where(removed).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    sizes = docs.groupBy("doc_id").agg(F.max(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
-    found = sizes.join(materialize(per_doc, "per_doc"), "doc_id", "left")
-    real = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id"))
-    return found.select(real.alias("doc_id"), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
-
-
-def remove_lines(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """The rows of docs, all columns; texts lose the lines that repeat earlier ones, and n_chars, if there, follows."""
-    removed = removed_lines(docs, per_cent).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    joined = docs.join(materialize(removed, "removed"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("_removed"), i))
-    joined = joined.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    found = docs.mapInArrow(_fetch(membership(members.select("doc_id", "line_no"))), "node long, check long, line string").dropDuplicates(["node", "check"])
+    rows = tasks.join(found, ["node", "check"]).select("task", "side", "node", "check", "doc_id", "line_no", "line").repartition("task").sortWithinPartitions("task")
+    gone = rows.mapInArrow(_compare(per_cent), "node long, check long").withColumn("gone", F.lit(True))
+    several = nodes.where("copies > 1").select("node", "check", F.lit(False).alias("gone"), "first")
+    status = several.unionByName(gone.withColumn("first", F.lit(None).cast("struct<doc_id:bigint,line_no:int>")))
+    status = materialize(status.groupBy("node", "check").agg(F.max("gone").alias("gone"), F.max("first").alias("first")), "status")
+
+    marked = lines.join(status, ["node", "check"])
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
+    marked = marked.where(F.col("gone") | ~same).select("doc_id", "line_no", F.lit(None).cast("int").alias("lines"))
+    sizes = scanned.where("node IS NULL").select("doc_id", F.lit(None).cast("int").alias("line_no"), F.col("n").alias("lines"))
+    removed = F.sort_array(F.collect_set("line_no")).alias("removed")
+    return sizes.unionByName(marked).groupBy("doc_id").agg(F.max("lines").cast("long").alias("n_lines"), removed)
+
+
+def remove_lines(docs: DataFrame, per_cent: int = PER_CENT, keep_emptied: bool = True) -> DataFrame:
+    """The rows of docs, all columns; texts lose the lines that repeat earlier ones, and n_chars, if there, follows.
+    keep_emptied: whether a row stays whose text loses its last words so; rows without words from the start stay."""
+    removed = removed_lines(docs, per_cent).where(F.size("removed") > 0)
+    removed = broadcast_if_small(materialize(removed, "removed"), 48 + 4 * F.size("removed"))
+    joined = docs.join(removed, docs["doc_id"].cast("long").eqNullSafe(removed["doc_id"]), "left")
+    left_out = removed["removed"]
+    kept = F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.array_contains(left_out, i))
+    changed = {"text": F.when(left_out.isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))}
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        joined = joined.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
-    return joined.select(*docs.columns)
+        changed["n_chars"] = F.when(left_out.isNull(), docs["n_chars"]).otherwise(F.char_length(changed["text"]).cast(dict(docs.dtypes)["n_chars"]))
+    if not keep_emptied:
+        joined = joined.where(left_out.isNull() | changed["text"].rlike("[^ \\t-\\r]"))
+    return joined.select(*(changed.get(c, docs[c]).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir):

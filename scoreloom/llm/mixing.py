@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import copy_key, materialize, table
 
 FRAME = 240
 #: Rows of the schedule that the driver holds at once.
@@ -100,11 +100,6 @@ def frame_pattern(shares: DataFrame) -> DataFrame:
     return slots.select("phase", F.element_at("members", F.col("i") + 1)["source"].alias("source"), j.alias("j"), "slot", "length")
 
 
-def copy_key():
-    """Tells rows of one doc_id and source apart by their text."""
-    return F.xxhash64(F.coalesce("text", F.lit("")))
-
-
 def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = 100_000, frame: int = FRAME, bucket_rows: int = 500) -> DataFrame:
     """doc_id, source, block, phase, slot, place, copy (a hash of the text) of every row of docs; (slot, place) is the
     order of the mixture.

@@ -77,3 +77,33 @@ def test_parts_leave_no_similar_pair_apart():
             b = np.unique(np.concatenate((a[rng.permutation(len(a))[d:]], rng.integers(0, 1 << 63, d).astype(np.uint64))))
             if m.similar(a, b, 85):
                 assert set(np.concatenate(list(m._part_keys(a, bands)))) & set(np.concatenate(list(m._part_keys(b, bands)))) if d else True
+
+
+def test_ids_that_repeat_or_are_null_keep_their_links(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    docs = [(5, a, "x"), (5, b, "x"), (6, b + " end", "x"), (None, a + " end", "x"), (None, "alone here", "x"), (9, None, "x"), (9, None, "x")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, node string")
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in m.jaccard_classes(frame).collect()), key=str)
+    assert found == sorted([(5, 57, 5), (5, 57, 5), (6, 58, 5), (None, 58, 5), (None, 1, None), (9, 0, 9), (9, 0, 9)], key=str)
+    frame = spark.createDataFrame([(5, a, "x"), (5, b, "y"), (3, b + " end", "z"), (None, a + " end", "x"), (None, "alone here", "x")], "doc_id long, text string, _text string")
+    assert sorted(map(str, (r["_text"] + str(r["doc_id"]) for r in m.keep_one_of_each(frame).collect()))) == ["x5", "xNone", "z3"]
+
+
+def test_other_words_with_equal_letters_do_not_link(spark):
+    from test_line_dedup import thue_morse
+
+    word = thue_morse(1024)
+    docs = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())]
+    assert sorted(tuple(r) for r in m.jaccard_classes(frame(spark, docs)).collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_keys_of_many_sets_are_dealt_out(spark, monkeypatch):
+    for name, value in (("OFTEN", 2), ("SALTS", 4), ("FEW", 3), ("HELD", 20)):
+        monkeypatch.setattr(m, name, value)
+    docs = copies(random.Random(7), 25)
+    base = [f"c{i}" for i in range(80)]
+    for d in range(40):  # a passage that many share
+        docs.append((500 + d, " ".join(base + [f"y{d}x{i}" for i in range(d % 9)])))
+    found = sorted(tuple(r) for r in m.jaccard_classes(frame(spark, docs)).collect())
+    assert found == brute(docs, 4, 85)

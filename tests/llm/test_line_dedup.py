@@ -54,3 +54,35 @@ def test_texts_lose_lines_and_rows_stay(spark):
     found = {r.doc_id: (r.text, r.n_chars) for r in m.remove_lines(docs).collect()}
     assert found == {None: ("a b c", 5), 1: ("", 0), 2: ("new", 3), 3: (None, 0)}
     assert m.remove_lines(docs.limit(0)).count() == 0
+
+
+def test_frequent_words_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK", 16)
+    rng = random.Random(6)
+    docs = [(d, " ".join(f"w{rng.randrange(14)}" for _ in range(rng.choice([4, 6, 10])))) for d in range(150)]
+    found = {r.doc_id: r.removed for r in m.removed_lines(frame(spark, docs)).collect()}
+    assert found == brute(docs)
+
+
+def thue_morse(n):
+    text = "ab"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text
+
+
+def test_other_words_never_pass_for_equal_and_ids_may_be_extreme(spark):
+    word = thue_morse(1024)
+    twin = word.translate(str.maketrans("ab", "ba"))
+    least = -(1 << 63)
+    docs = [(least, f"{word}\na b c"), (None, f"{twin}\nc b a"), (7, "x " * 5000 + "\n" + word)]
+    found = {r.doc_id: r.removed for r in m.removed_lines(frame(spark, docs)).collect()}
+    assert found == {None: [], least: [1], 7: [1]}
+
+
+def test_more_lines_than_the_packed_order_tells_apart(monkeypatch):
+    held = ["\n".join(f"w{i % 7} w{i % 5}" for i in range(300)).encode()]
+    h, _, first, lines, *_ = m.line_sets(held)
+    monkeypatch.setattr(m, "_LINES", 100)
+    other = m.line_sets(held)
+    assert (other[0] == h).all() and (other[2] == first).all() and (other[3] == lines).all() and len(lines) == 300
