@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.llm import decontamination, jaccard_join, line_dedup, mixing, toxicity
-from scoreloom.llm.common import materialize, table
+from scoreloom.llm.common import copy_key, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,12 +19,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; texts lose the lines that are similar to earlier ones. A text may end up empty."""
-    return line_dedup.remove_lines(docs.select(*COLUMNS))
+    """Texts lose the lines that are similar to earlier ones; documents of which no words are left go. Documents
+    without words from the start stay. A repeated doc_id is one document whose rows lose the same line numbers."""
+    return line_dedup.remove_lines(docs.select(*COLUMNS), keep_emptied=False)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard coefficient of 0.8 on five-word shingles the one with the smallest doc_id."""
+    """Of documents linked by a Jaccard coefficient of 0.8 on five-word shingles the one with the smallest doc_id; each
+    row is judged by its own text, and a row of null doc_id goes if it is linked with one that has an id."""
     return jaccard_join.keep_one_of_each(docs.select(*COLUMNS), width=5, per_cent=80)
 
 
@@ -36,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture, with block, phase, slot and place."""
     order = materialize(mixing.mix(docs), "mixture").select("doc_id", "source", "block", "phase", "slot", "place", "copy")
-    copies = docs.select(*COLUMNS).withColumn("copy", mixing.copy_key())
+    copies = docs.select(*COLUMNS).withColumn("copy", copy_key())
     same = copies["doc_id"].eqNullSafe(order["doc_id"]) & (F.coalesce(copies["source"], F.lit("")) == order["source"]) & (copies["copy"] == order["copy"])
     mixed = copies.join(order.dropDuplicates(["doc_id", "source", "copy"]), same).select(*(copies[c] for c in COLUMNS), "block", "phase", "slot", "place")
     return mixed.orderBy("slot", "place", "doc_id")
