@@ -56,3 +56,68 @@ def test_labels_of_the_whole_page_and_of_states_mark_nothing_out():
         assert m.extract(page, m.best_path(page)[0]) == "Words of the article.", open_tags
     only = f"<html><body><nav>Menu</nav><div class='page-header'>{text}</div></body></html>"
     assert m.extract(only, m.best_path(only)[0]) == "Words of the article."
+
+
+def extracted(page):
+    return m.extract(page, m.best_path(page)[0])
+
+
+def test_names_do_not_decide_about_articles():
+    text = "<p>" + "Words of the article here. " * 12 + "</p>"
+    plain = ("Words of the article here. " * 12).strip()
+    for open_tags in ("<body class='home has-sidebar'>", "<main class='content with-sidebar'>", "<article class='post comments-open'>", "<div class='elementor-widget-container'>", "<div id='header-main'>"):
+        assert extracted(f"<html>{open_tags}{text}</html>") == plain, open_tags
+    inside = f"<body><article><p class='notice-period'>Notice period.</p>{text}<p>A <span class='share'>share</span> of it.</p></article></body>"
+    assert extracted(inside) == f"Notice period.\n{plain}\nA share of it."
+    head = f"<body><article><header><div><h1>Title</h1></div><p>Lead of it.</p></header>{text}</article></body>"
+    assert extracted(head) == f"Title\nLead of it.\n{plain}"
+    parts = f"<body><header><h1>Site</h1></header><div class='post'><div class='lead'><p>Lead of it.</p></div><div class='body'>{text}</div></div><div class='side'><p>Else.</p></div></body>"
+    assert extracted(parts) == f"Lead of it.\n{plain}"
+    comments = f"<body><article>{text}<div id='comments'>{'<article class=comment><p>Reader says much more here.</p></article>' * 40}</div></article></body>"
+    assert extracted(comments) == plain
+    assert extracted(f"<body><div role=banner><p>Shop.</p></div>{text}<div hidden><p>Not seen.</p></div></body>") == plain
+
+
+def test_attributes_and_references():
+    page = "<body><article><p title=it's data-x='a>b' class = \"q>\">A &lt;b&gt; &#233;&#x20AC; &amp;lt; 1 < 2</p><img alt='x'/><p>B<b/>C</p></article></body>"
+    assert extracted(page) == "A <b> é€ &lt; 1 < 2\nBC"
+    assert extracted("<article><script>if (a < b) '</p>'</SCRIPT ><p>Seen.</p><style>p{}</style></article><!-- <p>no</p>") == "Seen."
+
+
+def test_malformed_long_pages_take_linear_time():
+    import time
+
+    began = time.monotonic()
+    for piece in ("<a ", "<a x='", "<b>", "<div>", "<div><p>", "</p><li>", "<!--", "<script>", "&", "<a href=x>", "<table><tr><td>", "<ul><li><b>"):
+        page = "<article><p>Start.</p>" + piece * (100_000 // len(piece))
+        assert m.extract(page, m.best_path(page)[0]).startswith("Start.")
+    assert m.extract("<p>Start.</p>" + "<a " * 1_700_000, None) == "Start."
+    assert m.extract("<div><p>x" * 60_000, None) == "\n".join(["x"] * 60_000)
+    assert time.monotonic() - began < 120
+
+
+def test_ties_of_votes_go_to_the_smaller_path(spark):
+    text = "<p>" + "Words of text here. " * 20 + "</p>"
+    rows = [(1, "http://t.org/1", f"<body><div class=b>{text}</div></body>"), (2, "http://t.org/2", f"<body><div class=a>{text}</div></body>")]
+    assert [r.path for r in m.winning_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()] == [">body>div.a"]
+
+
+def test_generated_pages_against_their_texts(spark):
+    import random
+
+    rng = random.Random(9)
+    sentence = lambda n: " ".join(rng.choice(["Alpha", "beta", "gamma", "delta", "epsilon"]) for _ in range(n)) + "."
+    layouts = [
+        lambda a: f"<main><article class='post has-sidebar'>{a}<section id=comments><p>{sentence(40)}</p></section></article><aside>{sentence(9)}</aside></main>",
+        lambda a: f"<div id=page><div class='content'>{a}</div><div class='sidebar'><p>{sentence(60)}</p></div></div>",
+        lambda a: f"<table><tr><td class=nav><a href=x>{sentence(3)}</a></td><td class=text>{a}</td></tr></table>",
+    ]
+    rows, expected = [], {}
+    for i in range(60):
+        parts = [sentence(rng.randrange(8, 60)) for _ in range(rng.randrange(2, 7))]
+        body = "".join(f"<p>{p}</p>" if rng.random() < 0.7 else f"<p>{p}" for p in parts)
+        page = f"<html><head><title>x</title></head><body class='single no-js'><nav><ul><li><a href=/>{sentence(2)}</a></ul></nav>{layouts[i % 3](body)}<footer><p>{sentence(20)}</p></footer></body></html>"
+        rows.append((i, f"https://h{i % 3}.org/{i}", page))
+        expected[i] = "\n".join(parts)
+    found = m.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in found.collect()} == expected
