@@ -8,6 +8,7 @@ benchmark of several blocks takes one pass each.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import broadcast_if_small, copy_key, materialize, table
 
 WINDOW = 13
 #: Words are runs of digits, letters a-z and everything from U+0080, after lower-casing A-Z.
@@ -30,7 +31,7 @@ def words(text: str | None) -> list[bytes]:
 class SuffixAutomaton:
     """Of several word sequences: all their substrings, and for each window or short item the items that hold it."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -43,16 +44,20 @@ class SuffixAutomaton:
                 at = self._extend(at, word)
         self.items: dict[int, set[str]] = {}  # by the state of a window
         self.short: dict[int, list[tuple[int, str]]] = {}  # by the state of a whole short item
+        by_length = sorted(range(1, len(self.len)), key=self.len.__getitem__)
+        self.of_window = [0] * len(self.len)  # the state of the last `window` words of what a state stands for
+        for state in by_length:
+            self.of_window[state] = state if self.len[self.link[state]] < window else self.of_window[self.link[state]]
         for name, seq in coded:
             at = 0
             for i, word in enumerate(seq):
                 at = self.next[at][word]
                 if i + 1 >= window:
-                    self.items.setdefault(self._suffix(at, window), set()).add(name)
+                    self.items.setdefault(self.of_window[at], set()).add(name)
             if len(seq) < window:
-                self.short.setdefault(self._suffix(at, len(seq)), []).append((len(seq), name))
+                self.short.setdefault(at, []).append((len(seq), name))
         self.near_short = [-1] * len(self.len)  # the closest state on the way to the root that ends a short item
-        for state in sorted(range(1, len(self.len)), key=self.len.__getitem__):
+        for state in by_length:
             self.near_short[state] = state if state in self.short else self.near_short[self.link[state]]
 
     def _extend(self, last: int, word: int) -> int:
@@ -85,12 +90,6 @@ class SuffixAutomaton:
         self.len.append(length)
         return len(self.len) - 1
 
-    def _suffix(self, state: int, length: int) -> int:
-        """The state of the last `length` words of what `state` stands for."""
-        while self.len[self.link[state]] >= length:
-            state = self.link[state]
-        return state
-
     def scan(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans (start, end) of words hit, in order and not touching, and the items that occur."""
         found: list[tuple[int, int]] = []
@@ -119,7 +118,7 @@ class SuffixAutomaton:
             longest = 0
             if matched >= self.window:
                 longest = self.window
-                items |= self.items[self._suffix(state, self.window)]
+                items |= self.items[self.of_window[state]]
             short = self.near_short[state]
             while short > 0:
                 for size, name in self.short[short]:
@@ -134,24 +133,26 @@ class SuffixAutomaton:
                 found.append((start, i))
 
 
-_SCANNED = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>"
+_SCANNED = "doc_id long, copy long, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>"
 _automata: dict[str, SuffixAutomaton] = {}
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = 1 << 25) -> DataFrame:
-    """doc_id, n_words, spans (of words hit, from 0, end exclusive, in order), item_ids (sorted as strings).
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = 1 << 22) -> DataFrame:
+    """doc_id, copy (a hash of the text), n_words, spans (of words hit, from 0, end exclusive, in order), item_ids
+    (sorted as strings).
 
     docs: doc_id, text; benchmark: item_id, text. Null texts have no words; items without words match nothing; items
-    that repeat an item_id count as one id. Repeated rows of docs give a row each. block_chars bounds what is
-    collected and broadcast at once; a larger benchmark is dealt into blocks that take one pass each.
+    that repeat an item_id count as one id; an item of null id hits words but is not listed. Every row of docs gives a
+    row, whatever it repeats. block_chars bounds what is collected and broadcast at once, about half a gigabyte of
+    states for each Python worker; a larger benchmark is dealt into blocks that take one pass each.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-2 * size // block_chars)) if size > block_chars else 1
     found = None
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scanner(part, window), _SCANNED)
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), copy_key().alias("copy"), "text").mapInArrow(_scanner(part, window), _SCANNED)
         found = rows if found is None else found.unionByName(rows)
     return found if blocks == 1 else _merge(materialize(found, "blocks"), blocks)
 
@@ -167,21 +168,21 @@ def _scanner(items: DataFrame, window: int):
         automaton = _automata[key]
         for batch in batches:
             n_words, spans, names = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 seq = words(text.as_py())
                 hit, items = automaton.scan(seq)
                 n_words.append(len(seq))
                 spans.append([{"start": a, "end": b} for a, b in hit])
-                names.append(sorted(items))
+                names.append(sorted(items - {None}))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "spans", "item_ids"])
+            columns = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "n_words", "spans", "item_ids"])
 
     return run
 
 
 def _merge(rows: DataFrame, blocks: int) -> DataFrame:
-    """One row a document out of one a block; touching spans become one."""
+    """One row a document out of one a block; touching spans become one. Rows of one doc_id and text are alike."""
     none = F.array().cast("array<struct<start:int,end:int>>")
 
     def join(done, s):
@@ -189,14 +190,13 @@ def _merge(rows: DataFrame, blocks: int) -> DataFrame:
         merged = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
         return F.when((F.size(done) > 0) & (F.element_at(F.concat(F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))), done), -1)["end"] >= s["start"]), merged).otherwise(F.concat(done, F.array(s)))
 
-    grouped = rows.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
+    grouped = rows.groupBy("doc_id", "copy", "n_words").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
         (F.count("*") / blocks).cast("int").alias("copies"),
     )
     merged = grouped.withColumn("spans", F.aggregate("spans", none, join))
-    return merged.select("doc_id", "n_words", "spans", "item_ids", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).drop("col")
+    return merged.select("doc_id", "copy", "n_words", "spans", "item_ids", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).drop("col")
 
 
 def judged(scanned: DataFrame, share: int = 20) -> DataFrame:
@@ -205,10 +205,44 @@ def judged(scanned: DataFrame, share: int = 20) -> DataFrame:
     return scanned.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits: int) -> DataFrame:
-    """docs without the contaminated ones, all columns kept. Documents that share a doc_id go together."""
-    bad = judged(scan(docs, benchmark, **limits)).where("contaminated").select("doc_id").distinct()
-    return docs.join(materialize(bad, "contaminated"), "doc_id", "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, share: int = 20, cut: bool = False, **limits: int) -> DataFrame:
+    """docs, all columns, without the contaminated rows; each row is judged by its own text, also with a null doc_id.
+    cut: the rows that stay lose the words hit and what parts them, and n_chars, if there, follows."""
+    judgement = judged(scan(docs, benchmark, **limits), share).where("n_hit > 0").select("doc_id", "copy", "contaminated", "spans").distinct()
+    judgement = materialize(judgement, "hits")
+    found = broadcast_if_small(judgement if cut else judgement.where("contaminated"), 64 + 8 * F.size("spans"))
+    same = docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (copy_key(docs["text"]) == found["copy"])
+    if not cut:
+        return docs.join(found, same, "left_anti")
+    joined = docs.join(found, same, "left").where(~F.coalesce(found["contaminated"], F.lit(False)))
+    flat = joined.select(*(docs[c] for c in docs.columns), F.transform(found["spans"], lambda x: x["start"]).alias("__start"), F.transform(found["spans"], lambda x: x["end"]).alias("__end"))
+    at, last = docs.columns.index("text"), len(docs.columns)
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, texts = list(batch.columns[:last]), batch.column(at).to_pylist()
+            spans = [list(zip(a, b, strict=True)) if a else None for a, b in zip(batch.column(last).to_pylist(), batch.column(last + 1).to_pylist(), strict=True)]
+            texts = [without(t, x) if x else t for t, x in zip(texts, spans, strict=True)]
+            columns[at] = pa.array(texts, columns[at].type)
+            if counted is not None:
+                sizes = [len(t) if x else n for t, x, n in zip(texts, spans, columns[counted].to_pylist(), strict=True)]
+                columns[counted] = pa.array(sizes, columns[counted].type)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
+
+    docs_names = docs.columns
+    return flat.mapInArrow(run, docs.schema)
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of these spans and what lies between them."""
+    data = text.encode("utf-8", "surrogatepass")
+    found = [m.span() for m in re.finditer(rb"[^ ]+", data.translate(_FOLD))]
+    parts, at = [], 0
+    for start, end in spans:
+        parts.append(data[at : found[start][0]])
+        at = found[end - 1][1]
+    return b"".join([*parts, data[at:]]).decode("utf-8", "surrogatepass")
 
 
 def query(spark, sf_dir):

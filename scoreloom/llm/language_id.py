@@ -30,12 +30,13 @@ def has_letter(text: str | None) -> bool:
 
 
 def counts(text: str | None) -> np.ndarray:
-    """How often each bucket's character n-grams occur in the lower-cased text, of which all else but letters is a gap."""
+    """How often each bucket's character n-grams occur in the lower-cased text. Signs and digits of ASCII are gaps; all
+    else, letters and signs from U+0080 too, counts as it is."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     found = np.zeros(BUCKETS)
     for at in range(0, max(len(points), 1), _SLICE):
         part = points[at : at + _SLICE + ORDERS[-1] - 1].astype(np.uint64)
-        part[part < 0x41] = 32
+        part[(part < 0x61) | ((part > 0x7A) & (part < 0x80))] = 32
         for n in ORDERS:
             size = min(len(part) - n + 1, _SLICE)
             if size <= 0:
@@ -119,7 +120,7 @@ def fit(docs: DataFrame, sample: int = 12_000, shards: int = 6, rounds: int = 3,
     chosen = train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     examples = train.join(F.broadcast(chosen), "doc_id").select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("place"))
     examples = materialize(examples.withColumn("shard", F.when(F.col("place") % 10 == 0, -1).otherwise(F.col("place") % shards).cast("int")), "examples")
-    langs = sorted(r["lang"] for r in examples.select("lang").distinct().limit(1000).collect())
+    langs = sorted(r["lang"] for r in examples.select("lang").distinct().collect())  # `sample` languages at most
     df, n = document_frequencies(train)
     model = Model(langs, np.log((1 + n) / (1.0 + df)) + 1.0, np.zeros((max(len(langs), 1), BUCKETS)))
     if len(langs) < 2:

@@ -1,8 +1,8 @@
 """License scans by canonical digests, in DataFrame operations only.
 
 Texts and known licences go through one canonical form: no copyright lines, no case, no punctuation, one spelling.
-The SHA-256 digests of whole documents and of each of their lines then meet the known digests in a hash join. No text
-is shuffled: what travels is at most a row of counts per document and task.
+The SHA-256 digests of whole documents, of each of their lines, and of their paragraphs of several lines then meet the
+known digests in a hash join. No text is shuffled: what travels is at most a row of counts per document and task.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .license_texts import TEXTS
 
 #: Licence identifiers and short texts that stand for them.
 KNOWN = (
@@ -36,7 +37,12 @@ KNOWN = (
 )
 #: Words of several spellings, as whole words of the canonical form.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("v", "version"), ("ver", "version"))
-_COPYRIGHT_LINE = r"(?m)^[^a-z\n]*(?:copyright|\(c\)|©)[^\n]*$"
+#: A line that names a holder or a year, not one of a licence's own that begins with the word or with a clause (c).
+_COPYRIGHT_LINE = (
+    r"(?m)^[^a-z0-9\n]*(?:copyright[^\S\n]*(?:\(c\)|©|[0-9]{4}|by\b|<|\[)|(?:\(c\)|©)[^\S\n]*(?:copyright\b|[0-9]{4})"
+    r"|all rights reserved[^a-z0-9\n]*$)[^\n]*$"
+)
+_PARAGRAPHS = r"\n[ \t\r]*\n"
 _OTHER = r"[^0-9a-z\x80-\x{10FFFF}]+"
 
 
@@ -52,25 +58,31 @@ def canonical(text: Column) -> Column:
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per doc_id: doc_id, whole_license, license_ids, n_license_lines, n_lines.
 
-    docs: doc_id, text; known: license_id, text (KNOWN by default; a table of licence texts, joined by Spark's choice
-    of strategy). whole_license is the smallest identifier whose text the whole document is, or ''. license_ids lists,
-    sorted and comma-joined, every licence that the document or one of its lines is. Null and empty texts have one
-    empty line; empty canonical texts match nothing. Rows that share a doc_id are one document: their lines add up.
+    docs: doc_id, text; known: license_id, text (KNOWN and TEXTS by default; a table of licence texts, joined by
+    Spark's choice of strategy). whole_license is the smallest identifier whose text the whole document is, or ''.
+    license_ids lists, sorted and comma-joined, every licence that the document, one of its lines or one of its
+    paragraphs of several lines is; a licence of several paragraphs is found in a longer document where its lines are
+    lines, and as a whole where it is the document. Of licences with one canonical text the smallest identifier counts.
+    Null and empty texts have one empty line; empty canonical texts match nothing. Rows that share a doc_id, null too,
+    are one document: their lines add up.
     """
     spark = docs.sparkSession
-    known = known if known is not None else spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    known = known if known is not None else spark.createDataFrame(list(KNOWN + TEXTS), "license_id string, text string")
     digests = known.select("license_id", canonical(F.col("text")).alias("plain")).where("plain <> ''")
     digests = digests.groupBy(F.unhex(F.sha2("plain", 256)).alias("digest")).agg(F.min("license_id").alias("license_id"))
     text = F.coalesce("text", F.lit(""))
     lines = F.split(text, "\n")
-    units = docs.select("doc_id", F.size(lines).alias("n"), F.posexplode(F.concat(F.array(text), lines)).alias("place", "unit"))
-    units = units.select("doc_id", "n", "place", F.unhex(F.sha2(canonical(F.col("unit")), 256)).alias("digest"))
-    found = units.join(digests, "digest", "left").select("doc_id", "license_id", "n", (F.col("place") == 0).alias("whole"))
+    unit = lambda kind, of: F.struct(F.lit(kind).alias("kind"), of.alias("text"))
+    blocks = F.filter(F.split(text, _PARAGRAPHS), lambda p: F.contains(p, F.lit("\n")) & (p != text))
+    parts = F.concat(F.array(unit("whole", text)), F.transform(lines, lambda x: unit("line", x)), F.transform(blocks, lambda x: unit("block", x)))
+    units = docs.select("doc_id", F.explode(parts).alias("unit"))
+    units = units.select("doc_id", F.col("unit.kind").alias("kind"), F.unhex(F.sha2(canonical(F.col("unit.text")), 256)).alias("digest"))
+    found = units.join(digests, "digest", "left").select("doc_id", "license_id", "kind")
     return found.groupBy("doc_id").agg(
-        F.coalesce(F.min(F.when(F.col("whole"), F.col("license_id"))), F.lit("")).alias("whole_license"),
+        F.coalesce(F.min(F.when(F.col("kind") == "whole", F.col("license_id"))), F.lit("")).alias("whole_license"),
         F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("license_ids"),
-        F.count(F.when(~F.col("whole"), F.col("license_id"))).alias("n_license_lines"),
-        F.count(F.when(~F.col("whole"), F.lit(1))).alias("n_lines"),
+        F.count(F.when(F.col("kind") == "line", F.col("license_id"))).alias("n_license_lines"),
+        F.count(F.when(F.col("kind") == "line", F.lit(1))).alias("n_lines"),
     )
 
 
@@ -86,14 +98,16 @@ def _canonical_sql(text: str) -> str:
     return out
 
 
-_VALUES = ", ".join(f"('{name}', '{text}')" for name, text in KNOWN)
+_VALUES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN + TEXTS)
 SQL = f"""
 WITH k AS (SELECT sha256(p) AS digest, min(license_id) AS license_id FROM (SELECT license_id, {_canonical_sql("text")} AS p FROM (VALUES {_VALUES}) AS v(license_id, text)) GROUP BY 1),
-u AS (SELECT doc_id, true AS whole, coalesce(text, '') AS unit FROM documents
-      UNION ALL SELECT doc_id, false, unnest(string_split(coalesce(text, ''), chr(10))) FROM documents),
-m AS (SELECT doc_id, whole, license_id FROM (SELECT doc_id, whole, sha256({_canonical_sql("unit")}) AS digest FROM u) LEFT JOIN k USING (digest))
-SELECT doc_id, coalesce(min(license_id) FILTER (whole), '') AS whole_license,
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+u AS (SELECT doc_id, 'whole' AS kind, text AS unit FROM d
+      UNION ALL SELECT doc_id, 'line', unnest(string_split(text, chr(10))) FROM d
+      UNION ALL SELECT doc_id, 'block', unit FROM (SELECT doc_id, text, unnest(regexp_split_to_array(text, '{_PARAGRAPHS}')) AS unit FROM d) WHERE contains(unit, chr(10)) AND unit <> text),
+m AS (SELECT doc_id, kind, license_id FROM (SELECT doc_id, kind, sha256({_canonical_sql("unit")}) AS digest FROM u) LEFT JOIN k USING (digest))
+SELECT doc_id, coalesce(min(license_id) FILTER (kind = 'whole'), '') AS whole_license,
        coalesce(string_agg(DISTINCT license_id, ',' ORDER BY license_id), '') AS license_ids,
-       count(license_id) FILTER (NOT whole) AS n_license_lines, count(*) FILTER (NOT whole) AS n_lines
+       count(license_id) FILTER (kind = 'line') AS n_license_lines, count(*) FILTER (kind = 'line') AS n_lines
 FROM m GROUP BY doc_id
 """

@@ -50,3 +50,19 @@ def test_query_digests(spark):
     assert found[5].turns_sha256 == hashlib.sha256(b"user\n\nassistant\na\nassistant\nb\n").hexdigest()
     assert (found[5].n_turns, found[5].loss_chars, found[5].loss_sha256) == (3, 2, hashlib.sha256(b"ab").hexdigest())
     assert found[6].loss_chars == 0 and m.digests(m.format_trees(m.linear(c.where("conv_id < 0")))).count() == 0
+
+
+def test_cycles_end_the_rounds(spark):
+    rows = [(1, 1, 2), (1, 2, 1), (1, 3, 2), (2, 1, None), (None, None, None), (None, 4, 5), (None, 5, None)]
+    found = {(r.tree, r.leaf, r.node) for r in m.root_paths(spark.createDataFrame(rows, "tree long, node long, parent long")).collect()}
+    assert found == {(1, 3, 3), (1, 3, 2), (1, 3, 1), (2, 1, 1), (None, None, None), (None, 4, 4), (None, 4, 5)}
+
+
+def test_null_turns_and_conversations_and_odd_roles_come_back(spark):
+    rows = [(5, 0, "us\ner", "a"), (5, None, "assistant", "b"), (5, 0, "us\ner", "a"), (None, 1, "\\\n\\n<|x", "c\nd"), (None, None, None, None), (7, 1, "user", "long " * 200_000)]
+    c = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, tree string")
+    back = {r.tree: [tuple(t) for t in r.turns] for r in m.read_back(m.format_trees(m.linear(c), best=1)).collect()}
+    assert back == {5: [("us\ner", "a"), ("us\ner", "a"), ("assistant", "b")], None: [("\\\n\\n<|x", "c\nd"), ("", "")], 7: [("user", "long " * 200_000)]}
+    roles = ["".join(random.Random(i).choice("\\\nn<|") for _ in range(8)) for i in range(400)]
+    pairs = spark.createDataFrame([(r,) for r in roles], "r string").select("r", m.escape_role(m.F.col("r")).alias("e"))
+    assert all(x.r == x.u and "\n" not in x.e and "<|" not in x.e for x in pairs.select("r", "e", m.unescape_role(m.F.col("e")).alias("u")).collect())

@@ -17,6 +17,24 @@ def test_licenses_by_canonical_digest(spark):
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_whole_texts_notices_and_clauses(spark):
+    import textwrap
+
+    from scoreloom.llm.license_texts import TEXTS
+
+    wrap = lambda text, n: "\n\n".join(textwrap.fill(p, n) for p in text.split("\n\n"))
+    rows = [(i, f"Copyright (c) {1990 + i} Some One\nAll rights reserved.\n\n" + wrap(text.upper(), 40 + i)) for i, (_, text) in enumerate(TEXTS)]
+    notice = dict(TEXTS)["MPL-2.0"]
+    rows += [(50, f"Some code.\n\n{wrap(notice, 50)}\n\nMore code."), (51, "(c) You may copy."), (52, "(c) You may never copy."), (53, "© 2020 A\n" + "x " * 200_000)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license_id string")
+    found = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    assert all(found[i].whole_license == name for i, (name, _) in enumerate(TEXTS))
+    assert found[50].license_ids == "MPL-2.0" and found[50].whole_license == "" and found[53].license_ids == ""
+    known = spark.createDataFrame([("B", "(c) You may copy."), ("A", "(C) you may COPY")], "license_id string, text string")
+    found = {r.doc_id: r.whole_license for r in license_scan.scan_licenses(docs, known).collect()}
+    assert found[51] == "A" and found[52] == ""
+
+
 def simulate(shares):
     """Pfair slot by slot: of the released blocks the earliest deadline, then the first source."""
     length, done, order = sum(shares.values()), dict.fromkeys(shares, 0), []
