@@ -23,10 +23,15 @@ def for_cases(tables: Tables, cases: DataFrame, side: str) -> Tables:
 # --- normalisation -------------------------------------------------------------------------------------------------
 
 
-def event_staff(events: DataFrame) -> DataFrame:
-    """Adds event_staff: its own, else the only staff of its notes."""
+def event_staff_of() -> Column:
+    """An event's own staff, else the only staff of its notes."""
     staves = F.array_distinct(F.transform("notes", lambda n: n["staff"]))
-    return events.withColumn("event_staff", F.coalesce("staff", F.when(F.size(staves) == 1, F.get(staves, F.lit(0)))))
+    return F.coalesce("staff", F.when(F.size(staves) == 1, F.get(staves, F.lit(0))))
+
+
+def event_staff(events: DataFrame) -> DataFrame:
+    """Adds event_staff."""
+    return events.withColumn("event_staff", event_staff_of())
 
 
 def normalize_monophonic(events: DataFrame) -> DataFrame:
@@ -36,20 +41,117 @@ def normalize_monophonic(events: DataFrame) -> DataFrame:
     return events.withColumn("voice", F.when(F.col("voice").isNotNull() & F.col("event_staff").isNotNull() & (voices == 1), 1).otherwise(F.col("voice")))
 
 
-def normalize_interstaff(events: DataFrame, measures: DataFrame) -> DataFrame:
-    """In parts of two staves, what stands below the first or above the second stands between, on the first."""
-    two = measures.groupBy("case_id", "part_idx").agg(F.max("staves").alias("n")).where("n = 2").drop("n").withColumn("two", F.lit(True))
-    between = F.col("two") & ((F.col("event_staff") == 1) & (F.col("placement") == "below") | (F.col("event_staff") == 2) & (F.col("placement") == "above"))
-    rows = events.join(two, ["case_id", "part_idx"], "left").withColumn("between", F.coalesce(between, F.lit(False)))
-    return rows.withColumns({"event_staff": F.when(F.col("between"), 1).otherwise(F.col("event_staff")), "placement": F.when(F.col("between"), "between").otherwise(F.col("placement"))}).drop("two", "between")
+def normalize_interstaff(events: DataFrame, measures: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """events and spans; in parts of two staves, directions and spans below the first staff or above the second stand
+    between, on the first."""
+    two = measures.groupBy("case_id", "part_idx").agg((F.max("staves") >= 2).alias("two"))
+    second = events.groupBy("case_id", "part_idx").agg(F.max(F.col("event_staff") == 2).alias("second"))
+    two = two.join(second, ["case_id", "part_idx"], "left").where("two OR second").select("case_id", "part_idx", F.lit(True).alias("two"))
+    two = materialize(two, "two_staves")
+    inner = lambda staff: (staff == 1) & (F.col("placement") == "below") | (staff == 2) & (F.col("placement") == "above")
+
+    def marked(df: DataFrame, between: Column) -> DataFrame:
+        rows = df.join(two, ["case_id", "part_idx"], "left").withColumn("between", F.coalesce(F.col("two") & between, F.lit(False)))
+        return rows.withColumn("placement", F.when(F.col("between"), "between").otherwise(F.col("placement"))).drop("two")
 
+    direction = F.col("type").isin("dynamic", "text", "tempo", "navigation")
+    rows = marked(events, direction & inner(F.col("staff")))
+    rows = rows.withColumns({c: F.when(F.col("between"), 1).otherwise(F.col(c)) for c in ("staff", "event_staff")}).drop("between")
+    lines = marked(spans, (F.col("from.staff") == F.col("to.staff")) & inner(F.col("from.staff")))
+    first = lambda end: F.when(F.col("between"), F.col(end).withField("staff", F.lit(1))).otherwise(F.col(end))
+    return rows, lines.withColumns({"from": first("from"), "to": first("to")}).drop("between")
 
-def trim_trailing_measures(measures: DataFrame, events: DataFrame) -> DataFrame:
-    """Without the empty measures at the end of a part: no events, no attributes."""
+
+def trim_trailing_measures(measures: DataFrame, events: DataFrame, spans: DataFrame) -> DataFrame:
+    """Without the empty measures at the end of a part, but the first: no events, no time, key or clefs, and no span of
+    the case begins or ends there. The last barline and repeat on the right go to the measure that ends the part now."""
     busy = events.select(*_PLACE).distinct().withColumn("busy", F.lit(True))
-    rows = measures.join(busy, _PLACE, "left")
-    empty = F.col("busy").isNull() & F.col("time").isNull() & F.col("key").isNull() & F.col("clefs").isNull() & F.col("staves").isNull()
-    return sequences.trim_trailing(rows, ["case_id", "part_idx"], ["measure_idx"], empty).drop("busy")
+    ends = spans.select("case_id", F.explode(F.array("from.measure", "to.measure")).alias("measure_no")).distinct().withColumn("spanned", F.lit(True))
+    rows = measures.join(busy, _PLACE, "left").join(ends, ["case_id", "measure_no"], "left")
+    empty = F.col("busy").isNull() & F.col("spanned").isNull() & F.col("time").isNull() & F.col("key").isNull() & (F.col("clefs").isNull() | (F.size("clefs") == 0))
+    part = Window.partitionBy("case_id", "part_idx")
+    last = F.coalesce(F.max(F.when(~empty, F.col("measure_idx"))).over(part), F.min("measure_idx").over(part))
+    rows = rows.withColumn("_last", last)
+    onwards = F.col("measure_idx") >= F.col("_last")
+    moved = {c: F.max_by(c, F.when(onwards & F.col(c).isNotNull(), F.col("measure_idx"))).over(part) for c in ("right_barline", "right_repeat")}
+    rows = rows.withColumns({f"_{c}": m for c, m in moved.items()}).where("measure_idx <= _last")
+    ending = F.col("measure_idx") == F.col("_last")
+    rows = rows.withColumns({c: F.when(ending, F.col(f"_{c}")).otherwise(F.col(c)) for c in moved})
+    return rows.select(*measures.columns)
+
+
+def collapse_split(split: Tables, grand: Tables) -> Tables:
+    """split, in which the two parts of a case become the staves of one where the other side has one part of two staves
+    with the same measures, and both parts use their first staff only."""
+    parts = split["measures"].select("case_id", "part_idx", "part_id").distinct()
+    numbers = split["measures"].groupBy("case_id", "part_idx").agg(F.sort_array(F.collect_list("measure_no")).alias("numbers"))
+    two = parts.join(numbers, ["case_id", "part_idx"]).groupBy("case_id").agg(
+        F.count("*").alias("n"), F.count_distinct("numbers").alias("kinds"), F.min("part_idx").alias("upper_idx"), F.max_by("part_id", "part_idx").alias("lower_id"), F.max("part_idx").alias("lower_idx")
+    )
+    two = two.where("n = 2 AND kinds = 1").drop("n", "kinds")
+    other = lambda staff: staff.isNotNull() & (staff != 1)
+    clefs = F.coalesce(F.exists("clefs", lambda c: other(c["staff"])), F.lit(False))
+    off = split["events"].where(other(event_staff_of())).select("case_id").union(split["measures"].where(clefs).select("case_id")).distinct()
+    one = grand["measures"].groupBy("case_id").agg(F.count_distinct("part_idx").alias("n"), F.max("staves").alias("staves"), F.min("part_id").alias("grand_id"), F.min("part_idx").alias("grand_idx"))
+    second = grand["events"].where(event_staff_of() == 2).select("case_id").distinct().withColumn("second", F.lit(True))
+    one = one.join(second, "case_id", "left").where("n = 1 AND (staves >= 2 OR second)").select("case_id", "grand_id", "grand_idx")
+    plan = materialize(two.join(one, "case_id").join(off, "case_id", "left_anti"), "collapsed")
+    if plan.isEmpty():
+        return split
+    found = dict(split)
+    collapsed = F.col("grand_id").isNotNull()
+    staff = F.when(F.col("part_idx") == F.col("lower_idx"), 2).otherwise(1)
+    extra = [c for c in plan.columns if c != "case_id"]
+    for name in ("events", "relations", "spans"):
+        rows = split[name].join(plan, "case_id", "left")
+        if name == "events":
+            moved = F.when(collapsed & F.col("notes").isNotNull(), F.transform("notes", lambda n: n.withField("staff", staff))).otherwise(F.col("notes"))
+            rows = rows.withColumns({"notes": moved, "staff": F.when(collapsed & F.col("staff").isNotNull(), staff).otherwise(F.col("staff"))})
+        if name == "spans":
+            lower = F.col("part_id") == F.col("lower_id")
+            rows = rows.withColumns({end: F.when(collapsed & lower, F.col(end).withField("staff", F.lit(2))).otherwise(F.col(end)) for end in ("from", "to")})
+        renamed = {c: F.when(collapsed, F.col(to)).otherwise(F.col(c)) for c, to in (("part_id", "grand_id"), ("part_idx", "grand_idx")) if c in rows.columns}
+        found[name] = rows.withColumns(renamed).drop(*extra)
+    rows = split["measures"].join(plan, "case_id", "left")
+    tagged = F.when(collapsed, F.transform("clefs", lambda c: c.withField("staff", staff))).otherwise(F.col("clefs"))
+    rows = rows.withColumns({"clefs": tagged, "_part": F.when(collapsed, F.lit(-1)).otherwise(F.col("part_idx"))})
+    ordered = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("part_idx"))).alias(c)
+    plain = [c for c in split["measures"].columns if c not in ("case_id", "measure_no", "clefs", "part_id", "part_idx", "staves")]
+    both = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("clefs").isNotNull(), F.struct("part_idx", "clefs")))), lambda x: x["clefs"]))
+    rows = rows.groupBy("case_id", "_part", "measure_no").agg(
+        *(ordered(c) for c in plain), F.when(F.size(both) > 0, both).alias("clefs"), ordered("staves"), F.min("part_id").alias("part_id"), F.min("part_idx").alias("part_idx"), F.max("grand_id").alias("grand_id"), F.max("grand_idx").alias("grand_idx")
+    )
+    opening = F.min("measure_no").over(Window.partitionBy("case_id", "_part")) == F.col("measure_no")
+    rows = rows.withColumns({"staves": F.when(collapsed & opening, 2).otherwise(F.col("staves")), "part_id": F.coalesce("grand_id", "part_id"), "part_idx": F.coalesce("grand_idx", "part_idx")})
+    found["measures"] = rows.select(*split["measures"].columns)
+    names = split["parts"].join(plan, "case_id", "left").where(~F.coalesce(collapsed & (F.col("part_id") == F.col("lower_id")), F.lit(False)))
+    found["parts"] = names.withColumn("part_id", F.coalesce("grand_id", "part_id")).drop(*extra)
+    return found
+
+
+def match_parts(expected: Tables, actual: Tables) -> tuple[Tables, Tables, DataFrame]:
+    """Both sides with the part_idx of the expected part that each is matched with, first by id, then by name, and the
+    part issues. What has no partner keeps its relations and spans only; those of the actual side count from -1 down."""
+
+    def listed(t: Tables) -> DataFrame:
+        rows = t["measures"].select("case_id", "part_id", "part_idx").distinct().join(t["parts"].select("case_id", "part_id", "name").dropDuplicates(["case_id", "part_id"]), ["case_id", "part_id"], "left")
+        return rows.select("case_id", "part_id", "part_idx", F.coalesce(norm_text(F.col("name")), F.lit("")).alias("plain"), "name")
+
+    keyed = lambda df, x: df.select(F.struct("case_id", "part_idx").alias(f"{x}_key"), F.struct("case_id", "part_id").alias(f"{x}_id"), F.struct("case_id", "plain").alias(f"{x}_name"), F.col("name").alias(f"{x}_title"))
+    e, a = materialize(keyed(listed(expected), "e"), "parts"), materialize(keyed(listed(actual), "a"), "parts")
+    pairs = materialize(matching.priority_match(e, a, "e_key", "a_key", [("e_id", "a_id"), ("e_name", "a_name")]), "pairs")
+    rows = e.join(pairs, "e_key", "full_outer").join(a, "a_key", "full_outer")
+    place = F.coalesce("e_key", F.struct(F.col("a_key.case_id").alias("case_id"), (-1 - F.col("a_key.part_idx")).alias("part_idx")))
+    rows = materialize(rows.select(place.alias("place"), "*").select("place.case_id", "place.part_idx", "*"), "matched_parts")
+    lost, gained = F.col("a_key").isNull(), F.col("e_key").isNull()
+    code = F.when(lost, "part.missing").when(gained, "part.extra").otherwise("part.id")
+    shown = lambda x: F.when(lost | gained, F.col(f"{x}_title")).otherwise(F.col(f"{x}_id.part_id"))
+    issues = _issue(rows.where(lost | gained | (F.col("tier") == 2)), code, "Structure", shown("e"), shown("a"))
+    index = rows.where("a_key IS NOT NULL").select("a_key.case_id", F.col("a_key.part_idx").alias("part_idx"), F.col("part_idx").alias("_to"))
+    moved = {name: df.join(index, ["case_id", "part_idx"]).withColumn("part_idx", F.col("_to")).drop("_to") if "part_idx" in df.columns else df for name, df in actual.items()}
+    both = rows.where("tier IS NOT NULL").select("case_id", "part_idx")
+    only = lambda t: t | {name: t[name].join(both, ["case_id", "part_idx"], "left_semi") for name in ("measures",)}
+    return only(expected), only(moved), issues
 
 
 def align_voices(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -128,26 +230,45 @@ def event_issues(expected: DataFrame, actual: DataFrame, matches: DataFrame) ->
     return found.unionByName(fields).unionByName(note_issues(pairs)).unionByName(mark_issues(pairs))
 
 
-def note_issues(pairs: DataFrame) -> DataFrame:
-    """Notes of matched chords: equal (pitch, staff) meet first, then equal pitches, then by pitch order what is left."""
-    key = [*_PLACE, "expected_id", "actual_id", "at", "event_staff"]
+def _accidental(note: Column) -> Column:
+    """Kind and flags of a note's accidental; null without one."""
+    flags = [F.when(note["accidental"][f], F.lit(f)) for f in ("cautionary", "editorial", "parentheses", "bracket")]
+    return F.when(note["accidental"].isNotNull(), F.concat_ws(":", note["accidental"]["type"], F.concat_ws("+", *flags)))
 
-    def side(name: str) -> DataFrame:
-        rows = pairs.select(*key, F.posexplode(F.col(f"{name}.notes")).alias("i", "n"))
-        return rows.select(*key, "i", "n.pitch", "n.staff", F.col("n.accidental").alias("accidental"), midi(F.col("n.pitch")).alias("midi"))
-
-    open_e, open_a, matched = side("expected"), side("actual"), None
-    for shared in (["pitch", "staff"], ["pitch"]):
-        pairs_now = matching.match_occurrences(open_e, open_a, [*key, *shared], ["i"], ["i"]).where("side = 'both'")
-        pairs_now = materialize(pairs_now.select(*key, *[F.col(c).alias(f"_{c}") for c in shared], "expected", "actual"), "notes")
-        full = pairs_now.select(*key, "_pitch", F.col("expected.i").alias("ei"), F.col("actual.i").alias("ai"), F.col("expected.accidental.type").alias("ea"), F.col("actual.accidental.type").alias("aa"))
-        matched = full if matched is None else matched.unionByName(full)
-        open_e = open_e.join(full.select(*key, F.col("ei").alias("i")), [*key, "i"], "left_anti")
-        open_a = open_a.join(full.select(*key, F.col("ai").alias("i")), [*key, "i"], "left_anti")
-    rest = matching.match_occurrences(open_e, open_a, key, ["midi", "i"], ["midi", "i"])
-    code = F.when(F.col("side") == "both", "note.pitch").otherwise(F.concat(F.lit("note."), F.col("side")))
-    pitches = _issue(rest, code, "Pitch", F.col("expected.pitch"), F.col("actual.pitch"))
-    return pitches.unionByName(_issue(matched.where("NOT ea <=> aa"), "note.accidental", "Notation", F.col("ea"), F.col("aa")))
+
+def paired_notes(expected: Column, actual: Column) -> Column:
+    """Of two chords: an array of (expected, actual) notes. Expected notes, by staff and pitch, take in turn an equal
+    note of their staff, one of another staff, the nearest of their staff, the nearest. What is left has one side null.
+    """
+    note = lambda n: F.struct(n["staff"].alias("staff"), midi(n["pitch"]).alias("midi"), n["pitch"].alias("pitch"), _accidental(n).alias("accidental"))
+    none = F.array().cast("array<struct<staff:int,midi:int,pitch:string,accidental:string>>")
+    notes = lambda c: F.coalesce(F.transform(c, note), none)
+    kind = "struct<staff:int,midi:int,pitch:string,accidental:string>"
+    begin = F.struct(notes(actual).alias("open"), F.array().cast(f"array<struct<e:{kind},a:{kind}>>").alias("pairs"))
+
+    def take(state: Column, e: Column) -> Column:
+        same, own = (lambda x: x["pitch"].eqNullSafe(e["pitch"])), (lambda x: x["staff"].eqNullSafe(e["staff"]))
+        tier = lambda x: F.when(same(x) & own(x), 1).when(same(x), 2).when(own(x), 3).otherwise(4)
+        ranked = F.transform(state["open"], lambda x, i: F.struct(tier(x).alias("tier"), F.when(tier(x) > 2, F.abs(x["midi"] - e["midi"])).otherwise(0).alias("far"), i.alias("i")))
+        best = F.array_min(ranked)["i"]
+        pair = F.struct(e.alias("e"), F.when(best.isNotNull(), F.get(state["open"], best)).cast(kind).alias("a"))
+        left = F.when(best.isNull(), state["open"]).otherwise(F.filter(state["open"], lambda x, i: i != best))
+        return F.struct(left.alias("open"), F.concat(state["pairs"], F.array(pair)).alias("pairs"))
+
+    def finish(state: Column) -> Column:
+        return F.concat(state["pairs"], F.transform(F.array_sort(state["open"]), lambda x: F.struct(F.lit(None).cast(kind).alias("e"), x.alias("a"))))
+
+    return F.aggregate(F.array_sort(notes(expected)), begin, take, finish)
+
+
+def note_issues(pairs: DataFrame) -> DataFrame:
+    """Notes of matched chords, chord by chord, and in what paired notes differ."""
+    rows = pairs.where("type = 'chord'").select(*_PLACE, "at", "event_staff", F.explode(paired_notes(F.col("expected.notes"), F.col("actual.notes"))).alias("n"))
+    rows = rows.withColumn("event_staff", F.coalesce("n.e.staff", "n.a.staff", "event_staff"))
+    e, a = F.col("n.e"), F.col("n.a")
+    lone = _issue(rows.where("n.e IS NULL OR n.a IS NULL"), F.when(F.col("n.a").isNull(), "note.missing").otherwise("note.extra"), "Pitch", e["pitch"], a["pitch"])
+    spec = [("note.pitch", "Pitch", e["pitch"], a["pitch"], False), ("note.staff", "Pitch", e["staff"], a["staff"], False), ("note.accidental", "Notation", e["accidental"], a["accidental"], False)]
+    return lone.unionByName(matching.compare_fields(rows.where("n.e IS NOT NULL AND n.a IS NOT NULL"), [*_PLACE, "event_staff", "at"], spec))
 
 
 def mark_issues(pairs: DataFrame) -> DataFrame:
@@ -220,9 +341,12 @@ def relation_issues(expected: Tables, actual: Tables) -> DataFrame:
 def with_severity(issues: DataFrame) -> DataFrame:
     """Warning, Error or Critical; the first rule that applies counts."""
     code, category = F.col("code"), F.col("category")
+    kind = lambda c: F.lower(F.trim(F.substring_index(c, ":", 1)))
+    same_kind = (kind("expected") == kind("actual")) & (kind("expected") != "")
     severity = (
         F.when(code == "event.voice", "Warning")
         .when((code == "event.onset") & (category == "Text"), "Warning")
+        .when((code == "note.accidental") & same_kind, "Warning")
         .when(code == "relation.hairpin.span", "Warning")
         .when(category.isin("Pitch", "Rhythm"), "Critical")
         .when(code.rlike(r"^relation\.(tie|hairpin)"), "Critical")
@@ -242,18 +366,25 @@ def diff(expected: Tables, actual: Tables, cases: DataFrame) -> DataFrame:
     spans by score_id, as read_scores gives them; relations and spans carry part_idx or part_id."""
     e, a = for_cases(expected, cases, "expected"), for_cases(actual, cases, "actual")
     for t in (e, a):
+        t |= {name: materialize(t[name], name) for name in ("measures", "events")}
         index = t["measures"].select("case_id", "part_id", "part_idx").distinct()
         for name in ("relations", "spans"):
             if "part_idx" not in t[name].columns:
-                t[name] = t[name].join(index, ["case_id", "part_id"])
-        t["events"] = normalize_interstaff(normalize_monophonic(prepare_events(t["events"])), t["measures"])
-        t["measures"] = trim_trailing_measures(t["measures"], t["events"])
-        t["events"] = materialize(t["events"], "events")
+                t[name] = t[name].join(index, ["case_id", "part_id"], "left").withColumn("part_idx", F.coalesce("part_idx", F.lit(-1)))
+    e, a = collapse_split(e, a), collapse_split(a, e)
+    e, a, part_issues = match_parts(e, a)
+    for t in (e, a):
+        t["events"] = materialize(normalize_monophonic(prepare_events(t["events"])), "events")
+        t["measures"] = trim_trailing_measures(t["measures"], t["events"], t["spans"])
+        events, spans = normalize_interstaff(t["events"], t["measures"], t["spans"])
+        t |= {"events": materialize(prepare_events(events), "events"), "spans": materialize(spans, "spans"), "measures": materialize(t["measures"], "measures")}
     a["events"] = materialize(align_voices(e["events"], a["events"]), "events")
     header = matching.align(e["scores"].select("case_id", "title", "subtitle", "composer"), a["scores"].select("case_id", "title", "subtitle", "composer"), ["case_id"])
     spec = [(f"metadata.{c}", "Metadata", norm_text(F.col("expected")[c]), norm_text(F.col("actual")[c]), False) for c in ("title", "subtitle", "composer")]
-    found = matching.compare_fields(header, ["case_id"], spec)
-    matches = materialize(match_events(e["events"], a["events"]), "matches")
+    found = matching.compare_fields(header, ["case_id"], spec).unionByName(part_issues, allowMissingColumns=True)
+    compared = e["measures"].select("case_id", "part_idx").distinct()
+    of_pairs = lambda t: t["events"].join(compared, ["case_id", "part_idx"], "left_semi")
+    matches = materialize(match_events(of_pairs(e), of_pairs(a)), "matches")
     for more in (measure_issues(e["measures"], a["measures"]), event_issues(e["events"], a["events"], matches), relation_issues(e, a)):
         found = found.unionByName(more, allowMissingColumns=True)
     return order_issues(with_severity(found))
@@ -262,10 +393,10 @@ def diff(expected: Tables, actual: Tables, cases: DataFrame) -> DataFrame:
 def root_causes(issues: DataFrame) -> DataFrame:
     """case_id, category, cause, n, first_seq, summary: attributes by code, the rest by place."""
     place = F.concat_ws("/", "part_idx", "measure_no", "event_staff", "at")
-    key = F.when(F.col("category").isin("Metadata", "Attributes"), F.concat_ws("#", "case_id", "code")).otherwise(F.concat_ws("#", "case_id", place))
+    cause = F.when(F.col("category").isin("Metadata", "Attributes"), F.col("code")).otherwise(place)
     message = F.concat_ws(" ", "code", F.coalesce("expected", F.lit("-")), F.lit("->"), F.coalesce("actual", F.lit("-")))
-    found = ranking.root_causes(issues.withColumn("message", message), key)
-    return found.withColumn("case_id", F.substring_index("cause", "#", 1))
+    rows = issues.withColumns({"cause": cause, "message": message}).groupBy("case_id", "category", "cause")
+    return rows.agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.min_by("message", "seq").alias("summary"))
 
 
 def corpus_summary(cases: DataFrame, issues: DataFrame) -> DataFrame:
@@ -281,7 +412,14 @@ def filter_severity(issues: DataFrame, least: str) -> DataFrame:
 
 
 def decorate_origin(issues: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds page and local_measure; pages: page, offset (measures before it)."""
-    spans = sequences.until_next(pages.withColumn("all", F.lit(1)), ["all"], ["offset"]).select("all", "page", (F.col("offset") + 1).alias("start"), (F.col("until") + 1).alias("end"))
-    found = sequences.asof_state(issues.withColumns({"all": F.lit(1), "_m": F.col("measure_no").cast("long")}), spans.withColumn("_m", F.col("start").cast("long")), ["all"], ["_m"], ["page", "start"])
-    return found.withColumn("local_measure", F.col("measure_no") - F.col("start") + 1).drop("all", "_m", "start")
+    """Adds page and local_measure; pages: page, offset (measures before it), and case_id if they are of one case each.
+    The pages of a case, or of all, are few: they meet the issues in a range join whose other side is not moved."""
+    by = ["case_id"] if "case_id" in pages.columns else []
+    spans = sequences.until_next(pages.withColumn("_all", F.lit(1)), ["_all", *by], ["offset"])
+    spans = spans.select(*(F.col(c).alias(f"_{c}") for c in by), "page", (F.col("offset") + 1).alias("_start"), F.col("until").alias("_until"))
+    spans = spans if by else F.broadcast(spans)  # without cases the pages of one score
+    inside = (F.col("measure_no") >= F.col("_start")) & (F.col("_until").isNull() | (F.col("measure_no") <= F.col("_until")))
+    if by:
+        inside = inside & F.col("case_id").eqNullSafe(F.col("_case_id"))
+    found = issues.join(spans, inside, "left")
+    return found.withColumn("local_measure", F.col("measure_no") - F.col("_start") + 1).drop("_start", "_until", "_case_id")

@@ -37,6 +37,28 @@ def _decoded(text: Column) -> Column:
     return text
 
 
+#: Characters that stay references as long as markup is read.
+_MARKUP = ((0x3C, "&lt;"), (0x3E, "&gt;"), (0x26, "&amp;"), (0x22, "&quot;"), (0x27, "&apos;"))
+
+
+def _numeric_references(xml: Column) -> Column:
+    """xml with the characters that its numeric references name, those of markup as named references; what is no
+    character becomes U+FFFD."""
+    for pattern, mark, base in ((r"&#x([0-9A-Fa-f]+);", "&#x", 16), (r"&#([0-9]+);", "&#", 10)):
+
+        def char(n: Column, base: int = base) -> Column:
+            code = F.conv(n, base, 10).cast("decimal(20,0)")
+            valid = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+            found = F.decode(F.unhex(F.when(valid, F.lpad(F.conv(n, base, 16), 8, "0")).otherwise("0000FFFD")), "UTF-32")
+            for number, name in _MARKUP:
+                found = F.when(code == number, name).otherwise(found)
+            return found
+
+        numbers = F.array_distinct(F.regexp_extract_all(xml, F.lit(pattern), F.lit(1)))
+        xml = F.aggregate(numbers, xml, lambda t, n: F.replace(t, F.concat(F.lit(mark), n, F.lit(";")), char(n)))  # noqa: B023
+    return xml
+
+
 def value(xml: Column, name: str) -> Column:
     """Trimmed text of the first element of that name; null without one."""
     found = F.regexp_extract(xml, rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}\s*>", 1)
@@ -65,7 +87,8 @@ def read_documents(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame
 
 
 def clean_documents(files: DataFrame) -> DataFrame:
-    return files.select("score_id", F.regexp_replace(F.regexp_replace("xml", "^﻿", ""), r"(?s)<!--.*?-->", "").alias("xml"))
+    """The files without byte-order mark and comments, numeric character references read."""
+    return files.select("score_id", _numeric_references(F.regexp_replace(F.regexp_replace("xml", "^﻿", ""), r"(?s)<!--.*?-->", "")).alias("xml"))
 
 
 def score_headers(docs: DataFrame) -> DataFrame:
@@ -86,12 +109,13 @@ def part_names(docs: DataFrame) -> DataFrame:
 
 
 def measure_children(docs: DataFrame) -> DataFrame:
-    """score_id, part_id, part_idx, measure_idx, measure_no, pos, tag, xml: all children that count, in order."""
+    """score_id, part_id, part_idx, measure_idx, measure_no, pos, tag, xml: all children that count, in order. A measure
+    without any has one row, in which the last three are null."""
     parts = docs.select("score_id", F.posexplode(elements(F.col("xml"), "part")).alias("part_idx", "p"))
     measures = parts.select("score_id", F.coalesce(attribute(F.col("p"), "id"), F.lit("P1")).alias("part_id"), "part_idx", F.posexplode(elements(F.col("p"), "measure")).alias("measure_idx", "m"))
     inner = F.regexp_replace("m", r"(?s)^<[^>]*>", "")
     numbered = measures.withColumn("measure_no", _int(attribute(F.col("m"), "number"), 0))
-    rows = numbered.select(*_MEASURE, F.posexplode(elements(inner, _CHILD)).alias("pos", "xml"))
+    rows = numbered.select(*_MEASURE, F.posexplode_outer(elements(inner, _CHILD)).alias("pos", "xml"))
     return rows.withColumn("tag", F.regexp_extract("xml", r"^<([a-z-]+)", 1))
 
 
