@@ -11,7 +11,7 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240607).integers(1, (1 << 64) - 1, 256, dtype=np.uint64)
-_CHUNK = 1 << 20  # bytes that are hashed at once
+_CHUNK = 1 << 19  # bytes that are hashed at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-PAIRS, PAIR_WORDS = 1_000_000, 2_000_000  # pairs, and 64-bit words of signatures, that are looked at together
+PAIRS, PAIR_WORDS = 1 << 18, 1 << 19  # pairs, and 64-bit words of signatures, that are looked at together
 
 
 def signatures(h: np.ndarray, row: np.ndarray, n: int, words: int) -> np.ndarray:

@@ -24,6 +24,7 @@ def test_stages(spark, tmp_path):
     docs[13][1] = docs[13][1] + "\n" + docs[9][1].split("\n")[0]
     docs[14][1] = bench[1][1]
     docs[15][1] = docs[9][1]
+    docs[17][1] = "\n".join(line(60) for _ in range(9)) + "\n" + bench[2][1]
     docs += [[300, None, None, None, None], [301, "", "en", None, 0]]
     frame = spark.createDataFrame([tuple(d) for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
     frame.write.parquet(f"{tmp_path}/documents.parquet")
@@ -53,6 +54,7 @@ def test_stages(spark, tmp_path):
     assert sorted(d for d, _ in after) == sorted(d for d, _, c in brute_jaccard(before, 5, 80) if d == c)
     before, after = kept["decontamination"]
     assert sorted(d for d, _ in after) == sorted(d for d, *_, bad in brute_contaminated(before, bench) if not bad) and 14 not in dict(after)
+    assert {d for d, t in before if dict(after).get(d, t) != t} == {17} and bench[2][1] in dict(before)[17] and bench[2][1] not in dict(after)[17]
     before, after = kept["mixing"]
     assert sorted(map(str, before)) == sorted(map(str, after))
     assert given.select("slot", "place").distinct().count() == given.count()
