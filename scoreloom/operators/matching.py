@@ -100,17 +100,24 @@ def max_assignment(candidates: DataFrame, group: Sequence[str], left: str, right
         options = {k: list(dict.fromkeys(v)) for k, v in rows.groupby(left, sort=True)[right]}
         owner: dict = {}
 
-        def place(item, seen: set) -> bool:
-            for choice in options[item]:
-                if choice not in seen:
-                    seen.add(choice)
-                    if choice not in owner or place(owner[choice], seen):
-                        owner[choice] = item
-                        return True
-            return False
-
         for item in sorted(options, key=lambda x: (len(options[x]), x)):
-            place(item, set())
+            # Depth first over who could make room; a frame is a left item, what it may still try and what it wants now.
+            seen: set = set()
+            stack = [[item, iter(options[item]), None]]
+            while stack:
+                frame = stack[-1]
+                choice = next((c for c in frame[1] if c not in seen), None)
+                if choice is None:
+                    stack.pop()
+                    continue
+                seen.add(choice)
+                frame[2] = choice
+                if choice in owner:
+                    stack.append([owner[choice], iter(options[owner[choice]]), None])
+                    continue
+                for taker, _, wanted in stack:
+                    owner[wanted] = taker
+                break
         head = [rows[g].iloc[0] for g in group]
         return pd.DataFrame([(*head, item, choice) for choice, item in owner.items()], columns=[*group, left, right])
 

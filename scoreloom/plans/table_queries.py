@@ -200,19 +200,6 @@ def q_bag_diff(spark, sf_dir):
     return matching.bag_diff(*_slices(spark, sf_dir), ["l_orderkey", "l_returnflag"])
 
 
-@query("""
-WITH s AS (SELECT s_suppkey, s_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-c AS (SELECT c_custkey, c_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0),
-s1 AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY s_suppkey) AS k FROM s), c1 AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY c_custkey) AS k FROM c),
-m1 AS (SELECT s_suppkey, c_custkey FROM s1 JOIN c1 ON s1.n = c1.n AND s1.k = c1.k),
-s2 AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY s_suppkey) AS k FROM s WHERE s_suppkey NOT IN (SELECT s_suppkey FROM m1)),
-c2 AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY c_custkey) AS k FROM c WHERE c_custkey NOT IN (SELECT c_custkey FROM m1)),
-m2 AS (SELECT s_suppkey, c_custkey FROM s2 JOIN c2 ON s2.r = c2.r AND s2.k = c2.k)
-SELECT s_suppkey, c_custkey, 1 AS tier FROM m1 UNION ALL SELECT s_suppkey, c_custkey, 2 FROM m2""")
-def q_priority_match(spark, sf_dir):
-    return _supplier_match(spark, sf_dir, _t(spark, sf_dir, "customer").where("c_custkey % 3 = 0"))
-
-
 @query("""
 WITH s AS (SELECT s_suppkey, s_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 c AS (SELECT c_custkey, c_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -222,13 +209,9 @@ s2 AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY s_suppkey) AS k FROM
 c2 AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY c_custkey) AS k FROM c WHERE c_custkey NOT IN (SELECT c_custkey FROM m1)),
 m2 AS (SELECT s_suppkey, c_custkey FROM s2 JOIN c2 ON s2.r = c2.r AND s2.k = c2.k)
 SELECT s_suppkey, c_custkey, 1 AS tier FROM m1 UNION ALL SELECT s_suppkey, c_custkey, 2 FROM m2""")
-def q_priority_match_all(spark, sf_dir):
-    """The match with every customer taking part."""
-    return _supplier_match(spark, sf_dir, _t(spark, sf_dir, "customer"))
-
-
-def _supplier_match(spark, sf_dir, customers):
+def q_priority_match(spark, sf_dir):
     """Suppliers and customers of one nation, then of one region."""
+    customers = _t(spark, sf_dir, "customer")
     nation = _t(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     left = _t(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("s_nationkey").alias("n1"), F.col("n_regionkey").alias("r1"))
     right = customers.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_nationkey").alias("n2"), F.col("n_regionkey").alias("r2"))
@@ -369,13 +352,15 @@ def q_metronome(spark, sf_dir):
 
 @query()
 def q_leader(spark, sf_dir):
-    """Leader clusters of the embeddings of each label."""
-    return grouped.leader_cluster(_t(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding", 1.2).withColumn("distance", F.round("distance", 6))
+    """Leader clusters of the embeddings of each label, cell by cell."""
+    rows = _t(spark, sf_dir, "embeddings").withColumn("cell", grouped.sign_cell("embedding"))
+    found = grouped.leader_cluster(rows, ["label", "cell"], "vec_id", "embedding", 1.2)
+    return found.drop("cell").withColumn("distance", F.round("distance", 6))
 
 
 def _candidates(spark, sf_dir):
     """Suppliers and parts that lines bring together, cheaper by quantity."""
-    lines = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    lines = _t(spark, sf_dir, "lineitem")
     return lines.groupBy("l_suppkey", "l_partkey").agg(F.min("l_quantity").cast("long").alias("cost"))
 
 
@@ -399,24 +384,11 @@ def q_lanes(spark, sf_dir):
     return grouped.capacity_lanes(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "qty", 100)
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -1 - l_partkey AS b FROM lineitem WHERE l_orderkey % 40 = 0 AND l_quantity > 25),
-b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, to_node) AS (SELECT DISTINCT a, a FROM b UNION SELECT r.node, b.b FROM r JOIN b ON r.to_node = b.a)
-SELECT node, min(to_node) AS component FROM r GROUP BY node""")
-def q_components(spark, sf_dir):
-    """Orders and parts linked by large lines of every fortieth order."""
-    return components(_order_parts(_t(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0 AND l_quantity > 25")))
-
-
 @query()
-def q_components_all(spark, sf_dir):
+def q_components(spark, sf_dir):
     """Orders and parts linked by all lines; recursive SQL is too slow here, the tests hold it against brute force."""
-    return components(_order_parts(_t(spark, sf_dir, "lineitem")))
-
-
-def _order_parts(lines: DataFrame) -> DataFrame:
-    return lines.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_partkey")).alias("b"))
+    lines = _t(spark, sf_dir, "lineitem")
+    return components(lines.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_partkey")).alias("b")))
 
 
 @query("""

@@ -9,8 +9,7 @@ import pytest
 import __spark_entry__
 
 SF = Path(__spark_entry__.SMALLEST)
-SLOW = {"s_score_diff", "q_tiered_match", "q_lanes", "q_max_assign"}
-NAMES = sorted(n for n in __spark_entry__.queries() if n.startswith(("q_", "s_")) and n not in SLOW)
+NAMES = sorted(n for n in __spark_entry__.queries() if n.startswith(("q_", "s_")))
 
 
 def plain(v):
