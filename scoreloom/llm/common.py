@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import shared_dir
+
 #: The six characters `[\x20\x09-\x0D]`.
 WHITE_SPACE = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where that is unset (tests) is one made."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-scoreloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage and outlives executors."""
     spark = df.sparkSession
