@@ -53,12 +53,12 @@ def written_duration(hollow: Column, has_stem: Column, level: Column) -> Column:
     return fractions.frac(F.lit(1).cast("long"), den.cast("long"))
 
 
-def effective_durations(heads: DataFrame, stems: DataFrame, levels: DataFrame, dots: DataFrame, tuplets: DataFrame) -> DataFrame:
+def effective_durations(heads: DataFrame, stems: DataFrame, levels: DataFrame, dots: DataFrame, tuplets: DataFrame, grace: DataFrame | None = None) -> DataFrame:
     """note_id, duration (struct), confidence: the written duration, dots and tuplet ratio applied.
 
     heads: note_id, hollow, confidence; stems: note_id, stem_id; levels (flags and beams): stem_id, level; dots:
-    note_id, n; tuplets: note_id, actual, normal. A filled head without stem keeps 0.65 of its confidence, a hollow
-    head under a flag 0.60.
+    note_id, n; tuplets: note_id, actual, normal; grace: note_id of notes that last nothing. All carry score_id. A filled
+    head without stem keeps 0.65 of its confidence, a hollow head under a flag 0.60.
     """
     level = levels.groupBy("score_id", "stem_id").agg(F.max("level").alias("level"))
     rows = heads.join(stems.select("score_id", "note_id", "stem_id"), ["score_id", "note_id"], "left").join(level, ["score_id", "stem_id"], "left")
@@ -68,6 +68,10 @@ def effective_durations(heads: DataFrame, stems: DataFrame, levels: DataFrame, d
     rows = rows.withColumn("w", written)
     rows = rows.withColumn("w", fractions.dotted(F.col("w.num"), F.col("w.den"), F.least(F.coalesce("dots", F.lit(0)), F.lit(12))))
     rows = rows.withColumn("w", F.when(F.col("t").isNotNull(), fractions.tuplet(F.col("w.num"), F.col("w.den"), F.col("t.actual"), F.col("t.normal"))).otherwise(F.col("w")))
+    if grace is not None:
+        marked = grace.select("score_id", "note_id").distinct().withColumn("_grace", F.lit(True))
+        nothing = fractions.frac(F.lit(0).cast("long"), F.lit(1).cast("long"))
+        rows = rows.join(marked, ["score_id", "note_id"], "left").withColumn("w", F.when(F.col("_grace"), nothing).otherwise(F.col("w")))
     factor = F.when(~F.col("hollow") & F.col("stem_id").isNull(), 0.65).when(F.col("hollow") & (F.col("level") > 0), 0.60).otherwise(1.0)
     return rows.select("score_id", "note_id", F.col("w").alias("duration"), (F.col("confidence") * factor).alias("confidence"))
 
@@ -153,9 +157,17 @@ def fit_grid(heads: DataFrame) -> DataFrame:
 
 def measures_from_boundaries(boundaries: DataFrame) -> DataFrame:
     """score_id, system_id, measure_no, x_start, x_end, break_before: between neighbouring boundaries of each system,
-    numbered over all systems. boundaries: score_id, system_id, x."""
+    numbered over all systems. boundaries: score_id, system_id, x, and style if they have one; then right_barline is
+    'final' where the last boundary of a score is."""
     over = Window.partitionBy("score_id", "system_id").orderBy("x")
+    if "style" in boundaries.columns:
+        boundaries = boundaries.withColumn("_style", F.lead("style").over(over))
     rows = boundaries.withColumns({"x_end": F.lead("x").over(over), "_first": F.row_number().over(over) == 1}).where("x_end IS NOT NULL")
     all_ = Window.partitionBy("score_id").orderBy("system_id", "x")
     later = F.col("system_id") > F.min("system_id").over(Window.partitionBy("score_id"))
-    return rows.select("score_id", "system_id", F.row_number().over(all_).alias("measure_no"), F.col("x").alias("x_start"), "x_end", F.when(F.col("_first") & later, "system").alias("break_before"))
+    found = rows.select("*", F.row_number().over(all_).alias("measure_no"), F.col("x").alias("x_start"), F.when(F.col("_first") & later, "system").alias("break_before"))
+    columns = ["score_id", "system_id", "measure_no", "x_start", "x_end", "break_before"]
+    if "style" not in boundaries.columns:
+        return found.select(*columns)
+    last = F.col("measure_no") == F.max("measure_no").over(Window.partitionBy("score_id"))
+    return found.select(*columns, F.when(last & (F.col("_style") == "final"), "final").alias("right_barline"))

@@ -355,9 +355,11 @@ def with_severity(issues: DataFrame) -> DataFrame:
     return issues.withColumn("severity", severity)
 
 
-def order_issues(issues: DataFrame) -> DataFrame:
-    """Adds seq from 1 in each case: by category, part, measure, at as text, staff, code, then what differs."""
-    order = ["category", "part_idx", "measure_no", "at", "event_staff", "code", "expected", "actual"]
+def order_issues(issues: DataFrame, by_value: bool = False) -> DataFrame:
+    """Adds seq from 1 in each case: by category, part, measure, at (as text, or by its value), staff, code, then what
+    differs."""
+    value = F.substring_index("at", "/", 1).cast("double") / F.coalesce(F.when(F.col("at").contains("/"), F.substring_index("at", "/", -1)).cast("double"), F.lit(1.0))
+    order = ["category", "part_idx", "measure_no", value if by_value else "at", "event_staff", "code", "expected", "actual"]
     return issues.withColumn("seq", F.row_number().over(Window.partitionBy("case_id").orderBy(*order)))
 
 
@@ -400,10 +402,19 @@ def root_causes(issues: DataFrame) -> DataFrame:
 
 
 def corpus_summary(cases: DataFrame, issues: DataFrame) -> DataFrame:
-    """case_id, status ('clean' or 'differences'), n and the count of each severity, for all cases."""
+    """case_id, status ('FAILED', 'clean' or 'differences'), n and the count of each severity, for all cases. A case
+    failed if cases has a column `error` that is set."""
     counts = issues.groupBy("case_id").agg(F.count("*").alias("n"), *(F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("Critical", "Error", "Warning")))
-    rows = cases.select("case_id").join(counts, "case_id", "left").na.fill(0, ["n", "critical", "error", "warning"])
-    return rows.withColumn("status", F.when(F.col("n") == 0, "clean").otherwise("differences"))
+    error = F.col("error").isNotNull() if "error" in cases.columns else F.lit(False)
+    rows = cases.select("case_id", error.alias("_failed")).join(counts, "case_id", "left").na.fill(0, ["n", "critical", "error", "warning"])
+    status = F.when(F.col("_failed"), "FAILED").when(F.col("n") == 0, "clean").otherwise("differences")
+    return rows.withColumn("status", status).drop("_failed")
+
+
+def corpus_totals(summary: DataFrame) -> DataFrame:
+    """One row: how many cases there are of each status, and the sums of a corpus_summary."""
+    counts = [F.count_if(F.col("status") == s).alias(s.lower()) for s in ("FAILED", "clean", "differences")]
+    return summary.agg(F.count("*").alias("cases"), *counts, *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "critical", "error", "warning")))
 
 
 def filter_severity(issues: DataFrame, least: str) -> DataFrame:
