@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,9 +141,10 @@ def tiered_match(
     names = list(dict.fromkeys([*by, "id", kind, at, content, *([place] if place else []), *agree]))
     rest_weight = 1.0 - base - sum(agree.values())
     same_value = lambda x, y: x == y or (pd.isna(x) and pd.isna(y))
+    whole = dict(expected.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
 
     def solve(e: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        e, a = e.sort_values([at, "id"]), a.sort_values([at, "id"])
+        e, a = (x.sort_values([at, "id"]) if len(x) else pd.DataFrame(columns=names) for x in (e, a))  # an empty side may lack columns
         head = tuple((e if len(e) else a)[b].iloc[0] for b in by)
         free = a.to_dict("records")
 
@@ -168,11 +168,13 @@ def tiered_match(
             out.append((*head, x["id"], pick, tier))
         out += [(*head, None, y["id"], 0) for y in free]
         found = pd.DataFrame(out, columns=[*by, "expected_id", "actual_id", "tier"])
-        return found.astype({c: "Int64" for c in ("expected_id", "actual_id") if np.issubdtype(e["id"].dtype, np.integer)})
+        return found.astype({c: "Int64" for c in ("expected_id", "actual_id")}) if whole else found
 
     kinds = dict(expected.dtypes)
     schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), f"expected_id {kinds['id']}", f"actual_id {kinds['id']}", "tier int"])
-    grouped = expected.select(*names).groupBy(*by).cogroup(actual.select(*names).groupBy(*by))
+    # Columns of their own: where both sides come from one table, Spark would prune those of the second.
+    other = actual.select(*(F.col(c).alias(c) for c in names))
+    grouped = expected.select(*names).groupBy(*by).cogroup(other.groupBy(*by))
     return grouped.applyInPandas(lambda e, a: solve(e, a), schema)
 
 
