@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))  # A-Z only
 _WHITE = np.zeros(256, bool)
@@ -63,6 +64,13 @@ def digests(hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[n
     return node.view(np.int64), check.view(np.int64)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, of which Python objects are made one slice at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def texts_in_chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     """The texts as UTF-8 in runs of about _CHUNK bytes, with the position of each run's first text."""
     first, held, size = 0, [], 0

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, copy_key, materialize, table
 from .components import components
-from .hashing import digests, folded_words, mix, shingle_sets
+from .hashing import digests, folded_words, mix, pieces, shingle_sets
 from .membership import Membership, membership, numbers
 from .screening import close_pairs, signatures, spanning, unpacked, whole_groups
 
@@ -83,7 +83,7 @@ def _describe(width: int):
     """Of rows (doc_id, copy, text): the size, the 128 bits and the signature of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sizes, nodes, checks, bits = [], [], [], []
             for found in shingle_sets(batch.column(2).to_pylist(), width):
                 sizes.append(len(found))
@@ -134,7 +134,7 @@ def _keys(width: int, per_cent: int):
         keys: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
         held = 0
-        for batch in batches:
+        for batch in pieces(batches):
             for found in shingle_sets(batch.column(0).to_pylist(), width):
                 node = _digest(found)[0] if len(found) else 0
                 if not len(found) or node in seen:
@@ -220,7 +220,7 @@ def _screen(per_cent: int):
         return [batch.column(0).to_numpy(zero_copy_only=False), n, side, node, *unpacked(batch.column(4))[:1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for task, n, side, node, signature in whole_groups(batches, columns):
+        for task, n, side, node, signature in whole_groups(pieces(batches, 1024), columns):  # long signatures widen their slice only
             wanted = lambda u, v: ((side[u] != side[v]) | (side[u] == 0)) & (node[u] != node[v])  # noqa: B023, E731
             for u, v in close_pairs(task, n, signature, signature_words(n), per_cent, wanted):
                 if len(u):
@@ -273,7 +273,7 @@ def _compare_tiles(width: int, per_cent: int):
 
     def settle(rows: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
         texts = [row[3] for row in rows]
-        own = lru_cache(1024)(lambda i: word_shingles(texts[i], width))
+        own = lru_cache(16)(lambda i: word_shingles(texts[i], width))
 
         def verify(i: int, j: int) -> bool:
             both = len(own(i) & own(j))
@@ -302,7 +302,7 @@ def _fetch(width: int, members: Membership):
     """Of rows (doc_id, text) those that `members` passes, with the 128 bits of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             batch = batch.filter(pa.array(members.passes(numbers(batch.column(0)))))
             texts, nodes, checks = batch.column(1).to_pylist(), [], []
             for found in shingle_sets(texts, width):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, table
 from .components import components
-from .hashing import digests, folded_words, texts_in_chunks, word_hashes
+from .hashing import digests, folded_words, pieces, texts_in_chunks, word_hashes
 from .jaccard_join import tiles
 from .membership import Membership, membership, numbers
 from .screening import close_pairs, packed, signatures, spanning, unpacked, whole_groups
@@ -107,7 +107,7 @@ def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = np.zeros(SKETCH, np.int64)
     names = ["doc_id", "line_no", "node", "check", "n", "piece", "counts"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    for batch in batches:
+    for batch in pieces(batches):
         ids = batch.column(0)
         for at, held in texts_in_chunks(batch.column(1).to_pylist()):
             h, _, first, lines, texts, all_words = line_sets(held)
@@ -124,8 +124,8 @@ def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(sizes.astype(np.int32)), pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
-    pieces = [zlib.compress(piece.tobytes(), 1) for piece in words.reshape(_PIECES, -1)]
-    yield pa.RecordBatch.from_arrays([*(pa.nulls(_PIECES, k) for k in kinds[:5]), pa.array(range(_PIECES), pa.int32()), pa.array(pieces, pa.binary())], names)
+    packs = [zlib.compress(piece.tobytes(), 1) for piece in words.reshape(_PIECES, -1)]
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(_PIECES, k) for k in kinds[:5]), pa.array(range(_PIECES), pa.int32()), pa.array(packs, pa.binary())], names)
 
 
 def _prefixes(levels, spread, per_cent: int):
@@ -135,7 +135,7 @@ def _prefixes(levels, spread, per_cent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             for _, held in texts_in_chunks(batch.column(0).to_pylist()):
                 h, level, first, _, _, _ = line_sets(held, levels.value)
                 if not len(first):
@@ -259,7 +259,7 @@ def _compare(per_cent: int):
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         encoded = [row[-1].replace("\n", " ").encode("utf-8", "surrogatepass") for row in rows]
-        own = lru_cache(4096)(lambda i: frozenset(folded_words(rows[i][-1])))
+        own = lru_cache(256)(lambda i: frozenset(folded_words(rows[i][-1])))
 
         def verify(i: int, j: int) -> bool:
             both = len(own(i) & own(j))
@@ -290,7 +290,7 @@ def _fetch(wanted: Membership):
     """Of rows (doc_id, text) the lines that `wanted` passes by doc_id and line number, with the 128 bits of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(1).to_pylist()
             sizes = np.array([t.count("\n") + 1 for t in texts])
             text = np.repeat(np.arange(len(texts)), sizes)
