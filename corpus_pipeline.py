@@ -31,9 +31,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover less than a twentieth of the words, without those words. Each row is
-    judged by its own text, also with a null doc_id."""
-    return decontamination.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), cut=True)
+    """Documents of which benchmark windows cover less than a twentieth of the words. Each row is judged by its own text,
+    also with a null doc_id."""
+    return decontamination.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
