@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, html_extract, jaccard_join, language_id, license_scan, line_dedup, merkle_manifest, mixing, token_alignment, toxicity
+from . import chat_format, decontamination, exact_dedup, html_extract, jaccard_join, language_id, language_model, license_scan, line_dedup, merkle_manifest, mixing, token_alignment, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat_format": chat_format,
     "op11_token_alignment": token_alignment,
     "op12_merkle_manifest": merkle_manifest,
+    "op13_lm_scoring": language_model,
 }
 
 
