@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .groupwise import Columns, each_group
+
 
 def sign_cell(vector: str, bits: int = 12) -> Column:
     """The cell of a vector by the signs of its first components: near vectors mostly share one, and cells are small
@@ -52,26 +54,25 @@ def capacity_lanes(df: DataFrame, by: Sequence[str], order: Sequence[str], size:
     overfull keep lane 1.
     """
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable").reset_index(drop=True)
-        sizes = rows[size].to_numpy()
-        lanes = min(max(1, -(-int(sizes.sum()) // capacity)), max_lanes)
-        fill, lane, at, last = [0] * lanes, [None] * len(rows), [None] * len(rows), None
-        for i in sorted(range(len(rows)), key=lambda i: sizes[i] != capacity):
+    def solve(rows: Columns) -> list[tuple]:
+        sizes = rows[size]
+        n = len(sizes)
+        lanes = min(max(1, -(-int(sum(sizes)) // capacity)), max_lanes)
+        fill, lane, at, last = [0] * lanes, [None] * n, [None] * n, None
+        for i in sorted(range(n), key=lambda i: sizes[i] != capacity):
             fits = [k for k in range(lanes) if fill[k] + sizes[i] <= capacity]
             if not fits:
                 continue
-            wanted = None if prefer is None or pd.isna(rows[prefer].iloc[i]) else int(rows[prefer].iloc[i]) - 1
+            wanted = None if prefer is None or rows[prefer][i] is None else int(rows[prefer][i]) - 1
             best = max(fits, key=lambda k: (8 * (k == wanted) + 4 * (k == last) + fill[k] / capacity, -k))  # noqa: B023
             lane[i], at[i], last = best + 1, fill[best], best
             fill[best] += int(sizes[i])
-        rows["lane"], rows["at"] = pd.array(lane, "Int32"), pd.array(at, "Int64")
-        return rows[[*by, *order, size, "lane", "at"]]
+        return list(zip(*(rows[c] for c in [*by, *order, size]), lane, at, strict=True))
 
     kinds = dict(df.dtypes)
     extra = [prefer] if prefer and prefer not in order else []
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*by, *order, size]), "lane int", "at long"])
-    return df.select(*by, *order, size, *extra).groupBy(*by).applyInPandas(solve, schema)
+    return each_group(df.select(*by, *order, size, *extra), by, order, solve, schema)
 
 
 def greedy_lines(df: DataFrame, by: Sequence[str], item: str, y: str, tolerance: float) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import materialize
+from .groupwise import Columns, each_group
 
 
 def align(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -94,9 +94,10 @@ def max_assignment(candidates: DataFrame, group: Sequence[str], left: str, right
     """A one-to-one matching of most pairs in each group: group, left, right. Left rows with the fewest candidates go
     first, each tries its cheapest candidates, and augmenting paths free what is taken. Groups are small (a score)."""
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([cost, right], kind="stable")
-        options = {k: list(dict.fromkeys(v)) for k, v in rows.groupby(left, sort=True)[right]}
+    def solve(rows: Columns) -> list[tuple]:
+        options: dict = {}
+        for item, choice in zip(rows[left], rows[right], strict=True):
+            options.setdefault(item, {})[choice] = None
         owner: dict = {}
 
         for item in sorted(options, key=lambda x: (len(options[x]), x)):
@@ -117,12 +118,12 @@ def max_assignment(candidates: DataFrame, group: Sequence[str], left: str, right
                 for taker, _, wanted in stack:
                     owner[wanted] = taker
                 break
-        head = [rows[g].iloc[0] for g in group]
-        return pd.DataFrame([(*head, item, choice) for choice, item in owner.items()], columns=[*group, left, right])
+        head = [rows[g][0] for g in group]
+        return [(*head, item, choice) for choice, item in owner.items()]
 
     kinds = dict(candidates.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*group, left, right])
-    return candidates.select(*group, left, right, cost).groupBy(*group).applyInPandas(solve, schema)
+    return each_group(candidates.select(*group, left, right, cost).where(F.col(left).isNotNull() & F.col(right).isNotNull()), group, [cost, right], solve, schema)
 
 
 def tiered_match(
@@ -140,42 +141,39 @@ def tiered_match(
     agree = agree or {}
     names = list(dict.fromkeys([*by, "id", kind, at, content, *([place] if place else []), *agree]))
     rest_weight = 1.0 - base - sum(agree.values())
-    same_value = lambda x, y: x == y or (pd.isna(x) and pd.isna(y))
-    whole = dict(expected.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
+    own = [c for c in names if c not in by]
 
-    def solve(e: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        e, a = (x.sort_values([at, "id"]) if len(x) else pd.DataFrame(columns=names) for x in (e, a))  # an empty side may lack columns
-        head = tuple((e if len(e) else a)[b].iloc[0] for b in by)
-        free = a.to_dict("records")
+    def solve(rows: Columns) -> list[tuple]:
+        head = tuple(rows[b][0] for b in by)
+        sides: tuple[list[dict], list[dict]] = ([], [])
+        for side, *values in zip(rows["_side"], *(rows[c] for c in own), strict=True):
+            sides[side].append(dict(zip(own, values, strict=True)) | {"_set": frozenset(values[own.index(content)] or ())})
+        free = {y["id"]: y for y in sides[1]}
 
         def alike(x: dict, y: dict) -> float:
-            p, q = set(x[content]), set(y[content])
+            p, q = x["_set"], y["_set"]
             shared = len(p & q) / len(p | q) if p or q else 1.0
-            return base + sum(w for c, w in agree.items() if same_value(x[c], y[c])) + rest_weight * shared
+            return base + sum(w for c, w in agree.items() if x[c] == y[c]) + rest_weight * shared
 
         out = []
-        for x in e.to_dict("records"):
-            peers = [y for y in free if y[kind] == x[kind]]
+        for x in sides[0]:
+            peers = [y for y in free.values() if y[kind] == x[kind]]
             now = [y for y in peers if y[at] == x[at]]
             tiers = (
-                (1, [(-alike(x, y), y["id"]) for y in now if place is None or same_value(x[place], y[place])]),
-                (2, [(0.0, y["id"]) for y in now if sorted(y[content]) == sorted(x[content])]),
-                (3, [(abs(y[at] - x[at]), -alike(x, y), y["id"]) for y in peers if alike(x, y) >= least]),
+                lambda: (1, [(-alike(x, y), y["id"]) for y in now if place is None or x[place] == y[place]]),  # noqa: B023
+                lambda: (2, [(0.0, y["id"]) for y in now if sorted(y[content] or ()) == sorted(x[content] or ())]),  # noqa: B023
+                lambda: (3, [(abs(y[at] - x[at]), -alike(x, y), y["id"]) for y in peers if alike(x, y) >= least]),  # noqa: B023
             )
-            tier, options = next(((t, o) for t, o in tiers if o), (0, []))
+            tier, options = next(((t, o) for t, o in (make() for make in tiers) if o), (0, []))
             pick = min(options)[-1] if options else None
-            free = [y for y in free if y["id"] != pick]
+            free.pop(pick, None)
             out.append((*head, x["id"], pick, tier))
-        out += [(*head, None, y["id"], 0) for y in free]
-        found = pd.DataFrame(out, columns=[*by, "expected_id", "actual_id", "tier"])
-        return found.astype({c: "Int64" for c in ("expected_id", "actual_id")}) if whole else found
+        return out + [(*head, None, y, 0) for y in free]
 
     kinds = dict(expected.dtypes)
     schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), f"expected_id {kinds['id']}", f"actual_id {kinds['id']}", "tier int"])
-    # Columns of their own: where both sides come from one table, Spark would prune those of the second.
-    other = actual.select(*(F.col(c).alias(c) for c in names))
-    grouped = expected.select(*names).groupBy(*by).cogroup(other.groupBy(*by))
-    return grouped.applyInPandas(lambda e, a: solve(e, a), schema)
+    both = expected.select(*names, F.lit(0).alias("_side")).unionByName(actual.select(*names, F.lit(1).alias("_side")))
+    return each_group(both, by, [at, "id"], solve, schema)
 
 
 def align_labels(evidence: DataFrame, left: str, right: str, n: str, min_n: int = 2, min_share: float = 0.75) -> DataFrame:
