@@ -35,6 +35,31 @@ def test_whole_texts_notices_and_clauses(spark):
     assert found[51] == "A" and found[52] == ""
 
 
+def test_titles_signs_and_licences_inside_files(spark):
+    from scoreloom.llm.license_texts import TEXTS
+
+    mit, bsd = dict(TEXTS)["MIT"], dict(TEXTS)["BSD-3-Clause"]
+    comment = lambda text: "/*\n" + "\n".join(f" * {x}" for x in text.split("\n")) + "\n */\n\nint main() {}\n"
+    texts = [
+        f"The MIT License (MIT)\n\nCopyright (c) 2020 Some One\n\n{mit}", f"MIT License\n{mit}", mit.replace('"', "\u201d"), "Released under the MIT\u00a0License.", comment(f"Copyright 2020 A\n\n{mit}"),
+        comment(mit) + comment(bsd), f"Intro\n\nBSD 3-Clause License\n\n{bsd}\n\nMore.", mit.replace("\n\n", " "), mit.replace("free of charge", "for a fee"), "The MIT License", f"v v v\n{mit} v",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.whole_license, r.license_ids) for r in license_scan.scan_licenses(docs).collect()}
+    one = ("MIT", "MIT")
+    assert [found[i] for i in range(11)] == [one, one, one, one, ("", "MIT"), ("", "BSD-3-Clause,MIT"), ("", "BSD-3-Clause"), one, ("", ""), ("", ""), ("", "")]
+
+
+def test_full_texts_by_their_digests(spark):
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(name, "\u2014 " + (folder / f).read_text().upper().replace("\n", " \r\n")) for f, name in files.items() if (folder / f).exists()]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert all(r.doc_id == r.whole_license for r in license_scan.scan_licenses(docs).collect())
+
+
 def simulate(shares):
     """Pfair slot by slot: of the released blocks the earliest deadline, then the first source."""
     length, done, order = sum(shares.values()), dict.fromkeys(shares, 0), []
