@@ -10,7 +10,7 @@ tokens of both sides end. The work is linear in the tokens but for a logarithm o
 3. A second pass over the written pairs looks the frequent ones up in a broadcast table of bounded size. The others are
    rare, so no key of theirs has many rows; they meet their counts in a join.
 
-Texts are encoded in units, cut at a space between two ASCII letters. Neither side has a token over such a place, and each
+Texts are encoded in units, cut at a space between a visible ASCII character and an ASCII letter. Neither side has a token over such a place, and each
 side sees the unit with a space before it, so the units' tokens are the text's tokens; equal units are encoded once.
 """
 
@@ -35,7 +35,9 @@ FOLDER = "/opt/tokenizers"
 BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The most id pairs that are broadcast with their counts (12 bytes each).
 HEAD = 1 << 21
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+_CUT = re.compile(r"(?<=[!-~]) (?=[A-Za-z])")
+_INNER = re.compile(r"[A-Za-z](?:.*[!-~])?", re.DOTALL)
+_JOINED = 64  # units that are encoded as one text
 _CHUNK = 1 << 20  # characters that are aligned at once
 _CACHED = 1 << 23  # characters of the units that a task keeps encoded
 _HELD = 1 << 22  # pairs that a task counts at once
@@ -73,14 +75,62 @@ class Tokenizers:
         #: Whether no piece goes on over a space, so that texts may be cut at spaces.
         self.cut = all(re.fullmatch("▁*[^▁]*", p) for p in pieces)
 
-    def encode(self, units: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        """(A ids of space+unit, B ids of unit, whether both sides' bytes are those of space+unit)."""
-        found = []
-        for one, b in zip(self._a.encode_batch([" " + u for u in units], add_special_tokens=False), self._b.encode(units, num_threads=1), strict=True):
-            raw = " ".encode() + found_bytes(units[len(found)])
-            same = b"".join(map(self.a_bytes.__getitem__, one.ids)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-            found.append((one.ids, b, same))
-        return found
+    def encode(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Of both sides the ids of all units, and how many each has; and whether both sides' bytes are those of a space and
+        the unit. Short units that can stand inside a text are encoded as one text, cut where units end."""
+        plain = np.array([self.cut and len(u) < 1000 and _INNER.fullmatch(u) is not None for u in units], bool)
+        order, parts = [], []
+        joined = np.flatnonzero(plain)
+        if len(joined):
+            ids, sizes, same = self._joined([units[i] for i in joined])
+            plain[joined[~same]] = False
+            order.append(joined[same])
+            parts.append((ids, sizes, np.ones(int(same.sum()), bool)))
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            order.append(rest)
+            parts.append(self._single([units[i] for i in rest]))
+        at = np.concatenate(order)
+        back = np.argsort(at)
+        ids, sizes = [], []
+        for side in (0, 1):
+            flat, n = (np.concatenate([p[k][side] for p in parts]) for k in (0, 1))
+            first = np.cumsum(n) - n
+            n, first = n[back], first[back]
+            ids.append(flat[np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)])
+            sizes.append(n)
+        return ids, sizes, np.concatenate([p[2] for p in parts])[back]
+
+    def _sides(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        a = self._a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        return zip((x.ids for x in a), self._b.encode(texts, num_threads=1), strict=True)
+
+    def _joined(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """As encode, without the units, which are marked, of texts that a side changes or has a token over a unit's end in."""
+        texts = [units[i : i + _JOINED] for i in range(0, len(units), _JOINED)]
+        ids, sizes, same = ([], []), ([], []), []
+        for own, found in zip(texts, self._sides([" ".join(t) for t in texts]), strict=True):
+            raw = [b" " + found_bytes(u) for u in own]
+            ends, whole = np.cumsum([len(x) for x in raw]), b"".join(raw)
+            flat = [np.array(x, np.int32) for x in found]
+            after = [np.cumsum(lengths[x]) for x, lengths in zip(flat, (self.a_sizes, self.b_sizes), strict=True)]
+            at = [np.searchsorted(x, ends) for x in after]
+            good = all(b"".join(map(of.__getitem__, x)) == whole for x, of in zip(found, (self.a_bytes, self.b_bytes), strict=True))
+            good = good and all((x[k] == ends).all() for x, k in zip(after, at, strict=True))
+            same += [good] * len(own)
+            for side in (0, 1) if good else ():
+                ids[side].append(flat[side])
+                sizes[side].append(np.diff(at[side], prepend=-1))
+        gathered = [[np.concatenate([np.zeros(0, kind), *x]) for x in sides] for sides, kind in ((ids, np.int32), (sizes, np.int64))]
+        return gathered[0], gathered[1], np.array(same, bool)
+
+    def _single(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        found, same = list(self._sides(units)), []
+        for unit, (a, b) in zip(units, found, strict=True):
+            raw = b" " + found_bytes(unit)
+            same.append(b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw)
+        flat = [np.array([i for x in found for i in x[side]], np.int32) for side in (0, 1)]
+        return flat, [np.array([len(x[side]) for x in found], np.int64) for side in (0, 1)], np.array(same, bool)
 
 
 def found_bytes(text: str) -> bytes:
@@ -107,14 +157,12 @@ class _Encoded:
             self._forget()
         new = [u for u in dict.fromkeys(units) if u not in self.at]
         if new:
-            made = self.tokenizers.encode(new)
+            ids, sizes, same = self.tokenizers.encode(new)
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
             self.chars += sum(map(len, new))
-            for side in (0, 1):
-                flat = [i for x in made for i in x[side]]
-                self.ids[side] = np.concatenate((self.ids[side], np.array(flat, np.int32)))
-                self.sizes[side] = np.concatenate((self.sizes[side], np.array([len(x[side]) for x in made], np.int64)))
-            self.same = np.concatenate((self.same, np.array([x[2] for x in made], bool)))
+            self.ids = [np.concatenate(x) for x in zip(self.ids, ids, strict=True)]
+            self.sizes = [np.concatenate(x) for x in zip(self.sizes, sizes, strict=True)]
+            self.same = np.concatenate((self.same, same))
         return np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
 
     def gather(self, side: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

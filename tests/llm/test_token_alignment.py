@@ -30,8 +30,9 @@ def plain(tokenizers, texts):
         if not text:
             docs.append([])
             continue
-        a, b, same = tokenizers.encode([text])[0]
-        if not same:
+        (a, b), _, same = tokenizers._single([text])
+        a, b = a.tolist(), b.tolist()
+        if not same[0]:
             docs.append([])
             continue
         ends = lambda ids, of: np.cumsum([len(of[i]) for i in ids]).tolist()
@@ -70,6 +71,20 @@ def test_documents(spark, tokenizers):
     check(spark, tokenizers, texts, head=1000)
 
 
+def test_units_have_the_tokens_of_the_whole_text(tokenizers):
+    rng = np.random.default_rng(11)
+    bits = [" ", " ", " ", "a", "Bc", "the", "'s", "'", ".", ", ", "-", "1", "23", "\n", "\t", "é", "ß", "日本", "▁", "\u00a0", "\u2003", "😀", "<|endoftext|>", "</s>", "<0x41>", "_", "I'll", "\x1f", "\u0301"]
+    texts = ["".join(bits[i] for i in rng.integers(0, len(bits), int(rng.integers(1, 60)))) for _ in range(3000)]
+    for (a, b), text in zip(tokenizers._sides(texts), texts, strict=True):
+        units = ta._CUT.split(text)
+        parts = list(tokenizers._sides(units))
+        assert [i for x, _ in parts for i in x] == list(a) and [i for _, y in parts for i in y] == list(b)
+    units = list(dict.fromkeys(u for t in texts for u in ta._CUT.split(t)))
+    ids, sizes, same = tokenizers.encode(units)
+    one, n, good = tokenizers._single(units)
+    assert all((x == y).all() for x, y in zip([*ids, *sizes, same], [*one, *n, good], strict=True))
+
+
 def test_small_chunks(tokenizers, monkeypatch):
     whole = list(ta.Aligner(tokenizers).align(ODD))
     for name, size in (("_CHUNK", 7), ("_CACHED", 3), ("_LINKS", 5)):
