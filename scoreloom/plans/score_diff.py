@@ -187,8 +187,8 @@ def match_events(expected: DataFrame, actual: DataFrame) -> DataFrame:
     same = ["type", "when", "event_staff", "content", "voice", "duration"]
     pick = lambda df: df.select(*_PLACE, F.col("event_id").alias("id"), *same)
     e, a = pick(expected), pick(actual)
-    bag = lambda df, name: df.groupBy(*_PLACE).agg(F.sort_array(F.collect_list(F.xxhash64(*same))).alias(name))
-    equal = materialize(bag(e, "e").join(bag(a, "a"), _PLACE).where("e = a").select(*_PLACE), "equal_measures")
+    bag = lambda df, name: df.groupBy(*_PLACE).agg(F.sort_array(F.collect_list(F.struct(*same))).alias(name))
+    equal = materialize(bag(e, "e").join(bag(a, "a"), _PLACE).where("e <=> a").select(*_PLACE), "equal_measures")
     both = matching.match_occurrences(e.join(equal, _PLACE, "left_semi"), a.join(equal, _PLACE, "left_semi"), [*_PLACE, *same], ["id"], ["id"])
     plain = both.select(*_PLACE, F.col("expected.id").alias("expected_id"), F.col("actual.id").alias("actual_id"), F.lit(1).alias("tier"))
     agree = {"duration": 0.15, "voice": 0.10, "event_staff": 0.10}
