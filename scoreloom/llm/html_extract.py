@@ -33,14 +33,23 @@ _BLOCKS = frozenset(
 #: Elements that hold no article text.
 _OUT = frozenset("head title nav footer aside form button menu dialog fieldset label input".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-#: Only these elements are told by their labels; text elements, and what holds the whole page or article, are not.
+#: Elements that are told by their labels, unless they hold the whole page or article.
 _LABELLED = frozenset("div section ul ol dl table td figure center".split())
-_COMMENT_LABELS = frozenset("comment comments respond disqus discussion replies".split())
-_OUT_LABELS = _COMMENT_LABELS | frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent"
-    " gdpr notice notices alert popup modal newsletter subscribe subscription signup login share sharing social"
-    " related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead"
-    " header pagination pager".split()
+#: Of lists, tables and figures, and of paragraphs and words, only adverts, notices and comments are told.
+_CONTENT = frozenset("ol dl table td figure".split())
+_PARAGRAPHS, _WORDS = frozenset("p blockquote h2 h3 h4 h5 h6 address".split()), frozenset("span small ins em strong b i".split())
+#: Labels that tell with whatever stands beside them, as in advert-leaderboard.
+_COMMENT_ALWAYS = frozenset("comments commentlist disqus".split())
+_AD_ALWAYS = frozenset("advert adverts advertisement advertisements advertising adsbygoogle sponsored gdpr".split())
+_ALWAYS = _COMMENT_ALWAYS | _AD_ALWAYS | frozenset("promo cookies consent popup modal newsletter subscribe signup login sidebar navbar breadcrumb breadcrumbs masthead pagination pager".split())
+#: Labels that tell alone or beside each other and words of place or form, so that notice-period and header-files do not.
+_COMMENT_ALONE = frozenset("comment respond discussion replies reply".split())
+_AD_ALONE = frozenset("ad ads adv notice notices cookie".split())
+_ALONE = _COMMENT_ALONE | _AD_ALONE | frozenset("banner sponsor promotion alert subscription share sharing social related recommended recommendations menu nav navigation footer header".split())
+_BESIDE = _ALWAYS | _ALONE | frozenset(
+    "area bar block box bottom bottoms btn button buttons card cards center col column container content critical element foot form global group head icon icons info inline inner item"
+    " items js label layout left link links list main message mobile module more msg outer overlay page pane panel posts primary right row section secondary site slot small"
+    " static sticky strip text thread tile title toolbar top tree unit user users reader readers view widget widgets wrap wrapper x y".split()
 )
 #: A label that tells the state of something else or of the page, as in has-sidebar or comments-open.
 _STATE = re.compile(r"(?:has|no|with|without)[-_].*|.*[-_](?:open|opened|closed|fixed|enabled|disabled)", re.S)
@@ -108,8 +117,18 @@ def tags(page: str) -> Iterator[tuple[int, int, str, dict[str, str]]]:
             yield at, at, "/" + tag, {}
 
 
+def _kinds(label: str) -> set[str]:
+    """What a label tells of its element: 'ad' (adverts and notices), 'comment', 'other' or nothing."""
+    pieces = {x.lower() for x in _PIECE.findall(label)}
+    if _STATE.fullmatch(label.lower()) or pieces.isdisjoint(_ALWAYS | _ALONE):
+        return set()
+    told = pieces & (_ALWAYS | _ALONE if pieces <= _BESIDE else _ALWAYS)
+    groups = {"ad": _AD_ALWAYS | _AD_ALONE, "comment": _COMMENT_ALWAYS | _COMMENT_ALONE}
+    return {name for name, group in groups.items() if told & group} or ({"other"} if told else set())
+
+
 class _Node:
-    __slots__ = ("by_label", "by_tag", "comments", "core", "depth", "link", "linked", "name", "out", "parent", "running", "score", "tag", "text")
+    __slots__ = ("by_label", "by_tag", "comments", "core", "depth", "link", "linked", "name", "out", "parent", "running", "score", "skip", "tag", "text")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: _Node | None):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
@@ -127,10 +146,12 @@ class _Node:
         if tag == "header":  # the page's, not an article's
             self.by_tag = not any(x.tag in ("article", "main", "section") for x in self.above())
         self.by_tag |= parent is not None and parent.by_tag
-        if tag in _LABELLED:
-            pieces = {x.lower() for label in labels if not _STATE.fullmatch(label.lower()) for x in _PIECE.findall(label)}
-            self.by_label = not _OUT_LABELS.isdisjoint(pieces)
-            self.comments = not _COMMENT_LABELS.isdisjoint(pieces)
+        self.skip = parent is not None and parent.skip
+        if tag in _LABELLED or tag in _PARAGRAPHS or tag in _WORDS:
+            told = {kind for label in labels for kind in _kinds(label)}
+            self.comments = "comment" in told and tag in _LABELLED
+            self.by_label = bool(told) if tag in _LABELLED and tag not in _CONTENT else "ad" in told or self.comments
+            self.skip |= self.by_label and tag in _WORDS
 
     def above(self) -> Iterator[_Node]:
         node = self.parent
@@ -190,7 +211,7 @@ def _scan(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
 
     def add(piece: str):
         nonlocal linked
-        if piece:
+        if piece and not stack[-1].skip:
             pieces.append(html.unescape(piece))
             if stack[-1].link:
                 linked += len(pieces[-1])

@@ -121,3 +121,51 @@ def test_generated_pages_against_their_texts(spark):
         expected[i] = "\n".join(parts)
     found = m.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert {r.page_id: r.text for r in found.collect()} == expected
+
+
+def test_adverts_notices_and_comments_inside_an_article():
+    body = "".join(f"<p>Sentence {i} of the article goes on for a while, and then it ends.</p>" for i in range(6))
+    plain = "\n".join(f"Sentence {i} of the article goes on for a while, and then it ends." for i in range(6))
+    extracted = lambda inside: m.extract(f"<html><body><article>{inside}</article></body></html>", None)
+    for gone in (
+        "<p class='advert'>Buy now!</p>", "<p class=notice>We use cookies on this page.</p>", "<span class='ad'>Best price today.</span>", "<ol class='commentlist'><li>First! Nice read.</li></ol>",
+        "<div class='advert-leaderboard'>Buy.</div>", "<div class='ad-slot-2'>Buy.</div>", "<div id=cookie-notice>Cookies.</div>", "<ul class='share-buttons'><li>Tell a friend.</li></ul>",
+        "<section class='user-comments'><article><p>I do not agree with this.</p></article></section>", "<div class='related-posts'><p>Read this as well.</p></div>", "<div class='AdBox'>Buy.</div>",
+    ):
+        assert extracted(gone + body) == extracted(body + gone) == plain, gone
+    for kept, text in (
+        ("<div class='notice-period'>A notice period applies.</div>", "A notice period applies."), ("<section class='header-files'><p>Header files come first.</p></section>", "Header files come first."),
+        ("<dl class='menu'><dt>Soup</dt><dd>Five.</dd></dl>", "Soup\nFive."), ("<div class='ad-hoc'>An ad-hoc group met.</div>", "An ad-hoc group met."), ("<p class='alert-levels'>Levels.</p>", "Levels."),
+        ("<p>One <span class='ad-hoc'>group</span> met.</p>", "One group met."), ("<p>A <span class='ad'>hidden</span> word.</p>", "A word."), ("<div class='has-sidebar'>Text.</div>", "Text."),
+    ):
+        assert extracted(body + kept) == f"{plain}\n{text}", kept
+
+
+def test_generated_articles_with_adverts_notices_and_comments(spark):
+    import random
+
+    rng = random.Random(7)
+    sentence = lambda n: " ".join(rng.choice(["stone", "river", "light", "walked", "under", "green", "quiet"]) for _ in range(n)).capitalize() + "."
+    noise = [
+        "<div class='ad-unit'><p>{}</p></div>", "<p class='advertisement'>{}</p>", "<div class='notice'>{}</div>", "<aside><p>{}</p></aside>", "<div class='newsletter-box'><p>{}</p><form><input></form></div>",
+        "<div class='sponsored-content'><p>{}</p></div>", "<figure><figcaption class='advert'>{}</figcaption></figure>",
+    ]
+    pages, texts = [], []
+    for i in range(40):
+        parts, kept = [], []
+        for _ in range(rng.randint(4, 9)):
+            kept.append(sentence(rng.randint(8, 40)))
+            parts.append(f"<p>{kept[-1]}</p>")
+            if rng.random() < 0.4:
+                parts.append(rng.choice(noise[:6]).format(sentence(12)))
+        comments = "".join(f"<li class='comment'><p>{sentence(15)}</p></li>" for _ in range(rng.randint(0, 6)))
+        article = f"<article><h1>Title {i}</h1>{''.join(parts)}<section id='comments'><h2>Comments</h2><ol class='commentlist'>{comments}</ol></section></article>"
+        pages.append((i, f"https://h{i % 3}.example/{i}", f"<html><body><nav><a href=/>Home</a></nav>{article}<footer>{sentence(9)}</footer></body></html>"))
+        texts.append("\n".join([f"Title {i}", *kept]))
+    found = {r["page_id"]: r["text"] for r in m.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [found[i] for i in range(40)] == texts
+
+
+def test_null_page_ids(spark):
+    pages = spark.createDataFrame([(None, None, "<p>A.</p>"), (None, "x", None)], "page_id long, url string, html string")
+    assert sorted((r["page_id"] is None, r["text"], r["n_chars"]) for r in m.extract_pages(pages).collect()) == [(True, "", 0), (True, "A.", 2)]
