@@ -34,6 +34,7 @@ SKETCH, _PIECES = 1 << 20, 64
 #: Rows of a word that are compared in one task.
 BLOCK = 1 << 17
 _LINES = 1 << 22
+_SEEN = 1 << 19
 _SIGNED = "key long, salt int, node long, place long, signature binary"
 
 
@@ -97,14 +98,10 @@ def signature_words(sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes <= 64, 2, np.where(sizes <= 128, 4, np.where(sizes <= 256, 8, 16)))
 
 
-def signature_words(sizes: np.ndarray) -> np.ndarray:
-    """64-bit words in the signature of a line of so many words: bits for each at least, but for the longest lines."""
-    return np.where(sizes <= 64, 2, np.where(sizes <= 128, 4, np.where(sizes <= 256, 8, 16)))
-
-
 def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of texts: the rows of scan_lines, and at the end _PIECES rows with the counts of this task's words."""
     words = np.zeros(SKETCH, np.int64)
+    buckets: list[np.ndarray] = []  # of words that are not counted yet
     names = ["doc_id", "line_no", "node", "check", "n", "piece", "counts"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     for batch in pieces(batches):
@@ -115,7 +112,10 @@ def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(counted, names)
             if not len(first):
                 continue
-            words += np.bincount((all_words % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+            buckets.append((all_words % np.uint64(SKETCH)).astype(np.int32))
+            if sum(map(len, buckets)) >= 2 * SKETCH:
+                words += np.bincount(np.concatenate(buckets), minlength=SKETCH)
+                buckets.clear()
             sizes = np.diff(np.append(first, len(h)))
             text = np.searchsorted(texts, lines, "right") - 1
             node, check = digests(h, first, sizes)
@@ -124,6 +124,8 @@ def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(sizes.astype(np.int32)), pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
+    if buckets:
+        words += np.bincount(np.concatenate(buckets), minlength=SKETCH)
     packs = [zlib.compress(piece.tobytes(), 1) for piece in words.reshape(_PIECES, -1)]
     yield pa.RecordBatch.from_arrays([*(pa.nulls(_PIECES, k) for k in kinds[:5]), pa.array(range(_PIECES), pa.int32()), pa.array(packs, pa.binary())], names)
 
@@ -134,7 +136,7 @@ def _prefixes(levels, spread, per_cent: int):
     more than BLOCK are dealt out by a salt from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
+        seen = np.arange(_SEEN) ^ 1  # late nodes, each at its own place; what is overwritten is emitted again, nothing is lost
         for batch in pieces(batches):
             for _, held in texts_in_chunks(batch.column(0).to_pylist()):
                 h, level, first, _, _, _ = line_sets(held, levels.value)
@@ -144,9 +146,9 @@ def _prefixes(levels, spread, per_cent: int):
                 nodes = digests(h, first, sizes)[0]
                 fresh = np.zeros(len(nodes), bool)
                 fresh[np.unique(nodes, return_index=True)[1]] = True
-                fresh &= ~np.isin(nodes, seen)
-                if len(seen) < 500_000:
-                    seen = np.union1d(seen, nodes[fresh])
+                own = nodes & (_SEEN - 1)
+                fresh &= seen[own] != nodes
+                seen[own] = nodes
                 inside = np.arange(len(h)) - np.repeat(first, sizes)
                 prefix = sizes - (per_cent * sizes + 99) // 100 + 1
                 line = np.repeat(np.arange(len(first)), sizes)
