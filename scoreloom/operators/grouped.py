@@ -6,21 +6,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .groupwise import Columns, each_group
 
 
-def sign_cell(vector: str, bits: int = 12) -> Column:
-    """The cell of a vector by the signs of its first components: near vectors mostly share one, and cells are small
-    where a whole corpus is one group."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0), lambda cell, i: cell * 2 + F.when(F.coalesce(F.get(vector, i), F.lit(0.0)) > 0, 1).otherwise(0))
-
-
 def leader_cluster(df: DataFrame, by: Sequence[str], item: str, vector: str, threshold: float) -> DataFrame:
     """by, item, leader, distance: items in order of id join the nearest leader within threshold (then the first), or
-    lead a cluster of their own. Distance: Euclidean. Each group is one task's, so a corpus is dealt into cells first."""
+    lead a cluster of their own. Distance: Euclidean. Each group is one task's; leaders.leader_scan
+    finds the same leaders in groups of any size."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(item, kind="stable")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fractions, text
-from ..operators import grouped, matching, ranking, sequences, spatial
+from ..operators import grouped, leaders, matching, ranking, sequences, spatial
 from ..operators.components import components
 
 QUERIES = {}
@@ -352,10 +352,11 @@ def q_metronome(spark, sf_dir):
 
 @query()
 def q_leader(spark, sf_dir):
-    """Leader clusters of the embeddings of each label, cell by cell."""
-    rows = _t(spark, sf_dir, "embeddings").withColumn("cell", grouped.sign_cell("embedding"))
-    found = grouped.leader_cluster(rows, ["label", "cell"], "vec_id", "embedding", 1.2)
-    return found.drop("cell").withColumn("distance", F.round("distance", 6))
+    """Leader clusters of the embeddings of each label, as one scan of each label would find them."""
+    rows = _t(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    cells = [(F.element_at("embedding", i), 1.2) for i in (1, 2)]
+    found = leaders.leader_scan(rows, ["label"], "vec_id", "embedding", cells, leaders.euclidean, 1.2)
+    return found.withColumn("distance", F.round("distance", 6))
 
 
 def _candidates(spark, sf_dir):

@@ -4,24 +4,73 @@ import itertools
 import math
 import random
 
-from scoreloom.operators import grouped, matching
+import pytest
+from pyspark.sql import functions as F
 
+from scoreloom.operators import grouped, leaders, matching
 
-def test_leaders_in_their_cells(spark):
+
+def scan(rows, threshold, distance):
+    """Leaders of (group, item, value) by one scan in order."""
+    first, expected = [], {}
+    for g, i, v in sorted(rows, key=lambda r: (r[0], r[1])):
+        near = min(((distance(v, w), k) for k, (h, _, w) in enumerate(first) if h == g), default=(math.inf, 0))
+        if near[0] > threshold:
+            first.append((g, i, v))
+            near = (0.0, len(first) - 1)
+        expected[(g, i)] = (first[near[1]][1], round(near[0], 9))
+    return expected
+
+
+def test_leaders_of_small_groups(spark):
     rng = random.Random(1)
-    rows = [(i % 2, i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(120)] + [(1, 500, None), (1, 501, [0.0])]
-    df = spark.createDataFrame(rows, "g int, i long, v array<double>").withColumn("cell", grouped.sign_cell("v", 4))
-    cells = {r.i: r.cell for r in df.collect()}
-    assert cells == {i: sum(8 >> k for k in range(4) if v and k < len(v) and v[k] > 0) for _, i, v in rows}
-    found = {r.i: (r.leader, round(r.distance, 9)) for r in grouped.leader_cluster(df.where("i < 500"), ["g", "cell"], "i", "v", 0.6).collect()}
-    leaders, expected = [], {}
-    for g, i, v in rows[:120]:
-        near = min(((math.dist(v, w), k) for k, (h, j, w) in enumerate(leaders) if h == (g, cells[i])), default=(9, 0))
-        if near[0] > 0.6:
-            leaders.append(((g, cells[i]), i, v))
-            near = (0.0, len(leaders) - 1)
-        expected[i] = (leaders[near[1]][1], round(near[0], 9))
-    assert found == expected
+    rows = [(i % 2, i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "g int, i long, v array<double>")
+    found = {(r.g, r.i): (r.leader, round(r.distance, 9)) for r in grouped.leader_cluster(df, ["g"], "i", "v", 0.6).collect()}
+    assert found == scan(rows, 0.6, math.dist)
+
+
+@pytest.mark.parametrize("first", [8, 10_000])
+def test_leaders_of_a_corpus_are_those_of_one_scan(spark, first):
+    """Near each other across cells and signs, in a dense place whose items come last, equal ones and repeated rows."""
+    rng = random.Random(4)
+    rows = [(i % 2, i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(150)]
+    rows += [(0, 200 + i, [3 + rng.uniform(-0.1, 0.1), rng.uniform(-0.1, 0.1), 0.0]) for i in range(60)] + [(1, 300 + i, [0.5, 0.5, 0.5]) for i in range(5)]
+    df = spark.createDataFrame([*rows, rows[7], (0, None, [0.0] * 3), (0, 999, None)], "g int, i long, v array<double>").withColumn("leader", F.lit("clash"))
+    cells = [(F.element_at("v", 1), 0.6), (F.element_at("v", 2), 0.6)]
+    found = {(r.g, r.i): (r.leader, round(r.distance, 9)) for r in leaders.leader_scan(df, ["g"], "i", "v", cells, leaders.euclidean, 0.6, first).collect()}
+    assert found == scan(rows, 0.6, math.dist)
+    assert leaders.leader_scan(df.limit(0), ["g"], "i", "v", cells, leaders.euclidean, 0.6).count() == 0
+
+
+def test_prototypes_of_shapes_are_those_of_one_scan(spark):
+    rng = random.Random(6)
+
+    def describe(points):
+        x, y = [p[0] for p in points], [p[1] for p in points]
+        w, h = max(max(x) - min(x), 1e-9), max(max(y) - min(y), 1e-9)
+        scaled = [((a - min(x)) / w, (b - min(y)) / h) for a, b in points]
+        area = abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(scaled, scaled[1:] + scaled[:1], strict=True))) / 2 if len(points) > 2 else 0.0
+        return w / h, area, scaled
+
+    def distance(a, b):
+        n = min(len(a[2]), len(b[2]))
+
+        def sample(points, i):
+            place = 0.0 if n <= 1 or len(points) == 1 else i * (len(points) - 1) / (n - 1)
+            low = int(place)
+            p, q = points[low], points[min(low + 1, len(points) - 1)]
+            return p[0] + (q[0] - p[0]) * (place - low), p[1] + (q[1] - p[1]) * (place - low)
+
+        rms = math.sqrt(sum(math.dist(sample(a[2], i), sample(b[2], i)) ** 2 for i in range(n)) / n)
+        return rms + 0.25 * abs(math.log(a[0] / b[0])) + 0.15 * abs(a[1] - b[1])
+
+    kinds = [[(rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(rng.randint(1, 9))] for _ in range(12)]
+    shapes = [(0, i, [(x * s + rng.uniform(-0.1, 0.1), y * s + 5) for x, y in kinds[i % 12]]) for i in range(90) for s in [rng.uniform(1, 3)]]
+    df = spark.createDataFrame([(g, i, [{"x": x, "y": y} for x, y in p]) for g, i, p in shapes] + [(0, 500, [])], "g int, i long, p array<struct<x:double,y:double>>")
+    found = {(r.g, r.i): (r.leader, round(r.distance, 9)) for r in leaders.shape_prototypes(df, ["g"], "i", "p").collect()}
+    expected = scan([(g, i, describe(p)) for g, i, p in shapes], 0.035, distance)
+    assert found == expected and 12 <= len({v[0] for v in expected.values()}) < 80
 
 
 def test_greedy_assignment_is_a_sorted_scan(spark):
