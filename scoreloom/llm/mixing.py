@@ -4,7 +4,8 @@ A source's documents, in a hash order, fill blocks of equal size. With w its wei
 i-th block is released at floor(i / w) and due at ceil((i + 1) / w), and each slot goes to the released block with the
 earliest deadline. So after t slots of a phase a source has had floor(w t) or ceil(w t) blocks, however long the phase
 is and however small w. A phase lasts until a source runs out; the rest go on from there with their shares. The
-schedule is one pass over the blocks (not the documents) in the driver, in whole numbers without rounding. Every document comes out once.
+schedule is one pass over the blocks (not the documents) in the driver, in whole numbers without rounding; blocks grow
+with the corpus beyond a stated number of them, so this pass is bounded. Every document comes out once.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import copy_key, materialize, table
 
+#: A source without a usable weight has this share of the others' sum.
 FRAME = 240
-#: Rows of the schedule that the driver holds at once.
-PIECE = 500_000
+#: Rows of the schedule that the driver holds at once, and rows that it makes at most, beside one a source.
+PIECE, MOST_BLOCKS = 500_000, 1 << 22
 
 
 def schedule(sources: Iterable[tuple[str, int, float]]) -> Iterator[tuple[str, int, int, int]]:
@@ -69,38 +71,9 @@ def _written(spark: SparkSession, rows: Iterable[tuple[str, int, int, int]], pie
     return reduce(DataFrame.unionAll, tables)
 
 
-def frame_pattern(shares: DataFrame) -> DataFrame:
-    """(phase, source, j, slot, length): the slot, from 0, of each source's j-th block in a frame of whole shares.
-
-    shares: phase, source, k (blocks in a frame, at least 1). A phase's frame has sum(k) slots and is one row here, so
-    its size is bounded by FRAME and the number of sources, not by the documents.
-    """
-    member = F.struct("source", "k")
-    frames = shares.groupBy("phase").agg(F.array_sort(F.collect_list(member)).alias("members"), F.sum("k").cast("int").alias("length"))
-    begin = F.struct(F.transform("members", lambda m: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order"))
-
-    def serve(state, t):
-        """Slot t: of the released blocks the one with the earliest deadline, then of the first source."""
-        done, length = state["done"], F.col("length")
-
-        def block(m, i):
-            n = F.element_at(done, i + 1)
-            due = F.floor(((n + 1) * length + m["k"] - 1) / m["k"]).cast("int")
-            return F.when((n < m["k"]) & (F.floor(n * length / m["k"]) <= t), F.struct(due.alias("due"), i.alias("i")))
-
-        pick = F.array_min(F.filter(F.transform("members", block), lambda b: b.isNotNull()))["i"]
-        return F.struct(
-            F.transform(done, lambda n, i: n + F.when(i == pick, 1).otherwise(0)).alias("done"),
-            F.concat(state["order"], F.array(pick)).alias("order"),
-        )
-
-    order = F.aggregate(F.sequence(F.lit(0), F.col("length") - 1), begin, serve)["order"]
-    slots = frames.select("phase", "members", "length", F.posexplode(order).alias("slot", "i"))
-    j = F.row_number().over(Window.partitionBy("phase", "i").orderBy("slot")) - 1
-    return slots.select("phase", F.element_at("members", F.col("i") + 1)["source"].alias("source"), j.alias("j"), "slot", "length")
-
-
-def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = 100_000, frame: int = FRAME, bucket_rows: int = 500) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: DataFrame | None = None, block_chars: int = 100_000, frame: int = FRAME, bucket_rows: int = 500, most_blocks: int = MOST_BLOCKS
+) -> DataFrame:
     """doc_id, source, block, phase, slot, place, copy (a hash of the text) of every row of docs; (slot, place) is the
     order of the mixture.
 
@@ -108,7 +81,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = 10
     None weighs each by the square root of its characters. A null source is ''. A document belongs to the block in which it begins, so one longer than a block
     takes the slots of several. Lengths count a null text as empty and one character more than the text, so that
     empty documents advance too. Order inside a source: a hash of doc_id, then doc_id, then text, so repeated rows sit
-    side by side. block_chars: size of a block; bucket_rows: about how many rows one task ranks at once.
+    side by side. Repeated rows of equal doc_id, source and text have a place each.
+    block_chars: size of a block; where a corpus would have more than most_blocks of them, blocks are longer, so that
+    the schedule stays a bounded number of rows. bucket_rows: about how many rows one task ranks at once.
     """
     rows = docs.select(
         "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("doc_id").alias("h"), copy_key().alias("copy"),
@@ -126,6 +101,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = 10
     ranges = materialize(ranges.select("source", "range", "chars", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("chars_before"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before")), "ranges")
     inside = Window.partitionBy("source", "range").orderBy("h", "doc_id", "copy")
     local = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = ranges.agg(F.sum("chars")).first()[0]
+    block_chars = max(block_chars, -(-int(whole) // most_blocks))
     ranked = rows.withColumn("local", local).withColumn("nth", F.row_number().over(inside)).join(ranges.drop("chars"), ["source", "range"])
     ranked = ranked.select(
         "doc_id", "source", "copy", F.floor((F.col("chars_before") + F.col("local")) / block_chars).alias("block"), (F.col("rows_before") + F.col("nth")).alias("place")

@@ -60,28 +60,11 @@ def test_full_texts_by_their_digests(spark):
     assert all(r.doc_id == r.whole_license for r in license_scan.scan_licenses(docs).collect())
 
 
-def simulate(shares):
-    """Pfair slot by slot: of the released blocks the earliest deadline, then the first source."""
-    length, done, order = sum(shares.values()), dict.fromkeys(shares, 0), []
-    for t in range(length):
-        ready = [(-(-(done[s] + 1) * length // k), s) for s, k in sorted(shares.items()) if done[s] < k and done[s] * length // k <= t]
-        order.append(min(ready)[1])
-        done[order[-1]] += 1
-    return order
-
-
-def test_frames_against_a_simulation_and_the_bound(spark):
-    rng = random.Random(1)
-    phases = {p: {f"s{i}": rng.randrange(1, 20) for i in range(rng.randrange(1, 7))} for p in range(8)}
-    shares = spark.createDataFrame([(p, s, k) for p, f in phases.items() for s, k in f.items()], "phase int, source string, k int")
-    found = {}
-    for r in mixing.frame_pattern(shares).collect():
-        found.setdefault(r.phase, {})[r.slot] = r.source
-    for p, f in phases.items():
-        order = [found[p][t] for t in range(sum(f.values()))]
-        assert order == simulate(f)
-        for s, k in f.items():
-            assert all(abs(order[: t + 1].count(s) - k * (t + 1) / len(order)) < 1 for t in range(len(order)))
+def test_blocks_grow_so_that_the_schedule_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 50, f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
+    blocks = lambda **more: mixing.mix(docs, block_chars=51, **more).select("source", "block").distinct().count()
+    assert blocks() == 600 and blocks(most_blocks=40) <= 40 + 3
+    assert mixing.mix(docs, block_chars=51, most_blocks=40).select("doc_id").distinct().count() == 600
 
 
 def test_every_row_once_and_targets_met(spark):
