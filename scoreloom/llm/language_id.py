@@ -155,9 +155,25 @@ def _calibrate(model: Model, examples: DataFrame, code: dict[str, int]) -> Model
     if not rows:
         return model
     z, y = np.array([r["logits"] for r in rows]), np.array([code[r["lang"]] for r in rows])
-    grid = np.exp(np.linspace(np.log(0.02), np.log(20), 120))
-    loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
-    return Model(model.langs, model.idf, model.weights, float(grid[int(np.argmin(loss))]))
+    return Model(model.langs, model.idf, model.weights, temperature(z, y))
+
+
+def temperature(z: np.ndarray, y: np.ndarray) -> float:
+    """1 / b for the b with the least log loss of softmax(b z) against the labels y, of which a share of 1 / (n + 1) is
+    spread over all languages, so that separable examples have a finite one too. The loss is convex in b: its slope's
+    zero is bracketed, without a limit, and halved down."""
+    n, share = len(y), 1 / (len(y) + 1)
+    wanted = (1 - share) * z[np.arange(n), y] + share * z.mean(axis=1)
+    slope = lambda b: float(((_softmax(b * z) * z).sum(axis=1) - wanted).mean())
+    low, high = 1.0, 1.0
+    while slope(low) > 0 and low > 1e-300:
+        low /= 2
+    while slope(high) < 0 and high < 1e300:
+        high *= 2
+    for _ in range(100):
+        middle = (low * high) ** 0.5
+        low, high = (middle, high) if slope(middle) < 0 else (low, middle)
+    return 1 / high
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -83,3 +83,55 @@ def test_language_held_out_accuracy_and_odd_rows(spark):
 def test_language_empty_table(spark):
     d = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language_id.predict(d, language_id.fit(d)).count() == 0
+
+
+def test_ftrl_against_plain_python():
+    """One pass, coordinate by coordinate, from weights that are not 0."""
+    import math
+
+    rng = np.random.default_rng(8)
+    texts, labels = ["ab ab c", "bd", "xyz x", "ab", "zz top", "c d e"], np.array([0, 1, 2, 0, 2, 1])
+    start = rng.normal(0, 0.3, (3, language_id.BUCKETS)) * (rng.random((3, language_id.BUCKETS)) < 0.5)
+    model = language_id.Model(["a", "b", "c"], rng.random(language_id.BUCKETS) + 0.5, start)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.01
+    found = language_id._ftrl(model, texts, labels, alpha, beta, l1, l2)
+    z, n = {}, {}
+
+    def weight(c, k):
+        if (c, k) not in z:
+            w = start[c, k]
+            z[c, k], n[c, k] = -w * (beta / alpha + l2) - math.copysign(l1, w) * (w != 0), 0.0
+        v = z[c, k]
+        return 0.0 if abs(v) <= l1 else (math.copysign(l1, v) - v) / ((beta + math.sqrt(n[c, k])) / alpha + l2)
+
+    for text, label in zip(texts, labels, strict=True):
+        at, x = model.features(text)
+        scores = [sum(weight(c, k) * v for k, v in zip(at.tolist(), x, strict=True)) for c in range(3)]
+        odds = [math.exp(s - max(scores)) for s in scores]
+        for c in range(3):
+            for k, v in zip(at.tolist(), x, strict=True):
+                w, g = weight(c, k), (odds[c] / sum(odds) - (c == label)) * v
+                sigma = (math.sqrt(n[c, k] + g * g) - math.sqrt(n[c, k])) / alpha
+                z[c, k] += g - sigma * w
+                n[c, k] += g * g
+    assert all(math.isclose(found[c, k], weight(c, k), abs_tol=1e-9) for c, k in z)
+    assert len(z) > 30
+
+
+def test_temperature_is_the_least_loss():
+    rng = np.random.default_rng(9)
+    for scale in (0.01, 1.0, 300.0):
+        y = rng.integers(0, 4, 200)
+        z = rng.normal(0, scale, (200, 4))
+        z[np.arange(200), y] += scale
+        t = language_id.temperature(z, y)
+
+        def loss(t):
+            p = np.exp((z - z.max(axis=1, keepdims=True)) / t)
+            p = np.log(p / p.sum(axis=1, keepdims=True))
+            return -((1 - 1 / 201) * p[np.arange(200), y] + p.mean(axis=1) / 201).mean()  # noqa: B023
+
+        assert all(loss(t) <= loss(t * f) for f in (0.5, 0.9, 0.99, 1.01, 1.1, 2))
+    separable = np.eye(3)[[0, 1, 2, 0]] * 5
+    assert 0 < language_id.temperature(separable, np.array([0, 1, 2, 0])) < 5
+    assert np.isfinite(language_id.temperature(np.zeros((3, 2)), np.array([0, 1, 0])))
