@@ -87,12 +87,13 @@ def _tag(name: str, content: Column) -> Column:
     return F.when(content.isNotNull(), F.concat(F.lit(f"<{name}>"), content.cast("string"), F.lit(f"</{name}>"))).otherwise("")
 
 
-def musicxml_rows(events: DataFrame, divisions: int) -> DataFrame:
+def musicxml_rows(events: DataFrame, divisions: int, markers: DataFrame | None = None) -> DataFrame:
     """score_id, part_idx, measure_idx, seq, xml: notes, rests and the forward and backup moves between them.
 
     Each voice is a stream from the measure's start: a gap before an event moves forward, an overlap back, and a
     backup returns to the start before the next voice. Chord notes after the first repeat its onset. divisions: units
-    per quarter; times must be whole units.
+    per quarter; times must be whole units. markers (explode_markers): what relations put on the notes; with them the
+    notation's own fields are written too: dots, stems, noteheads, accidentals and marks.
     """
     units = lambda c: F.col(c)["num"] * (4 * divisions) / F.col(c)["den"]
     rows = events.where(F.col("type").isin("chord", "rest")).withColumn("_d", fractions.frac_parse(F.coalesce("duration", F.lit("0"))))
@@ -106,11 +107,57 @@ def musicxml_rows(events: DataFrame, divisions: int) -> DataFrame:
     alter = lambda p: F.when(p.contains("##"), 2).when(p.contains("#"), 1).when(p.rlike("^.bb"), -2).when(p.rlike("^.b"), -1)
     pitch = lambda p: F.concat(F.lit("<pitch>"), _tag("step", step(p, "^([A-G])", 1)), _tag("alter", alter(p)), _tag("octave", octave(p, r"(-?\d+)$", 1)), F.lit("</pitch>"))
 
+    if markers is not None:
+        held = markers.groupBy("score_id", "part_id", "event_id").agg(F.array_sort(F.collect_list(F.struct("place", "nth", "pitch", "xml"))).alias("_marks"))
+        rows = rows.join(held, ["score_id", "part_id", "event_id"], "left")
+    notation = F.col("notation")
+
+    def marked(place: str, pitch: Column | None, first: Column) -> Column:
+        """The marks of that place: those of one pitch where it is, the others on the event's first note."""
+        if markers is None:
+            return F.lit("")
+        of_note = lambda m: (m["place"] == place) & F.when(m["pitch"].isNull(), first).otherwise((m["pitch"] == pitch) if pitch is not None else F.lit(False))
+        return F.coalesce(F.array_join(F.transform(F.filter("_marks", of_note), lambda m: m["xml"]), ""), F.lit(""))
+
+    def printed(first: Column) -> tuple[Column, Column, Column]:
+        """Dots, stem with notehead, and the groups of marks of an event."""
+        if markers is None:
+            return F.lit(""), F.lit(""), F.lit("")
+        attribute = lambda name, c: F.coalesce(F.concat(F.lit(f' {name}="'), c, F.lit('"')), F.lit(""))
+        mark = lambda m: F.concat(F.lit("<"), m["type"], attribute("type", m["subtype"]), attribute("placement", m["placement"]), F.lit("/>"))
+        groups = F.concat(*(F.when(first & (F.size(notation[g]) > 0), F.concat(F.lit(o), F.array_join(F.transform(notation[g], mark), ""), F.lit(c))).otherwise("") for g, o, c in (("articulations", "<articulations>", "</articulations>"), ("ornaments", "<ornaments>", "</ornaments>"), ("fermatas", "", ""))))
+        return F.repeat(F.lit("<dot/>"), F.coalesce(notation["dots"], F.lit(0))), F.concat(_tag("stem", notation["stem"]), _tag("notehead", notation["notehead"])), groups
+
+    def accidental(n: Column) -> Column:
+        if markers is None:
+            return F.lit("")
+        flag = lambda name: F.coalesce(F.when(n["accidental"][name], f' {name}="yes"').when(~n["accidental"][name], f' {name}="no"'), F.lit(""))
+        found = F.concat(F.lit("<accidental"), *(flag(f) for f in ("cautionary", "editorial", "parentheses", "bracket")), F.lit(">"), F.coalesce(n["accidental"]["type"], F.lit("")), F.lit("</accidental>"))
+        return F.when(n["accidental"].isNotNull(), found).otherwise("")
+
+    def technical(n: Column) -> Column:
+        if markers is None:
+            return F.lit("")
+        placed = lambda m: F.coalesce(F.concat(F.lit(' placement="'), m["placement"], F.lit('"')), F.lit(""))
+        mark = lambda m: F.concat(F.lit("<"), m["type"], placed(m), F.lit(">"), F.coalesce(m["value"], F.lit("")), F.lit("</"), m["type"], F.lit(">"))
+        return F.when(F.size(n["technical"]) > 0, F.concat(F.lit("<technical>"), F.array_join(F.transform(n["technical"], mark), ""), F.lit("</technical>"))).otherwise("")
+
+    wrap = lambda inner: F.when(inner != "", F.concat(F.lit("<notations>"), inner, F.lit("</notations>"))).otherwise("")
+
     def note(n: Column, i: Column) -> Column:
+        first = i == 0
+        dots, look, groups = printed(first)
         head = F.concat(F.lit("<note>"), F.when(F.col("grace"), "<grace/>").otherwise(""), F.when(i > 0, "<chord/>").otherwise(""), pitch(n["pitch"]))
-        return F.concat(head, F.when(F.col("grace"), "").otherwise(_tag("duration", F.col("_len"))), _tag("voice", F.col("voice")), _tag("type", F.col("notation.note_type")), _tag("staff", n["staff"]), F.lit("</note>"))
-
-    rest = F.concat(F.lit("<note><rest/>"), _tag("duration", F.col("_len")), _tag("voice", F.col("voice")), _tag("type", F.col("notation.note_type")), _tag("staff", F.col("staff")), F.lit("</note>"))
+        middle = F.concat(F.when(F.col("grace"), "").otherwise(_tag("duration", F.col("_len"))), _tag("voice", F.col("voice")), _tag("type", notation["note_type"]), dots, accidental(n))
+        tail = F.concat(marked("modification", n["pitch"], first), look, _tag("staff", n["staff"]), marked("beam", n["pitch"], first), wrap(F.concat(marked("notations", n["pitch"], first), technical(n), groups)))
+        return F.concat(head, middle, tail, F.lit("</note>"))
+
+    always = F.lit(True)
+    dots, _, groups = printed(always)
+    rest = F.concat(
+        F.lit("<note><rest/>"), _tag("duration", F.col("_len")), _tag("voice", F.col("voice")), _tag("type", notation["note_type"]), dots, marked("modification", None, always), _tag("staff", F.col("staff")),
+        marked("beam", None, always), wrap(F.concat(marked("notations", None, always), groups)), F.lit("</note>"),
+    )
     body = F.when(F.col("type") == "rest", rest).otherwise(F.array_join(F.transform("notes", note), ""))
     last = F.last("_end").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     end = F.row_number().over(Window.partitionBy(*by).orderBy(*(F.desc(c) for c in order))) == 1
