@@ -11,7 +11,9 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))  # A-Z only
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = np.random.default_rng(20240607).integers(1, (1 << 64) - 1, 256, dtype=np.uint64)
+#: The first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_LONG = 1024  # bytes of a word that is hashed by itself
 _CHUNK = 1 << 19  # bytes that are hashed at once
 
 
@@ -36,22 +38,30 @@ def _factor_table(longest: int) -> np.ndarray:
 def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Of each word (run of other characters than white space, A-Z lower-cased) of a text: its hash and first byte.
 
-    The hash sums, over the bytes, a random number of the byte times one of its place in the word, and mixes the sum.
+    The hash takes eight bytes of the word at a time into what it has and mixes them, so words of one size up to eight
+    bytes never share one. Of longer words than _LONG the products of the eights with a number of their place are summed.
     """
-    data = np.frombuffer(buffer.translate(_FOLD), np.uint8)
+    folded = buffer.translate(_FOLD)
+    data = np.frombuffer(folded, np.uint8)
     solid = ~_WHITE[data]
-    before = np.empty_like(solid)
-    before[:1] = False
-    before[1:] = solid[:-1]
-    starts = np.flatnonzero(solid & ~before)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts
-    at = np.flatnonzero(solid)
-    first = np.searchsorted(at, starts)
-    sizes = np.diff(np.append(first, len(at)))
-    inside = np.arange(len(at)) - np.repeat(first, sizes)
-    terms = _BYTE[data[at]] * _factor_table(int(sizes.max()))[inside]
-    return mix(np.add.reduceat(terms, first) + sizes.astype(np.uint64)), starts
+    if not solid.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    edges = np.concatenate((np.zeros(int(solid[0]), np.int64), edges, np.full(int(solid[-1]), len(data))))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray((len(data) + 1,), "<u8", folded + bytes(8), 0, (1,))  # the eight bytes from each place on
+    found = mix(sizes.astype(np.uint64) * _STEP)
+    found = mix(found + (eights[starts] & _FIRST[np.minimum(sizes, 8)]))
+    at, live = 8, np.flatnonzero((sizes > 8) & (sizes <= _LONG))
+    while len(live):
+        found[live] = mix(found[live] * _STEP + (eights[starts[live] + at] & _FIRST[np.minimum(sizes[live] - at, 8)]))
+        at += 8
+        live = live[sizes[live] > at]
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        places = np.arange(0, int(sizes[i]), 8)
+        values = eights[starts[i] + places] & _FIRST[np.minimum(sizes[i] - places, 8)]
+        found[i] = mix(found[i : i + 1] + (values * _factor_table(len(values))[: len(values)]).sum(dtype=np.uint64))[0]
+    return found, starts
 
 
 def digests(hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
