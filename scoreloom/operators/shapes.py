@@ -436,3 +436,71 @@ def bounds(contours: Column) -> Column:
     flat = F.flatten(F.transform(contours, lambda c: c["points"]))
     of = lambda f, axis: f(F.transform(flat, lambda p: p[axis]))
     return F.struct(of(F.array_min, "x").alias("min_x"), of(F.array_min, "y").alias("min_y"), of(F.array_max, "x").alias("max_x"), of(F.array_max, "y").alias("max_y"))
+
+
+def _inside(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> bool:
+    """Whether any point (x, y) is in the polygon (px, py) or on its edge."""
+    if len(px) < 3:
+        return False
+    ax, ay, bx, by = px, py, np.roll(px, 1), np.roll(py, 1)
+    x, y, eps = x[:, None], y[:, None], 1e-9
+    on = np.abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) <= eps
+    on &= (x + eps >= np.minimum(ax, bx)) & (x - eps <= np.maximum(ax, bx)) & (y + eps >= np.minimum(ay, by)) & (y - eps <= np.maximum(ay, by))
+    crosses = (ay > y) != (by > y)
+    at = np.divide((bx - ax) * (y - ay), by - ay, out=np.zeros_like(on, float), where=crosses) + ax
+    return bool((on.any(axis=1) | ((crosses & (x < at)).sum(axis=1) % 2 == 1)).any())
+
+
+def _components(contours: list[dict]) -> list[list[int]]:
+    """Contours that belong together, by the first of each: closed ones of which one holds a point of the other."""
+    points = [(np.array([p["x"] for p in c["points"]]), np.array([p["y"] for p in c["points"]])) for c in contours]
+    box = np.array([(x.min(), y.min(), x.max(), y.max()) for x, y in points])
+    closed = np.array([bool(c["is_closed"]) for c in contours])
+    root = list(range(len(contours)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in np.flatnonzero(closed).tolist():
+        after = box[i + 1 :]
+        near = closed[i + 1 :] & (box[i, 2] + 1e-9 >= after[:, 0]) & (after[:, 2] + 1e-9 >= box[i, 0]) & (box[i, 3] + 1e-9 >= after[:, 1]) & (after[:, 3] + 1e-9 >= box[i, 1])
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if find(i) != find(j) and (_inside(*points[j], *points[i]) or _inside(*points[i], *points[j])):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    groups: dict[int, list[int]] = {}
+    for i in range(len(contours)):
+        groups.setdefault(find(i), []).append(i)
+    return [groups[k] for k in sorted(groups)]
+
+
+def split_compounds(shapes: DataFrame, shape_id: str = "shape_id") -> DataFrame:
+    """shapes (shape_id, contours and other columns) with each shape of separate contours as several, named id.1, id.2, …
+    in the order of their first contours. Closed contours that hold each other, or through others, stay together; open
+    ones stand alone. Contours of fewer than two points go where a shape is split; other shapes stay as they are. is_closed,
+    if there, is that of a single contour."""
+    names = shapes.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, ids, kept, parts = [], [], [], []
+            for i, (name, contours) in enumerate(zip(batch.column(shape_id).to_pylist(), batch.column("contours").to_pylist(), strict=True)):
+                real = [c for c in contours or [] if len(c["points"] or []) >= 2]
+                groups = _components(real) if len(real) > 1 else [[]]
+                whole = len(groups) == 1
+                for k, group in enumerate(groups):
+                    take.append(i)
+                    ids.append(name if whole else f"{name}.{k + 1}")
+                    kept.append(contours if whole else [real[j] for j in group])
+                    parts.append(None if whole else len(group) == 1 and bool(real[group[0]]["is_closed"]))
+            out = batch.take(pa.array(take, pa.int64()))
+            columns = {c: out.column(c) for c in names} | {shape_id: pa.array(ids, pa.string()), "contours": pa.array(kept, batch.schema.field("contours").type)}
+            if "is_closed" in names:
+                columns["is_closed"] = pa.array([old if new is None else new for new, old in zip(parts, out.column("is_closed").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    found = shapes.mapInArrow(run, shapes.schema)
+    return found.withColumn("bounds", bounds(F.col("contours"))) if "bounds" in names else found

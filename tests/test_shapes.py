@@ -319,3 +319,41 @@ def test_query_on_embeddings_against_plain_python(spark):
     found = {r["vec_id"]: r["kind"] for r in shape_queries.q_primitives(spark, sf).collect()}
     kinds = {k: plain_kind(c, 0.5) for k, c in made.items()}
     assert found == kinds and set(kinds.values()) == {"stroke", "curve", "ellipse", "residual"}
+
+
+def box(x, y, size, closed=True):
+    return [(x, y), (x + size, y), (x + size, y + size), (x, y + size)], closed
+
+
+def test_compounds_split_but_for_holes(spark):
+    hub = [box(0, 0, 100), box(10, 10, 10), box(50, 50, 10), box(52, 52, 2)]
+    shapes = [
+        hub, [box(0, 0, 5), box(20, 0, 5), box(21, 1, 2)], [box(0, 0, 9, False), box(1, 1, 2)], [box(0, 0, 9)], [], [([(0, 0)], True), box(1, 1, 2)],
+        [box(0, 0, 5), ([(1, 1)], True), box(50, 0, 5)], [box(0, 0, 10), box(10, 0, 10)], [([(0, 0), (9, 9)], False), ([(9, 0), (0, 9)], False)],
+    ]
+    split = sh.split_compounds(rows(spark, shapes).withColumn("is_closed", __import__("pyspark").sql.functions.lit(False)))
+    found = {r["shape_id"]: (len(r["contours"]), r["is_closed"]) for r in split.collect()}
+    assert found == {
+        "0": (4, False), "1.1": (1, True), "1.2": (2, False), "2.1": (1, False), "2.2": (1, True), "3": (1, False), "4": (0, False), "5": (2, False), "6.1": (1, True), "6.2": (1, True),
+        "7": (2, False), "8.1": (1, False), "8.2": (1, False),
+    }
+
+
+def test_points_in_polygons_against_plain_python():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        n = int(rng.integers(3, 9))
+        px, py = rng.integers(0, 8, (2, n)).astype(float)
+        x, y = rng.integers(0, 8, 2).astype(float)
+
+        def plain():
+            inside = False
+            for i in range(n):
+                ax, ay, bx, by = px[i], py[i], px[i - 1], py[i - 1]
+                if abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) < 1e-9 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+                    return True
+                if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                    inside = not inside
+            return inside
+
+        assert sh._inside(np.array([x]), np.array([y]), px, py) == plain()
