@@ -385,9 +385,16 @@ def q_lanes(spark, sf_dir):
     return grouped.capacity_lanes(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "qty", 100)
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -1 - l_partkey AS b FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c(node, component) USING KEY (node) AS (
+  SELECT a, min(least(a, b)) FROM u GROUP BY a
+  UNION
+  SELECT u.b, min(c.component) FROM c JOIN u ON u.a = c.node JOIN recurring.c AS r ON r.node = u.b WHERE c.component < r.component GROUP BY u.b)
+SELECT node, component FROM c""")
 def q_components(spark, sf_dir):
-    """Orders and parts linked by all lines; recursive SQL is too slow here, the tests hold it against brute force."""
+    """Orders and parts linked by all lines."""
     lines = _t(spark, sf_dir, "lineitem")
     return components(lines.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_partkey")).alias("b")))
 
