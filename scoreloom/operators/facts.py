@@ -255,10 +255,21 @@ def header_roles(texts: DataFrame) -> DataFrame:
     return texts.withColumn("role", F.when(rank == 1, "title").when(rank == n, "composer").otherwise("subtitle"))
 
 
-def clef_changes(clefs: DataFrame) -> DataFrame:
-    """Of clefs (score_id, staff, measure_no, sign, line, octave_change) those that differ from the one in force."""
-    over = Window.partitionBy("score_id", "staff").orderBy("measure_no")
-    what = F.struct("sign", "line", "octave_change")
+def clef_changes(clefs: DataFrame, measures: DataFrame | None = None) -> DataFrame:
+    """Of clefs (score_id, staff, measure_no, sign, line, octave_change) those that differ from the one in force.
+
+    measures (score_id, measure_no, break_before, x_start, x_end): clefs count at measure 1 and after breaks only, in the
+    first 0.35 of the measure, and of a staff's the leftmost (x), then the surest (confidence). Without measures all count;
+    of several in one measure the order is that of sign, line and octave.
+    """
+    names, what = clefs.columns, F.struct("sign", "line", "octave_change")
+    if measures is not None:
+        begins = measures.where((F.col("measure_no") == 1) | F.col("break_before").isNotNull())
+        limit = F.col("_a") + 0.35 * (F.col("_b") - F.col("_a"))
+        held = clefs.join(begins.select("score_id", "measure_no", F.col("x_start").alias("_a"), F.col("x_end").alias("_b")), ["score_id", "measure_no"]).where(F.col("x") <= limit)
+        first = Window.partitionBy("score_id", "staff", "measure_no").orderBy("x", F.desc("confidence"), what)
+        clefs = held.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*names)
+    over = Window.partitionBy("score_id", "staff").orderBy("measure_no", what)
     return clefs.withColumn("_before", F.lag(what).over(over)).where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(what)).drop("_before")
 
 

@@ -7,6 +7,7 @@ on one task beyond a partition of `by`; with scores that is a part, a voice or a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,3 +144,51 @@ def largest_gap_split(df: DataFrame, by: Cols, col: str, min_ratio: float, max_s
         *by, F.col("b._before").alias("small_max"), F.col("b._v").alias("large_min"), F.col("b._below").alias("n_small"),
         F.col("b._all").alias("n"), F.sqrt(F.col("b._before") * F.col("b._v")).alias("threshold"),
     )
+
+
+@dataclass(frozen=True)
+class SplitRules:
+    """What makes a break between small and large sizes: the least ratio at the break, the most share of small ones, the
+    most ratio of the medians, the ranges of both medians, the most ratio inside the small ones and how much its logarithm
+    counts, and how many large ones there must be."""
+
+    gap: float
+    share: float
+    medians: float
+    small: tuple[float, float] = (0.0, float("inf"))
+    large: tuple[float, float] = (0.0, float("inf"))
+    spread: float = float("inf")
+    spread_weight: float = 0.0
+    least_large: int = 1
+
+
+#: Fixed values, sizes in staff spacings: dots against noteheads, and grace notes against others.
+DOT_RULES = SplitRules(1.35, 0.45, 0.68, large=(0.55, 1.60))
+GRACE_RULES = SplitRules(1.25, 0.25, 0.82, (0.60, 0.95), (0.90, 1.60), 1.18, 0.25, 2)
+
+
+def size_split(df: DataFrame, by: Cols, item: str, size: str, rules: SplitRules) -> DataFrame:
+    """by, threshold, n_small, n_large, small_median, large_median of partitions of three rows or more with a break by the
+    rules: the one with the highest logarithm of its ratio, less the weighted one of the spread; then the smaller one.
+    threshold is the geometric mean of its edges. Sizes up to 0 and nulls don't take part; others have no row.
+
+    Only places with a ratio high enough look up the medians on both sides, by the numbers of their rows.
+    """
+    order, every = Window.partitionBy(*by).orderBy(size, item), Window.partitionBy(*by)
+    rows = df.where(F.col(size) > 0).select(*by, F.col(item).alias("_item"), F.col(size).cast("double").alias("_v"), F.row_number().over(order).alias("_r"), F.count("*").over(every).alias("_n"), F.min(F.col(size).cast("double")).over(every).alias("_least"))
+    sorted_ = Window.partitionBy(*by).orderBy("_r")
+    cuts = rows.withColumns({"_low": F.lag("_v").over(sorted_), "_k": (F.col("_r") - 1).cast("long")})
+    spread = F.col("_low") / F.greatest(F.col("_least"), F.lit(0.001))
+    gap = F.col("_v") / F.greatest(F.col("_low"), F.lit(0.001))
+    cuts = cuts.where((F.col("_n") >= 3) & (F.col("_k") >= 1) & (gap >= rules.gap) & (F.col("_k") / F.col("_n") <= rules.share) & (F.col("_n") - F.col("_k") >= rules.least_large) & (spread <= rules.spread))
+    half = lambda base, n: F.array(base + F.floor((n + 1) / 2), base + F.floor((n + 2) / 2))
+    k, rest = F.col("_k"), F.col("_n") - F.col("_k")
+    score = F.log(gap) - rules.spread_weight * F.log(F.greatest(spread, F.lit(1.0)))
+    cuts = cuts.select(*by, "_k", "_n", F.sqrt(F.col("_low") * F.col("_v")).alias("threshold"), score.alias("_score"), F.explode(F.array(F.struct(F.lit(0).alias("side"), half(F.lit(0), k).alias("at")), F.struct(F.lit(1).alias("side"), half(k, rest).alias("at")))).alias("m"))
+    cuts = cuts.select(*by, "_k", "_n", "threshold", "_score", "m.side", F.explode("m.at").alias("_r")).withColumn("_r", F.col("_r").cast("int")).join(rows.select(*by, "_r", "_v"), [*by, "_r"])
+    median = lambda side: F.avg(F.when(F.col("side") == side, F.col("_v")))
+    found = cuts.groupBy(*by, "_k", "_n", "threshold", "_score").agg(median(0).alias("small_median"), median(1).alias("large_median"))
+    small, large = F.col("small_median"), F.col("large_median")
+    found = found.where(small.between(*rules.small) & large.between(*rules.large) & (small <= large * rules.medians))
+    best = found.groupBy(*by).agg(F.min(F.struct((-F.col("_score")).alias("s"), "_k", "_n", "threshold", "small_median", "large_median")).alias("b"))
+    return best.select(*by, "b.threshold", F.col("b._k").alias("n_small"), (F.col("b._n") - F.col("b._k")).alias("n_large"), "b.small_median", "b.large_median")
