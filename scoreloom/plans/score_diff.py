@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import midi, norm_text
-from ..operators import matching, ranking, sequences
+from ..operators import matching, sequences
 from ..operators.components import materialize
 
 Tables = dict[str, DataFrame]
