@@ -5,9 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import materialize
+
+#: So many items of a division have a bit each in one long.
+BITS = 62
+
 
 def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
@@ -39,7 +44,12 @@ def nearest_within(points: DataFrame, anchors: DataFrame, by: Sequence[str], poi
 
 
 def divide(rows: DataFrame, keys: Sequence[str], item: str, required: DataFrame) -> DataFrame:
-    """Keys that have every item of `required` (item): relational division by counting distinct required items."""
-    wanted = required.select(item).where(F.col(item).isNotNull()).distinct()
+    """Keys that have every item of `required` (item): relational division. Up to BITS items are one long a key, in which each
+    sets its bit, so that a task holds a number for each of its keys; more are counted as distinct ones."""
+    wanted = materialize(required.select(item).where(F.col(item).isNotNull()).distinct(), "required")
     n = wanted.count()
+    if n <= BITS:
+        bits = wanted.select(item, F.call_function("shiftleft", F.lit(1).cast("long"), F.row_number().over(Window.orderBy(item)) - 1).alias("_bit"))
+        held = rows.join(F.broadcast(bits), item).groupBy(*keys).agg(F.bit_or("_bit").alias("_held"))
+        return held.where(F.col("_held") == (1 << n) - 1).select(*keys)
     return rows.join(wanted, item, "left_semi").groupBy(*keys).agg(F.count_distinct(item).alias("_n")).where(F.col("_n") == n).select(*keys)
