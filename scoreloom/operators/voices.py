@@ -12,6 +12,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import materialize
 from .groupwise import Columns, each_group
 
 _STAFF = ["score_id", "measure_no", "staff"]
@@ -131,7 +132,7 @@ def assign_voices(events: DataFrame, staves: DataFrame) -> DataFrame:
     without one follow an aligned note, then a rest; rests pair, stand beside a note, or go by the staff's centre. Rules
     see what earlier ones, and earlier events by x, y and id, have got. An event has its own id in its measure and kind.
     """
-    double = polyphonic_staves(events, staves)
+    double = materialize(polyphonic_staves(events, staves), "polyphonic")
     rows = events.join(staves.select(*_STAFF, "spacing", "centre_y"), _STAFF).withColumn("y", _middle())
     schema = f"score_id {dict(events.dtypes)['score_id']}, measure_no {dict(events.dtypes)['measure_no']}, staff {dict(events.dtypes)['staff']}, kind string, id {dict(events.dtypes)['id']}, voice int, polyphonic boolean, confidence double, reason string"
     single = rows.join(double, _STAFF, "left_anti").select(

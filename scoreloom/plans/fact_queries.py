@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import materialize
 from ..operators.ledgers import ledger_ladder, ledger_segments
 from ..operators.voices import assign_voices, move_interstaff_rests, polyphonic_staves
 
@@ -35,7 +36,7 @@ def q_polyphony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = line_events(spark, sf_dir)
+    events = materialize(line_events(spark, sf_dir), "line_events")
     return assign_voices(events, line_staves(events)).select("score_id", "measure_no", "staff", "kind", "id", "voice", "polyphonic", F.round("confidence", 6).alias("confidence"), "reason")
 
 
@@ -57,6 +58,7 @@ def q_interstaff_rests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """staffs, lines, strokes, ellipses, measures: every order is a page of two staffs, its lines are strokes and heads."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").distinct()
+    rows = materialize(rows, "lines")  # five tables are made of them
     rows = rows.withColumns({"score_id": F.col("l_orderkey"), "id": F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))})
     whole = lambda c: F.col(c).cast("double")
     staffs = rows.select("score_id").distinct().withColumn("staff_id", F.explode(F.array(F.lit(1), F.lit(2))))
