@@ -2,7 +2,7 @@
 
 A ledger counts only as part of a chain: those of the first step beside the staff, then those of each further step that
 overlap one of the step before. Steps are at most twelve, so the chain is as many semi joins of one small table with
-itself. Which staff a head belongs to is a relational division: all steps up to its own must cross it.
+itself, each step written once and none after the first without a ledger. Which staff a head belongs to is a relational division: all steps up to its own must cross it.
 """
 
 from __future__ import annotations
@@ -47,7 +47,10 @@ def ledger_segments(staffs: DataFrame, lines: DataFrame, strokes: DataFrame) ->
     for step in range(2, STEPS + 1):
         below = chain[-1].select(*(F.col(c).alias(f"_{c}") for c in _SIDE), F.col("x_start").alias("_a"), F.col("x_end").alias("_b"))
         same = reduce(lambda x, y: x & y, (F.col(c) == F.col(f"_{c}") for c in _SIDE))
-        chain.append(rows.where(F.col("step") == step).join(below, same & touches, "left_semi"))
+        found = materialize(rows.where(F.col("step") == step).join(below, same & touches, "left_semi"), "chain")
+        if found.isEmpty():  # nothing further can hang on it
+            break
+        chain.append(found)
     return reduce(DataFrame.unionByName, chain).select(*_SIDE, "step", "stroke_id", "y", "x_start", "x_end")
 
 
