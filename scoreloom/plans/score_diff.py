@@ -264,7 +264,7 @@ def paired_notes(expected: Column, actual: Column) -> Column:
 def note_issues(pairs: DataFrame) -> DataFrame:
     """Notes of matched chords, chord by chord, and in what paired notes differ."""
     rows = pairs.where("type = 'chord'").select(*_PLACE, "at", "event_staff", F.explode(paired_notes(F.col("expected.notes"), F.col("actual.notes"))).alias("n"))
-    rows = rows.withColumn("event_staff", F.coalesce("n.e.staff", "n.a.staff", "event_staff"))
+    rows = materialize(rows.withColumn("event_staff", F.coalesce("n.e.staff", "n.a.staff", "event_staff")), "paired_notes")
     e, a = F.col("n.e"), F.col("n.a")
     lone = _issue(rows.where("n.e IS NULL OR n.a IS NULL"), F.when(F.col("n.a").isNull(), "note.missing").otherwise("note.extra"), "Pitch", e["pitch"], a["pitch"])
     spec = [("note.pitch", "Pitch", e["pitch"], a["pitch"], False), ("note.staff", "Pitch", e["staff"], a["staff"], False), ("note.accidental", "Notation", e["accidental"], a["accidental"], False)]
@@ -387,8 +387,9 @@ def diff(expected: Tables, actual: Tables, cases: DataFrame) -> DataFrame:
     compared = e["measures"].select("case_id", "part_idx").distinct()
     of_pairs = lambda t: t["events"].join(compared, ["case_id", "part_idx"], "left_semi")
     matches = materialize(match_events(of_pairs(e), of_pairs(a)), "matches")
+    found = materialize(found, "issues")  # each kind in a job of its own: one plan of all is too large for the driver
     for more in (measure_issues(e["measures"], a["measures"]), event_issues(e["events"], a["events"], matches), relation_issues(e, a)):
-        found = found.unionByName(more, allowMissingColumns=True)
+        found = found.unionByName(materialize(more, "issues"), allowMissingColumns=True)
     return order_issues(with_severity(found))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fractions, text
 from ..operators import notation
+from ..operators.components import materialize
 from ..sources import musicxml
 from . import score_diff, score_jobs
 
@@ -97,7 +98,7 @@ def s_musicxml_roundtrip(spark, sf_dir):
 @query()
 def s_score_diff(spark, sf_dir):
     """Scores compared with copies in which pitches and lines are changed."""
-    expected, actual = _tables(derived_events(spark, sf_dir)), _tables(derived_events(spark, sf_dir, shift=1))
+    expected, actual = (_tables(materialize(derived_events(spark, sf_dir, shift), "derived")) for shift in (0, 1))
     cases = expected["scores"].select(F.col("score_id").alias("case_id"), F.col("score_id").alias("expected_id"), F.col("score_id").alias("actual_id"))
     return score_diff.diff(expected, actual, cases)
 
