@@ -84,7 +84,7 @@ def read_canonical(docs: DataFrame, schema: str) -> Tables:
 
 
 def _tag(name: str, content: Column) -> Column:
-    return F.when(content.isNotNull(), F.concat(F.lit(f"<{name}>"), content.cast("string"), F.lit(f"</{name}>"))).otherwise("")
+    return F.coalesce(F.concat(F.lit(f"<{name}>"), content.cast("string"), F.lit(f"</{name}>")), F.lit(""))
 
 
 def musicxml_rows(events: DataFrame, divisions: int, markers: DataFrame | None = None) -> DataFrame:
@@ -104,7 +104,7 @@ def musicxml_rows(events: DataFrame, divisions: int, markers: DataFrame | None =
     rows = rows.withColumn("_move", F.col("_at") - F.col("_cursor"))
     move = F.when(F.col("_move") > 0, F.concat(F.lit("<forward>"), _tag("duration", F.col("_move")), F.lit("</forward>"))).when(F.col("_move") < 0, F.concat(F.lit("<backup>"), _tag("duration", -F.col("_move")), F.lit("</backup>"))).otherwise("")
     step, octave = F.regexp_extract, F.regexp_extract
-    alter = lambda p: F.when(p.contains("##"), 2).when(p.contains("#"), 1).when(p.rlike("^.bb"), -2).when(p.rlike("^.b"), -1)
+    alter = lambda p: F.when(p.contains("##"), 2).when(p.contains("#"), 1).when(F.substring(p, 2, 2) == "bb", -2).when(F.substring(p, 2, 1) == "b", -1)
     pitch = lambda p: F.concat(F.lit("<pitch>"), _tag("step", step(p, "^([A-G])", 1)), _tag("alter", alter(p)), _tag("octave", octave(p, r"(-?\d+)$", 1)), F.lit("</pitch>"))
 
     if markers is not None:

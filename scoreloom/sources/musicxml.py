@@ -154,17 +154,21 @@ def _marks(xml: Column, group: str) -> Column:
 def note_rows(timed: DataFrame) -> DataFrame:
     """One row per note child: its event, pitch, accidental, technical marks and notation fields."""
     xml, notes = F.col("xml"), timed.where("tag = 'note'")
-    pitch, accidental = F.get(elements(xml, "pitch"), F.lit(0)), F.get(elements(xml, "accidental"), F.lit(0))
+    # Elements and their fields are columns of their own, so that each is found once, and only where its name stands.
+    found = lambda name: F.when(xml.contains(f"<{name}"), F.get(elements(xml, name), F.lit(0)))
+    notes = notes.withColumns({"_pitch": found("pitch"), "_accidental": found("accidental")})
+    pitch, accidental = F.col("_pitch"), F.col("_accidental")
+    notes = notes.withColumns({"_step": F.coalesce(value(pitch, "step"), F.lit("C")), "_alter": _int(value(pitch, "alter"), 0), "_octave": _int(value(pitch, "octave"), 0)})
     fermata = F.transform(elements(xml, "fermata"), lambda m: F.struct(F.lit("fermata").alias("type"), attribute(m, "type").alias("subtype"), attribute(m, "placement").alias("placement")))
     inner = F.regexp_extract(xml, r"(?s)<technical(?:\s[^>]*)?>(.*?)</technical\s*>", 1)
     text = lambda m: F.trim(F.regexp_replace(m, r"<[^>]*>", ""))
-    technical = F.transform(elements(inner, "[a-z-]+"), lambda m: F.struct(F.regexp_extract(m, r"^<([a-z-]+)", 1).alias("type"), F.when(text(m) != "", _decoded(text(m))).alias("value"), attribute(m, "placement").alias("placement")))
+    technical = F.transform(F.when(xml.contains("<technical"), elements(inner, "[a-z-]+")).otherwise(F.array().cast("array<string>")), lambda m: F.struct(F.regexp_extract(m, r"^<([a-z-]+)", 1).alias("type"), F.when(text(m) != "", _decoded(text(m))).alias("value"), attribute(m, "placement").alias("placement")))
     return notes.select(
         *_MEASURE, "pos", "event_no", "starts", "is_rest",
         F.concat("part_id", F.lit(".m"), "measure_no", F.lit(".e"), "event_no").alias("event_id"),
         has(xml, "grace").alias("grace"), _int(value(xml, "staff"), 1).alias("staff"), _int(value(xml, "voice"), 1).alias("voice"),
         _time(F.col("cursor"), F.col("divisions")).alias("at"), _time(F.col("units"), F.col("divisions")).alias("duration"),
-        F.when(pitch.isNotNull(), pitch_text(F.coalesce(value(pitch, "step"), F.lit("C")), _int(value(pitch, "alter"), 0), _int(value(pitch, "octave"), 0))).alias("pitch"),
+        F.when(pitch.isNotNull(), pitch_text(F.col("_step"), F.col("_alter"), F.col("_octave"))).alias("pitch"),
         F.when(accidental.isNotNull(), F.struct(value(accidental, "accidental").alias("type"), *(_yes_no(attribute(accidental, a)).alias(a) for a in ("cautionary", "editorial", "parentheses", "bracket")))).alias("accidental"),
         technical.alias("technical"), value(xml, "type").alias("note_type"), F.nullif(F.size(elements(xml, "dot")), F.lit(0)).alias("dots"),
         value(xml, "stem").alias("stem"), value(xml, "notehead").alias("notehead"),
