@@ -19,4 +19,4 @@ def test_elements_of_a_note_are_found_once_each(spark):
     assert [r.accidental and (r.accidental.type, r.accidental.cautionary, r.accidental.bracket) for r in rows] == [("sharp", True, None), None, None]
     assert [[(t.type, t.value, t.placement) for t in r.technical] for r in rows] == [[("fingering", "3", "above")], [], []]
     plan = fields.select(F.struct("pitch", "accidental").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("<(pitch)") == 1 and plan.count("<(accidental)") == 1  # seven and thirteen times, each for every note
+    assert plan.count("<(pitch)") == 1 and plan.count("<(accidental)") == 1  # <pitch> was there 19 times
