@@ -353,9 +353,7 @@ def q_metronome(spark, sf_dir):
 @query()
 def q_leader(spark, sf_dir):
     """Leader clusters of the embeddings of each label, as one scan of each label would find them."""
-    rows = _t(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    cells = [(F.element_at("embedding", i), 1.2) for i in (1, 2)]
-    found = leaders.leader_scan(rows, ["label"], "vec_id", "embedding", cells, leaders.euclidean, 1.2)
+    found = leaders.vector_leaders(_t(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding", 1.2)
     return found.withColumn("distance", F.round("distance", 6))
 
 
