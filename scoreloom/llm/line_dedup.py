@@ -14,11 +14,12 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +28,19 @@ from .components import components
 from .hashing import digests, folded_words, pieces, texts_in_chunks, word_hashes
 from .jaccard_join import tiles
 from .membership import Membership, membership, numbers
-from .screening import close_pairs, packed, signatures, spanning, unpacked, whole_groups
+from .screening import close_pairs, packed, runs, signatures, spanning, spread_out, unpacked, values, whole_groups
 
 PER_CENT = 80
 SKETCH, _PIECES = 1 << 20, 64
 #: Rows of a word that are compared in one task.
 BLOCK = 1 << 17
 _LINES = 1 << 22
+#: Lines of tiles that are compared together.
+_TOGETHER = 1 << 11
 _SEEN = 1 << 19
-_SIGNED = "key long, salt int, node long, place long, signature binary"
+#: Rows of prefix words that a task packs together and that are unpacked together; the fewest ranges of words, and words of a range.
+_HELD, _UNPACKED, RANGES, RANGE_WORDS = 1 << 17, 1 << 15, 1 << 10, 1 << 20
+_RUNS = "range int, dealt boolean, key binary, node binary, place binary, signature binary"
 
 
 def _line_words(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,16 +135,31 @@ def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*(pa.nulls(_PIECES, k) for k in kinds[:5]), pa.array(range(_PIECES), pa.int32()), pa.array(packs, pa.binary())], names)
 
 
-def _prefixes(levels, spread, per_cent: int):
+def _prefixes(levels, spread, per_cent: int, ranges: int):
     """Of texts: a row for each prefix word of each distinct line: the word, the node, its size and the word's place in
-    it, and the signature. Words that occur once are left out: no other line has them. The rows of a word that may have
-    more than BLOCK are dealt out by a salt from 1."""
+    it, and the signature. Words that occur once are left out: no other line has them. Rows travel packed, those of a range
+    of words together; those of a word that may have more than BLOCK are dealt out among the ranges by their nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.arange(_SEEN) ^ 1  # late nodes, each at its own place; what is overwritten is emitted again, nothing is lost
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
+        names = ["range", "dealt", "key", "node", "place", "signature"]
+
+        def pack() -> Iterator[pa.RecordBatch]:
+            key, node, place = (np.concatenate([x[i] for x in held]) for i in range(3))
+            bits = pa.concat_arrays([x[3] for x in held])
+            held.clear()
+            dealt = spread.value[key & (SKETCH - 1)] > 1
+            for which in (False, True):
+                at = np.flatnonzero(dealt == which)
+                if len(at):
+                    part = (node if which else key)[at] & (ranges - 1)
+                    own, *columns = runs(part, [key[at], node[at], place[at], bits.take(pa.array(at)) if dealt.any() else bits])
+                    yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(own), which)), *columns], names)
+
         for batch in pieces(batches):
-            for _, held in texts_in_chunks(batch.column(0).to_pylist()):
-                h, level, first, _, _, _ = line_sets(held, levels.value)
+            for _, texts in texts_in_chunks(batch.column(0).to_pylist()):
+                h, level, first, _, _, _ = line_sets(texts, levels.value)
                 if not len(first):
                     continue
                 sizes = np.diff(np.append(first, len(h)))
@@ -156,62 +176,99 @@ def _prefixes(levels, spread, per_cent: int):
                 at = np.flatnonzero((inside < prefix[line]) & (level > 0) & fresh[line])
                 line = line[at]
                 place = (sizes[line] << 24) + np.minimum(inside[at], (1 << 24) - 1)
-                dealt = spread.value[(h[at] % np.uint64(SKETCH)).astype(np.int64)].astype(np.int64)
-                salt = np.where(dealt > 1, 1 + (nodes[line] & ((1 << 62) - 1)) % dealt, 0).astype(np.int32)
-                bits = packed(signature, signature_words(sizes), line)
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(salt), pa.array(nodes[line]), pa.array(place), bits], ["key", "salt", "node", "place", "signature"])
+                held.append((h[at].view(np.int64), nodes[line], place, packed(signature, signature_words(sizes), line)))
+                if sum(len(x[0]) for x in held) >= _HELD:
+                    yield from pack()
+        if held:
+            yield from pack()
 
     return run
 
 
-def _meet(per_cent: int):
-    """Of rows sorted by word, salt and size: edges (a, b) that connect the nodes whose pairs pass the filters. Rows
-    with a salt are passed on as they are."""
-    names = ["a", "b", "key", "node", "place", "signature"]
+_MET = ["a", "b", "key", "node", "place", "signature"]
 
-    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-        key, _, node, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        return [key, node, place, unpacked(batch.column(4))[0]]
 
-    def edges_of(key: np.ndarray, node: np.ndarray, place: np.ndarray, signature: np.ndarray) -> Iterator[pa.RecordBatch]:
-        size, inside = place >> 24, place & ((1 << 24) - 1)
+def _edges_of(per_cent: int, key: np.ndarray, node: np.ndarray, place: np.ndarray, signature: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by word and size: edges (a, b) that connect the nodes whose pairs pass the filters."""
+    size, inside = place >> 24, place & ((1 << 24) - 1)
 
-        def wanted(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-            ahead = np.minimum(inside[u], inside[v]) + np.minimum(size[u] - inside[u], size[v] - inside[v])
-            # The shorter line's part of the pair's prefixes: as few words as the longer one's size leaves to differ.
-            least = -(-per_cent * (size[u] + size[v]) // (100 + per_cent))
-            return (least <= ahead) & (inside[u] <= size[u] - least) & (inside[v] <= size[v] - least) & (node[u] != node[v])
-
-        for u, v in close_pairs(key, size, signature, signature_words(size), per_cent, wanted):
-            if len(u):
-                a, b = spanning(u, v)
-                found = np.unique(np.stack((node[a], node[b])), axis=1)
-                nulls = [pa.nulls(found.shape[1], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), *nulls], names)
+    def wanted(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        ahead = np.minimum(inside[u], inside[v]) + np.minimum(size[u] - inside[u], size[v] - inside[v])
+        # The shorter line's part of the pair's prefixes: as few words as the longer one's size leaves to differ.
+        least = -(-per_cent * (size[u] + size[v]) // (100 + per_cent))
+        return (least <= ahead) & (inside[u] <= size[u] - least) & (inside[v] <= size[v] - least) & (node[u] != node[v])
+
+    for u, v in close_pairs(key, size, signature, signature_words(size), per_cent, wanted):
+        if len(u):
+            a, b = spanning(u, v)
+            found = np.unique(np.stack((node[a], node[b])), axis=1)
+            nulls = [pa.nulls(found.shape[1], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), *nulls], _MET)
+
+
+def by_word_and_size(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """An order of rows in which those of a word follow each other by size."""
+    leading, size = key.view(np.uint64) >> np.uint64(20), place >> 24
+    order = np.argsort((leading << np.uint64(20)) | np.minimum(size, (1 << 20) - 1).astype(np.uint64))
+    k = key[order]
+    # Words that share these bits, or very long lines, take an exact sort.
+    if (size >= (1 << 20) - 1).any() or ((k[1:] != k[:-1]) & (leading[order[1:]] == leading[order[:-1]])).any():
+        return np.lexsort((place, key))
+    return order
+
+
+def _meet(per_cent: int):
+    """Of packed rows sorted by range: edges (a, b) among the rows of each word. Rows that were dealt out are passed on."""
+
+    def unpack(batch: pa.RecordBatch) -> list[np.ndarray]:
+        key, count = values(batch.column(2))
+        place = values(batch.column(4))[0]
+        signature = spread_out(values(batch.column(5))[0].view(np.uint64), signature_words(place >> 24))
+        return [np.repeat(batch.column(0).to_numpy(), count), key, values(batch.column(3))[0], place, signature]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
 
+        def small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            ends = np.cumsum(values(batch.column(2))[1])
+            at = 0
+            while at < len(batch):
+                stop = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _UNPACKED, "right")), at + 1)
+                yield batch.slice(at, stop - at)
+                at = stop
+
         def light(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in given:
-                dealt = batch.column(1).to_numpy(zero_copy_only=False) > 0
-                if dealt.any():
-                    own = batch.filter(pa.array(dealt))
-                    nulls = [pa.nulls(len(own), pa.int64())] * 2
-                    passed.append(pa.RecordBatch.from_arrays([*nulls, own.column(0), *own.columns[2:]], names))
-                    batch = batch.filter(pa.array(~dealt))
-                if len(batch):
-                    yield batch
-
-        for rows in whole_groups(light(batches), columns):
+                dealt = batch.column(1)
+                for part in small(batch.filter(dealt)) if dealt.true_count else ():
+                    _, key, node, place, signature = unpack(part)
+                    bits = packed(signature, signature_words(place >> 24), np.arange(len(key)))
+                    passed.append(pa.RecordBatch.from_arrays([*[pa.nulls(len(key), pa.int64())] * 2, pa.array(key), pa.array(node), pa.array(place), bits], _MET))
+                yield from small(batch.filter(pc.invert(dealt)) if dealt.true_count else batch)
+
+        for _, *rows in whole_groups(light(batches), unpack):
             yield from passed
             passed.clear()
-            yield from edges_of(*rows)
+            order = by_word_and_size(rows[0], rows[2])
+            yield from _edges_of(per_cent, *(x[order] for x in rows))
         yield from passed
 
     return run
 
 
+def _meet_blocks(per_cent: int):
+    """Of rows (key, node, place, signature) sorted by key and place: edges (a, b) among those of a key."""
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), unpacked(batch.column(3))[0]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, columns):
+            yield from _edges_of(per_cent, *rows)
+
+    return run
+
+
 def _heavy_edges(met: DataFrame, per_cent: int) -> DataFrame:
     """Edges among the rows that _meet passed on: a word's rows are dealt into as many blocks of BLOCK rows as there
     are, and a task has one pair of blocks."""
@@ -221,69 +278,59 @@ def _heavy_edges(met: DataFrame, per_cent: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rows = rows.join(materialize(blocks, "blocks"), "key").withColumn("own", own).withColumn("other", other)
     key = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")
-    rows = rows.select(key, F.lit(0).alias("salt"), "node", "place", "signature")
-    return rows.repartition("key").sortWithinPartitions("key", "place").mapInArrow(_meet(per_cent), met.schema).select("a", "b")
-
-
-def later_matches(
-    sets: list[np.ndarray], order: np.ndarray, sides: np.ndarray, per_cent: int, verify: Callable[[int, int], bool] = lambda i, j: True
-) -> np.ndarray:
-    """Which lines of a tile (sides 0) or two tiles (1 and 2: only across) have a similar line of lower order."""
-    by_size = np.argsort([len(s) for s in sets], kind="stable")
-    sizes = np.array([len(sets[i]) for i in by_size])
-    order, side = order[by_size], sides[by_size]
-    bits = 512
-    maps = np.zeros((len(sets), bits // 64), np.uint64)
-    for row, i in enumerate(by_size):
-        at = sets[i] & np.uint64(bits - 1)
-        np.bitwise_or.at(maps[row], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    gone = np.zeros(len(sets), bool)
-    for i in range(len(sets)):
-        j = np.arange(i + 1, int(np.searchsorted(sizes, sizes[i] * 100 // per_cent, "right")))
-        later = np.where(order[j] > order[i], j, i)
-        j = j[~gone[later] & ((side[j] != side[i]) | (side[i] == 0))]
-        if not len(j):
-            continue
-        differ = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        most = (sizes[j] + sizes[i] - differ) // 2
-        for k in j[(100 + per_cent) * most >= per_cent * (sizes[j] + sizes[i])].tolist():
-            later = k if order[k] > order[i] else i
-            if not gone[later]:
-                both = len(np.intersect1d(sets[by_size[i]], sets[by_size[k]], assume_unique=True))
-                gone[later] = 100 * both >= per_cent * (int(sizes[i]) + int(sizes[k]) - both) and verify(int(by_size[i]), int(by_size[k]))
-    found = np.zeros(len(sets), bool)
-    found[by_size] = gone
-    return found
+    rows = rows.select(key, "node", "place", "signature")
+    return rows.repartition("key").sortWithinPartitions("key", "place").mapInArrow(_meet_blocks(per_cent), met.schema).select("a", "b")
 
 
 def _compare(per_cent: int):
-    """Of rows sorted by task (task, side, node, check, doc_id, line_no, line): the sets with a similar earlier one."""
+    """Of rows sorted by task (task, side, node, check, doc_id, line_no, line): the sets with a similar earlier one of their task,
+    of the other side where there are two (1 and 2). Small tasks are settled together."""
+
+    def settle(rows: pa.RecordBatch) -> pa.RecordBatch:
+        lines = rows.column(6).to_pylist()
+        h, _, first, *_ = line_sets([line.replace("\n", " ").encode("utf-8", "surrogatepass") for line in lines])
+        sets, sizes = np.split(h, first[1:]), np.diff(np.append(first, len(h)))
+        name, side, number = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 5))
+        task = np.cumsum(np.append(True, name[1:] != name[:-1]))
+        doc, known = rows.column(4).fill_null(0).to_numpy(), rows.column(4).is_valid().to_numpy(zero_copy_only=False)
+        order = np.argsort(np.lexsort((number, doc, known)))
+        by = np.lexsort((sizes, task))
+        signature = signatures(h, np.repeat(np.arange(len(sizes)), sizes), len(sizes), 8)[by]
+        gone = np.zeros(len(sizes), bool)
+        own = lru_cache(256)(lambda i: frozenset(folded_words(lines[i])))
 
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
-        encoded = [row[-1].replace("\n", " ").encode("utf-8", "surrogatepass") for row in rows]
-        own = lru_cache(256)(lambda i: frozenset(folded_words(rows[i][-1])))
+        def wanted(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            i, j = by[u], by[v]
+            return ~gone[np.where(order[j] > order[i], j, i)] & ((side[i] != side[j]) | (side[i] == 0))
 
-        def verify(i: int, j: int) -> bool:
+        def similar(i: int, j: int) -> bool:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both < per_cent * (int(sizes[i]) + int(sizes[j]) - both):
+                return False
             both = len(own(i) & own(j))
             return 100 * both >= per_cent * (len(own(i)) + len(own(j)) - both)
 
-        h, _, first, *_ = line_sets(encoded)
-        order = np.empty(len(rows), np.int64)
-        order[sorted(range(len(rows)), key=lambda i: (rows[i][3] is not None, rows[i][3] or 0, rows[i][4]))] = np.arange(len(rows))
-        gone = later_matches(np.split(h, first[1:]), order, np.array([row[0] for row in rows]), per_cent, verify)
-        return pa.RecordBatch.from_arrays([pa.array([row[at] for row, x in zip(rows, gone, strict=True) if x], pa.int64()) for at in (1, 2)], ["node", "check"])
+        for u, v in close_pairs(task[by], sizes[by], signature, np.full(len(by), 8), per_cent, wanted):
+            for i, j in zip(by[u].tolist(), by[v].tolist(), strict=True):
+                later = j if order[j] > order[i] else i
+                if not gone[later]:
+                    gone[later] = similar(i, j)
+        return rows.select(["node", "check"]).filter(pa.array(gone))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, rows = None, []
-        for batch in batches:
-            for name, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if name != task and rows:
-                    yield settle(rows)
-                    rows = []
-                task = name
-                rows.append(tuple(row))
-        if rows:
-            yield settle(rows)
+        held: list[pa.RecordBatch] = []
+        for batch in pieces(batches, _TOGETHER):
+            task = batch.column(0).to_numpy(zero_copy_only=False)
+            # The last task's rows may go on in the next batch.
+            cut = int(np.argmax(task == task[-1])) if len(task) else 0
+            if len(task) and (cut or (held and held[-1].column(0)[-1].as_py() != task[-1])):
+                held.append(batch.slice(0, cut))
+                yield settle(pa.concat_batches(held))
+                held = []
+            if len(task):
+                held.append(batch.slice(cut))
+        if held:
+            yield settle(pa.concat_batches(held))
 
     return run
 
@@ -331,7 +378,8 @@ def removed_lines(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     nodes = lines.groupBy("node", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("n").alias("n"), F.count("*").alias("copies"))
     nodes = materialize(nodes, "nodes")
 
-    prefixes = docs.select("text").mapInArrow(_prefixes(levels, spread, per_cent), _SIGNED).repartition("key", "salt").sortWithinPartitions("key", "salt", "place")
+    ranges = min(max(RANGES, 1 << (int(counts.sum()) // RANGE_WORDS).bit_length()), 1 << 16)
+    prefixes = docs.select("text").mapInArrow(_prefixes(levels, spread, per_cent, ranges), _RUNS).repartition("range").sortWithinPartitions("range")
     met = materialize(prefixes.mapInArrow(_meet(per_cent), "a long, b long, key long, node long, place long, signature binary"), "met")
     edges = met.where("a IS NOT NULL").select("a", "b").union(_heavy_edges(met, per_cent))
     members = nodes.join(components(edges), "node").select("node", "check", "root", "n", "first.doc_id", "first.line_no")

@@ -46,9 +46,36 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
     data = np.frombuffer(column.buffers()[2], np.uint8, int(bounds[-1]) * 8).view(np.uint64)[bounds[0] :]
     count = np.diff(bounds)
-    found = np.zeros((len(column), int(count.max())), np.uint64)
-    found[np.repeat(np.arange(len(column)), count), np.arange(len(data)) - np.repeat(bounds[:-1] - bounds[0], count)] = data
-    return found, count
+    return spread_out(data, count), count
+
+
+def spread_out(data: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(n, words of the longest) of signatures of so many words each that follow each other; zeros where one is shorter."""
+    found = np.zeros((len(count), int(count.max(initial=1))), np.uint64)
+    found[np.repeat(np.arange(len(count)), count), np.arange(len(data)) - np.repeat(np.cumsum(count) - count, count)] = data
+    return found
+
+
+def runs(part: np.ndarray, columns: list[np.ndarray | pa.Array]) -> list[pa.Array]:
+    """Rows of numbers of 64 bits, or of binaries, as one row for each part: the part, and the values of its rows in one binary."""
+    order = np.argsort(part.astype(np.uint16), kind="stable")
+    first = np.flatnonzero(np.diff(part[order], prepend=-1))
+    ends = np.append(first, len(order))
+    found = [pa.array(part[order][first].astype(np.int32))]
+    for c in columns:
+        if isinstance(c, pa.Array):
+            c = c.take(pa.array(order))
+            data, offsets = c.buffers()[2], np.frombuffer(c.buffers()[1], np.int32, len(c) + 1)[ends]
+        else:
+            data, offsets = pa.py_buffer(c[order].tobytes()), (8 * ends).astype(np.int32)
+        found.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), data]))
+    return found
+
+
+def values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of 64 bits in such a column of binaries, one after the other, and how many each row has."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
+    return np.frombuffer(column.buffers()[2], np.int64, int(bounds[-1] - bounds[0]), int(bounds[0]) * 8), np.diff(bounds)
 
 
 def close_pairs(group: np.ndarray, size: np.ndarray, signature: np.ndarray, words: np.ndarray, per_cent: int, wanted: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
