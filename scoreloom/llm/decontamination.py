@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, copy_key, materialize, table
+from .common import bound_batches, broadcast_if_small, copy_key, materialize, table
 
 WINDOW = 13
 #: Words are runs of digits, letters a-z and everything from U+0080, after lower-casing A-Z.
@@ -146,6 +146,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_char
     row, whatever it repeats. block_chars bounds what is collected and broadcast at once, about half a gigabyte of
     states for each Python worker; a larger benchmark is dealt into blocks that take one pass each.
     """
+    bound_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-2 * size // block_chars)) if size > block_chars else 1

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, copy_key, materialize, table
+from .common import bound_batches, broadcast_if_small, copy_key, materialize, table
 from .components import components
 from .hashing import digests, folded_words, mix, pieces, shingle_sets
 from .membership import Membership, membership, numbers
@@ -357,6 +357,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, per_cent: int = 85) -> Data
 
 def _classes(docs: DataFrame, width: int, per_cent: int) -> DataFrame:
     """jaccard_classes with copy, a hash of the row's text."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = materialize(docs.select("doc_id", copy_key().alias("copy"), "text").mapInArrow(_describe(width), _SETS), "sets")
     nodes = base.where("node IS NOT NULL").groupBy("node", "check").agg(

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, table
+from .common import bound_batches, broadcast_if_small, materialize, table
 from .components import components
 from .hashing import digests, folded_words, pieces, texts_in_chunks, word_hashes
 from .jaccard_join import tiles
@@ -371,6 +371,7 @@ def removed_lines(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spark = docs.sparkSession
+    bound_batches(spark)
     scanned, counts = scan_lines(docs)
     lines = scanned.where("node IS NOT NULL")
     levels = spark.sparkContext.broadcast(rarity(counts))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import bound_batches, materialize, table
 
 _WORD = re.compile(r"[^\W\d_]+")
 STEM = 4
@@ -106,6 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, features: int
     (toxic if one is), so long texts and copies weigh no more. Null labels and null texts are no examples. Without
     both classes every score is the same.
     """
+    bound_batches(docs.sparkSession)
     chosen = (
         labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -205,6 +206,7 @@ def _evidence(model: Model, ids: int):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted of every row; null and empty texts have no evidence. Only text enters the score."""
+    bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("text", "doc_id").mapInArrow(_evidence(model, 1), f"doc_id {kind}, evidence double")
     value = 1 / (1 + F.exp(-(F.least("evidence", F.lit(60.0)) * model.slope + model.offset)))
@@ -213,6 +215,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def remove_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, whose score is below 0.5. Each row is judged by its own text."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = model.scorer()
