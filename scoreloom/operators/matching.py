@@ -51,9 +51,15 @@ def bag_diff(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def match_occurrences(expected: DataFrame, actual: DataFrame, keys: Sequence[str], order_expected: Sequence[str], order_actual: Sequence[str]) -> DataFrame:
-    """One-to-one by key and position: the n-th row of a key on one side meets the n-th on the other."""
-    number = lambda df, order: df.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return align(number(expected, order_expected), number(actual, order_actual), [*keys, "occurrence"])
+    """One-to-one by key and position: the n-th row of a key on one side meets the n-th on the other. Columns as of align
+    with keys and occurrence; null keys are equal. Both sides go through one shuffle by the keys."""
+    pack = lambda df, name: df.select(*keys, F.struct(*(c for c in df.columns if c not in keys), F.lit(True).alias("present")).alias(name))
+    rows = pack(expected, "expected").unionByName(pack(actual, "actual"), allowMissingColumns=True).repartition(*keys)
+    own = [*(F.col("expected")[c] for c in order_expected), *(F.col("actual")[c] for c in order_actual)]
+    rows = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys, F.col("expected").isNull()).orderBy(*own)))
+    met = rows.groupBy(*keys, "occurrence").agg(*(F.first(name, ignorenulls=True).alias(name) for name in ("expected", "actual")))
+    side = F.when(F.col("actual").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("both")
+    return met.withColumn("side", side)
 
 
 def priority_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tiers: Sequence[tuple[str, str]]) -> DataFrame:

@@ -37,8 +37,8 @@ def event_staff(events: DataFrame) -> DataFrame:
 def normalize_monophonic(events: DataFrame) -> DataFrame:
     """Where a measure's staff has one voice only, that voice is 1."""
     over = Window.partitionBy("case_id", "part_idx", "measure_no", "event_staff")
-    voices = F.size(F.collect_set("voice").over(over))
-    return events.withColumn("voice", F.when(F.col("voice").isNotNull() & F.col("event_staff").isNotNull() & (voices == 1), 1).otherwise(F.col("voice")))
+    alone = F.min("voice").over(over) == F.max("voice").over(over)
+    return events.withColumn("voice", F.when(F.col("voice").isNotNull() & F.col("event_staff").isNotNull() & alone, 1).otherwise(F.col("voice")))
 
 
 def normalize_interstaff(events: DataFrame, measures: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,6 +48,8 @@ def normalize_interstaff(events: DataFrame, measures: DataFrame, spans: DataFram
     second = events.groupBy("case_id", "part_idx").agg(F.max(F.col("event_staff") == 2).alias("second"))
     two = two.join(second, ["case_id", "part_idx"], "left").where("two OR second").select("case_id", "part_idx", F.lit(True).alias("two"))
     two = materialize(two, "two_staves")
+    if two.isEmpty():
+        return events, spans
     inner = lambda staff: (staff == 1) & (F.col("placement") == "below") | (staff == 2) & (F.col("placement") == "above")
 
     def marked(df: DataFrame, between: Column) -> DataFrame:
@@ -59,7 +61,7 @@ def normalize_interstaff(events: DataFrame, measures: DataFrame, spans: DataFram
     rows = rows.withColumns({c: F.when(F.col("between"), 1).otherwise(F.col(c)) for c in ("staff", "event_staff")}).drop("between")
     lines = marked(spans, (F.col("from.staff") == F.col("to.staff")) & inner(F.col("from.staff")))
     first = lambda end: F.when(F.col("between"), F.col(end).withField("staff", F.lit(1))).otherwise(F.col(end))
-    return rows, lines.withColumns({"from": first("from"), "to": first("to")}).drop("between")
+    return materialize(rows, "events"), materialize(lines.withColumns({"from": first("from"), "to": first("to")}).drop("between"), "spans")
 
 
 def trim_trailing_measures(measures: DataFrame, events: DataFrame, spans: DataFrame) -> DataFrame:
@@ -155,17 +157,24 @@ def match_parts(expected: Tables, actual: Tables) -> tuple[Tables, Tables, DataF
 
 
 def align_voices(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """actual with its voices renamed where the evidence of equal events is strong, part by part and staff by staff."""
+    """actual with its voices renamed where the evidence of equal events is strong, part by part and staff by staff. A
+    staff with one and the same voice on both sides has nothing to rename and gives no evidence."""
+    staff = ["case_id", "part_idx", "event_staff"]
+    voiced = lambda df: df.where("voice IS NOT NULL AND event_staff IS NOT NULL")
+    voices = voiced(expected).select(*staff, "voice").unionByName(voiced(actual).select(*staff, "voice"))
+    several = materialize(voices.groupBy(*staff).agg(F.min("voice").alias("lo"), F.max("voice").alias("hi")).where("lo <> hi").select(*staff), "several_voices")
+    if several.isEmpty():
+        return actual
     keys = [*_PLACE, "event_staff", "type", "at", "content_key"]
-    key = lambda df: df.where("voice IS NOT NULL AND event_staff IS NOT NULL").withColumn("content_key", F.array_join("content", ","))
-    pairs = matching.match_occurrences(key(expected).select(*keys, "voice"), key(actual).select(*keys, "voice"), keys, ["voice"], ["voice"]).where("side = 'both'")
+    key = lambda df: voiced(df).join(several, staff, "left_semi").withColumn("content_key", F.array_join("content", ",")).select(*keys, "voice")
+    pairs = matching.match_occurrences(key(expected), key(actual), keys, ["voice"], ["voice"]).where("side = 'both'")
     label = lambda side: F.concat_ws("|", "case_id", "part_idx", "event_staff", F.col(side)["voice"])
     evidence = pairs.groupBy(label("expected").alias("to"), label("actual").alias("from")).agg(F.count("*").alias("n"))
     found = matching.align_labels(evidence, "to", "from", "n")
     voice = lambda c: F.element_at(F.split(c, r"\|"), -1).cast("int")
     renames = found.select(F.col("from").alias("_label"), voice("to").alias("_voice"))
     rows = actual.withColumn("_label", F.concat_ws("|", "case_id", "part_idx", "event_staff", "voice")).join(renames, "_label", "left")
-    return rows.withColumn("voice", F.coalesce("_voice", "voice")).drop("_label", "_voice")
+    return materialize(rows.withColumn("voice", F.coalesce("_voice", "voice")).drop("_label", "_voice"), "events")
 
 
 # --- comparison ----------------------------------------------------------------------------------------------------
@@ -179,20 +188,41 @@ def prepare_events(events: DataFrame) -> DataFrame:
     return rows.withColumn("when", F.col("at_num") / F.col("at_den"))
 
 
-def match_events(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Events of both sides, measure by measure: case_id, part_idx, measure_no, expected_id, actual_id, tier.
+_COMPARED = ["type", "at", "event_staff", "voice", "duration", "grace", "text", "value", "target", "placement", "beat_unit", "bpm", "notation", "content", "notes"]
 
-    Measures whose events are equal on both sides meet in a join; only those that differ are matched tier by tier.
+
+def differing_measures(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """case_id, part_idx, measure_no, expected and actual: the events of both sides (arrays, by id) of measures in which
+    anything that is compared, or an id, differs. Events of other measures match one by one and have no issues."""
+    event = F.struct("event_id", "when", *_COMPARED)
+    one = lambda df, e, a: df.select(*_PLACE, e.alias("e"), a.alias("a"))
+    none = F.lit(None).cast(expected.select(event.alias("x")).schema["x"].dataType)
+    both = one(expected, event, none).unionByName(one(actual, none, event))
+    events = lambda c: F.sort_array(F.collect_list(c))
+    return both.groupBy(*_PLACE).agg(events("e").alias("expected"), events("a").alias("actual")).where("NOT (expected <=> actual)")
+
+
+def measure_events(measures: DataFrame, side: str) -> DataFrame:
+    """The events of one side ('expected' or 'actual') of differing_measures."""
+    return measures.select(*_PLACE, F.explode(side).alias("x")).select(*_PLACE, "x.*")
+
+
+def match_events(measures: DataFrame) -> DataFrame:
+    """Events of both sides of differing_measures, measure by measure: case_id, part_idx, measure_no, expected_id,
+    actual_id, tier.
+
+    Measures whose events are equal but for what matching does not look at meet one by one; the others are matched tier
+    by tier.
     """
     same = ["type", "when", "event_staff", "content", "voice", "duration"]
-    pick = lambda df: df.select(*_PLACE, F.col("event_id").alias("id"), *same)
-    e, a = pick(expected), pick(actual)
-    bag = lambda df, name: df.groupBy(*_PLACE).agg(F.sort_array(F.collect_list(F.struct(*same))).alias(name))
-    equal = materialize(bag(e, "e").join(bag(a, "a"), _PLACE).where("e <=> a").select(*_PLACE), "equal_measures")
-    both = matching.match_occurrences(e.join(equal, _PLACE, "left_semi"), a.join(equal, _PLACE, "left_semi"), [*_PLACE, *same], ["id"], ["id"])
+    bag = lambda side: F.sort_array(F.transform(side, lambda x: F.struct(*(x[c] for c in same))))
+    rows = measures.withColumn("alike", bag("expected").eqNullSafe(bag("actual")))
+    pick = lambda df, side: measure_events(df, side).select(*_PLACE, F.col("event_id").alias("id"), *same)
+    equal, other = rows.where("alike"), rows.where("NOT alike")
+    both = matching.match_occurrences(pick(equal, "expected"), pick(equal, "actual"), [*_PLACE, *same], ["id"], ["id"])
     plain = both.select(*_PLACE, F.col("expected.id").alias("expected_id"), F.col("actual.id").alias("actual_id"), F.lit(1).alias("tier"))
     agree = {"duration": 0.15, "voice": 0.10, "event_staff": 0.10}
-    tiers = matching.tiered_match(e.join(equal, _PLACE, "left_anti"), a.join(equal, _PLACE, "left_anti"), _PLACE, "type", "when", "content", "event_staff", agree, 0.25)
+    tiers = matching.tiered_match(pick(other, "expected"), pick(other, "actual"), _PLACE, "type", "when", "content", "event_staff", agree, 0.25)
     return plain.unionByName(tiers)
 
 
@@ -208,10 +238,12 @@ def category_of(kind: Column) -> Column:
 
 def event_issues(expected: DataFrame, actual: DataFrame, matches: DataFrame) -> DataFrame:
     """Missing and extra events, and the fields in which matched ones differ."""
-    side = lambda df, name: df.select(*_PLACE, F.col("event_id").alias(f"{name}_id"), F.struct("type", "at", "event_staff", "voice", "duration", "grace", "text", "value", "target", "placement", "beat_unit", "bpm", "notation", "content", "notes").alias(name))
+    side = lambda df, name: df.select(*_PLACE, F.col("event_id").alias(f"{name}_id"), F.struct(*_COMPARED).alias(name))
     both = matches.join(side(expected, "expected"), [*_PLACE, "expected_id"], "left").join(side(actual, "actual"), [*_PLACE, "actual_id"], "left")
     both = both.withColumns({"at": F.coalesce("expected.at", "actual.at"), "event_staff": F.coalesce("expected.event_staff", "actual.event_staff"), "type": F.coalesce("expected.type", "actual.type")})
-    both = materialize(both, "pairs")
+    heads = F.transform("expected.notes", lambda n: F.struct(n["staff"], n["pitch"]))
+    told = F.coalesce(F.size(heads) == F.size(F.array_distinct(heads)), F.lit(True))  # else equal chords may pair other notes
+    both = materialize(both.where(~(F.col("expected").eqNullSafe(F.col("actual")) & told)), "pairs")
     describe = lambda c: F.concat_ws(" ", c["type"], F.array_join(c["content"], "+"))
     e, a, kind = F.col("expected"), F.col("actual"), F.col("type")
     found = _issue(both.where("actual_id IS NULL"), "event.missing", category_of(kind), describe(e), F.lit(None))
@@ -304,24 +336,27 @@ def measure_issues(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return found.unionByName(fields, allowMissingColumns=True)
 
 
-def _addresses(relations: DataFrame, events: DataFrame) -> DataFrame:
-    """relations with `core`: kind, level, ratio and the addresses of the members in order; unknown events say so."""
+def _addresses(relations: DataFrame, events: DataFrame, keep: list[str]) -> DataFrame:
+    """case_id, keep and `core` of relations: kind, level, ratio and the addresses of the members in order; unknown events
+    say so. Equal relations find their members once."""
     address = F.concat(F.lit("m"), "measure_no", F.lit("@"), "at", F.lit("/"), F.coalesce(F.col("event_staff").cast("string"), F.lit("-")))
     known = events.select("case_id", "event_id", address.alias("address"), F.array_join("content", "+").alias("what"))
-    rows = relations.withColumn("rid", F.xxhash64(F.to_json(F.struct("*")), F.lit(1)))
-    members = rows.select("case_id", "rid", F.posexplode("members").alias("i", "m")).select("case_id", "rid", "i", "m.event_id", "m.pitch").join(known, ["case_id", "event_id"], "left")
+    core = ["kind", "level", "hook", "actual", "normal"]
+    own = list(dict.fromkeys([*keep, *core, "members"]))
+    rows = relations.groupBy("case_id", *own).agg(F.count("*").alias("n")).select("case_id", F.struct(*own, "n").alias("r"), F.posexplode("members").alias("i", "m"))
+    members = rows.select("case_id", "r", "i", "m.event_id", "m.pitch").join(known, ["case_id", "event_id"], "left")
     name = F.concat_ws(" ", F.coalesce("address", F.concat(F.lit("<unresolved:"), "event_id", F.lit(">"))), F.coalesce("pitch", "what"))
-    cores = members.groupBy("case_id", "rid").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("i", name.alias("a")))), lambda s: s["a"]), " > ").alias("members_at"))
-    core = F.concat_ws("|", "kind", "level", "hook", "actual", "normal", "members_at")
-    return rows.join(cores, ["case_id", "rid"]).withColumn("core", core)
+    cores = members.groupBy("case_id", "r").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("i", name.alias("a")))), lambda s: s["a"]), " > ").alias("members_at"))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("r.n")))
+    return cores.select("case_id", *(F.col(f"r.{c}") for c in keep), F.concat_ws("|", *(f"r.{c}" for c in core), "members_at").alias("core"), again.alias("_")).drop("_")
 
 
 def relation_issues(expected: Tables, actual: Tables) -> DataFrame:
     """Relations and spans by content: the n-th of a core on one side meets the n-th on the other; then a null expected
     placement matches anything. Ids never count."""
-    e, a = _addresses(expected["relations"], expected["events"]), _addresses(actual["relations"], actual["events"])
     keys, rest = ["case_id", "part_idx", "kind", "core"], ["placement", "direction", "bracket"]
-    pairs = matching.match_occurrences(e.select(*keys, *rest), a.select(*keys, *rest), keys, rest, rest)
+    e, a = (_addresses(t["relations"], t["events"], ["part_idx", "kind", *rest]) for t in (expected, actual))
+    pairs = matching.match_occurrences(e, a, keys, rest, rest)
     core, code = F.col("core"), F.concat(F.lit("relation."), "kind", F.lit("."), "side")
     lone = lambda df: _issue(df.where("side <> 'both'"), code, "Relations", F.when(F.col("side") == "missing", core), F.when(F.col("side") == "extra", core))
     spec = [(f"relation.{c}", "Relations", F.col("expected")[c], F.col("actual")[c], True) for c in rest]
@@ -367,28 +402,29 @@ def diff(expected: Tables, actual: Tables, cases: DataFrame) -> DataFrame:
     """diff_issues of cases (case_id, expected_id, actual_id). Tables: scores, parts, measures, events, relations,
     spans by score_id, as read_scores gives them; relations and spans carry part_idx or part_id."""
     e, a = for_cases(expected, cases, "expected"), for_cases(actual, cases, "actual")
+    ready = lambda events: materialize(normalize_monophonic(prepare_events(events)), "events")
     for t in (e, a):
-        t |= {name: materialize(t[name], name) for name in ("measures", "events")}
+        t |= {"measures": materialize(t["measures"], "measures"), "events": ready(t["events"].withColumn("given_voice", F.col("voice")))}
         index = t["measures"].select("case_id", "part_id", "part_idx").distinct()
         for name in ("relations", "spans"):
             if "part_idx" not in t[name].columns:
                 t[name] = t[name].join(index, ["case_id", "part_id"], "left").withColumn("part_idx", F.coalesce("part_idx", F.lit(-1)))
-    e, a = collapse_split(e, a), collapse_split(a, e)
+    sides = (e, collapse_split(e, a)), (a, collapse_split(a, e))
+    e, a = (t if t is given else t | {"events": ready(t["events"].withColumn("voice", F.col("given_voice")))} for given, t in sides)
     e, a, part_issues = match_parts(e, a)
     for t in (e, a):
-        t["events"] = materialize(normalize_monophonic(prepare_events(t["events"])), "events")
-        t["measures"] = trim_trailing_measures(t["measures"], t["events"], t["spans"])
-        events, spans = normalize_interstaff(t["events"], t["measures"], t["spans"])
-        t |= {"events": materialize(prepare_events(events), "events"), "spans": materialize(spans, "spans"), "measures": materialize(t["measures"], "measures")}
-    a["events"] = materialize(align_voices(e["events"], a["events"]), "events")
+        t["measures"] = materialize(trim_trailing_measures(t["measures"], t["events"], t["spans"]), "measures")
+        t["events"], t["spans"] = normalize_interstaff(t["events"], t["measures"], t["spans"])
+    a["events"] = align_voices(e["events"], a["events"])
     header = matching.align(e["scores"].select("case_id", "title", "subtitle", "composer"), a["scores"].select("case_id", "title", "subtitle", "composer"), ["case_id"])
     spec = [(f"metadata.{c}", "Metadata", norm_text(F.col("expected")[c]), norm_text(F.col("actual")[c]), False) for c in ("title", "subtitle", "composer")]
     found = matching.compare_fields(header, ["case_id"], spec).unionByName(part_issues, allowMissingColumns=True)
-    compared = e["measures"].select("case_id", "part_idx").distinct()
+    compared = materialize(e["measures"].select("case_id", "part_idx").distinct(), "compared")
     of_pairs = lambda t: t["events"].join(compared, ["case_id", "part_idx"], "left_semi")
-    matches = materialize(match_events(of_pairs(e), of_pairs(a)), "matches")
+    differing = materialize(differing_measures(of_pairs(e), of_pairs(a)), "differing")
+    matches = materialize(match_events(differing), "matches")
     found = materialize(found, "issues")  # each kind in a job of its own: one plan of all is too large for the driver
-    for more in (measure_issues(e["measures"], a["measures"]), event_issues(e["events"], a["events"], matches), relation_issues(e, a)):
+    for more in (measure_issues(e["measures"], a["measures"]), event_issues(measure_events(differing, "expected"), measure_events(differing, "actual"), matches), relation_issues(e, a)):
         found = found.unionByName(materialize(more, "issues"), allowMissingColumns=True)
     return order_issues(with_severity(found))
 
