@@ -36,11 +36,11 @@ def test_every_n_gram_of_training_rows_has_its_level(spark):
     shape = lm.Shape(3, 0, 0)
     found = lm.dealt_levels(spark.createDataFrame(rows, "row long, train boolean, text string").coalesce(1), 3, shape).collect()
     words = lm.Words.of(lm.pa.array([t for _, _, t in rows]))
-    grams, keys = lm.piece_keys(words, 3, shape)
-    train = np.array([x for _, x, _ in rows])[words.sequence()[1]]
+    grams, keys, row = lm.piece_keys(words, 3, shape)
+    train = np.array([x for _, x, _ in rows])[row]
     distinct, counts = lm.summed(keys, np.concatenate([train[g != 0] for g in grams]).astype(np.int64))
     assert {r["piece"] for r in found} == {0}
-    levels = np.frombuffer(b"".join(bytes(r["levels"]) for r in sorted(found, key=lambda r: r["part"])), np.uint8)
+    levels = lm.gathered_levels(lm.pa.Table.from_pylist([r.asDict() for r in found]), shape, distinct)
     true = lm.level(counts)
     assert len(levels) == len(distinct) and (levels >= true).all() and (levels == true).mean() > 0.95
     assert (counts == 1).any() and (levels[counts == 1] > 0).all()
