@@ -44,3 +44,14 @@ def test_every_n_gram_of_training_rows_has_its_level(spark):
     true = lm.level(counts)
     assert len(levels) == len(distinct) and (levels >= true).all() and (levels == true).mean() > 0.95
     assert (counts == 1).any() and (levels[counts == 1] > 0).all()
+
+
+@pytest.mark.parametrize("bits", [40, 63])
+def test_keys_are_ordered_and_sent_as_gaps(bits):
+    draw = np.random.default_rng(bits)
+    keys = draw.integers(0, 1 << bits, 5_000, dtype=np.uint64)
+    keys = np.concatenate([keys, keys[:500], keys[:500] ^ np.uint64(1)])  # some differ in the lowest bit only
+    at = lm.ordering(keys, bits)
+    assert sorted(at.tolist()) == list(range(len(keys))) and (keys[at] == np.sort(keys)).all()
+    for some in (np.sort(keys), keys[:1], keys[:0]):
+        assert (lm.unspaced(lm.spaced(some, 8), 8) == some).all()
